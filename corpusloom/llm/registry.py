@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, token_counts
+from corpusloom.llm import mixing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_mixing": mixing.op3_mixing,
+    "op7_warc": warc.op7_warc,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.mixing_sql(),
+    "op7_warc": warc.WARC_SQL,
 }
