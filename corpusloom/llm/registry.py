@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, line_dedup, mixing, secrets, token_counts, warc
+from corpusloom.llm import decontam, line_dedup, mixing, quality, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_mixing": mixing.op3_mixing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_warc": warc.op7_warc,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
