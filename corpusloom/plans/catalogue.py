@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import registry, sampling_queries, stats  # noqa: F401  the modules enter their queries
+from corpusloom.plans import message_queries, registry, sampling_queries, stats  # noqa: F401  the modules enter their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").count()
+    return message_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, registry.Query]:

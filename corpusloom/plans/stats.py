@@ -116,9 +116,9 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("cum_len"))
 
 
-@query("flt09_easy_queries", "SELECT user_id, count(*) FILTER (value > 60) AS positives FROM events GROUP BY user_id HAVING count(*) FILTER (value > 60) - 1 < 4")
+@query("flt09_easy_queries", "SELECT user_id, count(*) FILTER (value > 60) AS positives FROM events GROUP BY user_id HAVING count(*) FILTER (value > 60) - 1 < 24")
 def _(s, d):
-    return adv.hard_prompts(events(s, d).withColumn("r", F.col("value") - 60), "user_id", "r", 8, 0.5)
+    return adv.hard_prompts(events(s, d).withColumn("r", F.col("value") - 60), "user_id", "r", 48, 0.5)
 
 
 @query("flt10_zero_variance_groups", f"WITH e AS (SELECT event_id, user_id, coalesce(stddev_samp(value) OVER ({_G}), 0) AS s FROM events) SELECT event_id, user_id FROM e WHERE s > 0")
