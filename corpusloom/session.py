@@ -27,3 +27,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "corpu
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the store that the cluster shares (spark.checkpoint.dir), or a temporary one where it is unset."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"corpusloom-{name}-")
