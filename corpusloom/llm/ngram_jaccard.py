@@ -266,7 +266,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     single = docs.where("doc_id IS NOT NULL").join(broadcast_if_small(spare), "doc_id", "left_anti")
     by_key = W.partitionBy("key").orderBy("node")
     shared = postings(single, width, num, den).withColumn("head", F.first("node").over(by_key)).where("head <> node")
-    shared = materialise(shared.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "shared-keys")
+    shared = shared.select("node", "head").distinct()
+    # A node's heads are tied to the smallest of them instead of each to the node: as connected, with far fewer
+    # edges where near copies share many keys. A node has no more heads than keys, so its window is small.
+    least = shared.withColumn("least", F.min("head").over(W.partitionBy("node")))
+    tied = F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("least").alias("b")), F.struct(F.col("head").alias("a"), F.col("least").alias("b")))).alias("e")
+    shared = materialise(least.select(tied).select("e.a", "e.b").where("a <> b").distinct(), "shared-keys")
     blocks = components(shared)
     found = materialise(verified_links(docs, blocks, width, num, den), "links")
     labels = components(found)
