@@ -112,7 +112,7 @@ def render(messages: Column, prefix: Column | None = None, user: tuple[str, str]
 
 def strip_thinking(content: Column) -> Column:
     """What follows the last </think>, trimmed."""
-    return F.trim(F.try_element_at(F.split(content, "</think>"), F.lit(-1)))
+    return F.regexp_replace(F.try_element_at(F.split(content, "</think>"), F.lit(-1)), r"(?U)\A\s+|\s+\z", "")
 
 
 def strip_history_thinking(messages: Column) -> Column:

@@ -27,6 +27,11 @@ def split_parts(text: Column, delimiters: list[str], regex: bool = False) -> Col
     return F.transform(whole, lambda p: F.struct(head(p).alias("key"), F.substr(p, F.length(head(p)) + 1).alias("content")))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends (trim takes spaces only)."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
 
@@ -51,7 +56,7 @@ def split_chunks(ids: Column, length: int) -> Column:
 
 
 def answer_tag(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
+    return strip(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
 
 
 def boxed(text: Column) -> Column:
@@ -61,7 +66,7 @@ def boxed(text: Column) -> Column:
 
 def hash_answer(text: Column) -> Column:
     """What follows '# Answer'."""
-    return F.trim(F.regexp_extract(text, r"(?s)# Answer\s*(.*)\z", 1))
+    return strip(F.regexp_extract(text, r"(?s)# Answer\s*(.*)\z", 1))
 
 
 def code_fence(text: Column, language: str = "python") -> Column:
@@ -97,7 +102,7 @@ TOOL_FORMATS = {
 
 def _calls(text: Column, pattern: str) -> Column:
     names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.zip_with(names, F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda n, a: F.struct(F.trim(n).alias("name"), F.trim(a).alias("arguments")))
+    return F.zip_with(names, F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda n, a: F.struct(strip(n).alias("name"), strip(a).alias("arguments")))
 
 
 def tool_calls(text: Column, kind: str) -> Column:

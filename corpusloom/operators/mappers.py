@@ -45,7 +45,7 @@ def alpaca_zh(df: DataFrame) -> DataFrame:
 
 @mapper
 def long_alpaca(df: DataFrame) -> DataFrame:
-    answer = F.when(F.col("response").startswith("Answer: "), F.trim(F.substr("response", F.lit(len("Answer: ") + 1)))).otherwise(F.col("response"))
+    answer = F.when(F.col("response").startswith("Answer: "), T.strip(F.substr("response", F.lit(len("Answer: ") + 1)))).otherwise(F.col("response"))
     return N.alpaca(df.withColumn("response", answer))
 
 
@@ -125,7 +125,7 @@ def leetcode(df: DataFrame) -> DataFrame:
     """Problem before the code fence, code and explanation after it."""
     t, at = F.col("code_with_problem"), F.instr("code_with_problem", "```python")
     problem = F.regexp_replace(F.substr(t, F.lit(1), F.greatest(at - 1, F.lit(0))), r"\A# ", "")
-    return qa(df, problem, F.concat(F.trim(F.substr(t, at)), F.lit("\n\n"), "explanation_only"))
+    return qa(df, problem, F.concat(T.strip(F.substr(t, at)), F.lit("\n\n"), "explanation_only"))
 
 
 @mapper
@@ -220,8 +220,8 @@ def dureader(df: DataFrame) -> DataFrame:
 
 
 def _dialogue(c: Column) -> Column:
-    parts = F.transform(F.split(F.trim(c), "\n\nHuman:|\n\nAssistant:|\n\nHum:"), lambda s: F.trim(s))
-    parts = F.transform(parts, lambda s, i: F.when(i == 0, F.trim(F.regexp_replace(s, r"\AHuman:", ""))).otherwise(s))
+    parts = F.transform(F.split(T.strip(c), "\n\nHuman:|\n\nAssistant:|\n\nHum:"), lambda s: T.strip(s))
+    parts = F.transform(parts, lambda s, i: F.when(i == 0, T.strip(F.regexp_replace(s, r"\AHuman:", ""))).otherwise(s))
     parts = F.slice(parts, 1, F.size(parts) - F.size(parts) % 2)
     return F.transform(parts, lambda s, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), s.alias("content")))
 
@@ -274,7 +274,7 @@ def guanaco(df: DataFrame) -> DataFrame:
     flags = F.transform("p", lambda p, i: F.when(i % 2 == 0, user(p)).otherwise(helper(p)) & (p["content"] != ""))
     rows = df.withColumn("p", parts).where(F.forall(flags, lambda x: x) & (F.size("p") % 2 == 0))
     past = F.transform("p", lambda p, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), p["content"].alias("content")))
-    last = F.when(F.col("input").startswith("User:"), F.trim(F.regexp_replace("input", r"\AUser:", ""))).otherwise(F.col("input"))
+    last = F.when(F.col("input").startswith("User:"), T.strip(F.regexp_replace("input", r"\AUser:", ""))).otherwise(F.col("input"))
     return rows.select(F.concat(past, F.array(M.message("user", last), M.message("assistant", F.col("output")))).alias("messages"))
 
 
@@ -379,7 +379,7 @@ PIXELPROSE_PROMPTS = ["Give the description of this image.", "Describe this pict
 
 @mapper
 def pixelprose(df: DataFrame, seed: object = 42) -> DataFrame:
-    caption = F.when(F.col("vlm_caption").startswith("This image displays:"), F.trim(F.substr("vlm_caption", F.lit(len("This image displays:") + 1)))).otherwise(F.col("vlm_caption"))
+    caption = F.when(F.col("vlm_caption").startswith("This image displays:"), T.strip(F.substr("vlm_caption", F.lit(len("This image displays:") + 1)))).otherwise(F.col("vlm_caption"))
     return qa(df.withColumn("images", F.col("url")), N.hashed_choice(PIXELPROSE_PROMPTS, seed, "url"), caption, None, "images")
 
 
@@ -442,13 +442,13 @@ def mind2web(df: DataFrame, order: str, by: list[str] | None = None) -> DataFram
     w = W.partitionBy(*(by or [])).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     action = F.split("target_action_reprs", "->")
     last = F.try_element_at(action, F.lit(-1))
-    where = F.when(F.size(action) > 1, F.trim(action[0])).otherwise("")
+    where = F.when(F.size(action) > 1, T.strip(action[0])).otherwise("")
     has = F.contains(last, F.lit(":"))
     name = F.when(has, F.regexp_extract(last, r"(?s)\A([^:]*):", 1)).otherwise(last)
     what = F.when(has, F.regexp_extract(last, r"(?s)\A[^:]*:(.*)\z", 1)).otherwise("")
     start = F.col("target_action_index") == "0"
     query = F.concat(F.lit("The snapshot of screen:<image>\nThe html source code:"), "cleaned_html", F.lit("\n"), F.when(start, F.concat(F.lit("\n"), "confirmed_task")).otherwise(""))
-    answer = F.concat(F.lit("Action: "), F.trim(name), F.lit("\nAction Input: "), where, F.lit(","), F.trim(what))
+    answer = F.concat(F.lit("Action: "), T.strip(name), F.lit("\nAction Input: "), where, F.lit(","), T.strip(what))
     rows = df.withColumn("_session", F.sum(start.cast("int")).over(w)).select(*(by or []), "_session", F.struct(F.col(order).alias("o"), query.alias("q"), answer.alias("a"), F.col("screenshot").alias("i")).alias("s"))
     folded = rows.groupBy(*(by or []), "_session").agg(F.array_sort(F.collect_list("s")).alias("s"))
     turns = F.flatten(F.transform("s", lambda x: F.array(M.message("user", x["q"]), M.message("assistant", x["a"]))))

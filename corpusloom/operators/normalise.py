@@ -161,7 +161,8 @@ def conversations(df: DataFrame, columns: dict[str, str] | None = None, role_key
         df = df.withColumn("messages", F.col(f"messages.{inner_key}"))
     if isinstance(df.schema["messages"].dataType, StringType):
         r, c = role_key or "role", content_key or "content"
-        df = df.withColumn("messages", F.from_json(literal_json(repair_list(F.col("messages"))), f"array<struct<`{r}`:string,`{c}`:string,`from`:string,`value`:string>>"))
+        names = ",".join(f"`{n}`:string" for n in dict.fromkeys((r, c, "from", "value")))
+        df = df.withColumn("messages", F.from_json(literal_json(repair_list(F.col("messages"))), f"array<struct<{names}>>"))
         df = df.withColumn("messages", F.transform("messages", lambda m: F.struct(F.coalesce(m[r], m["from"]).alias("role"), F.coalesce(m[c], m["value"]).alias("content"))))
         role_key = content_key = None
     out = df.where(F.size("messages") > 0)

@@ -154,7 +154,7 @@ def _(s, d):
     return chats(s, d).select("conv_id", F.md5(M.render(F.col("messages"), default_system="Be kind.")).alias("text"))
 
 
-@query("txt05_strip_thinking", "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'assistant'")
+@query("txt05_strip_thinking", "SELECT conv_id, turn, trim(text, chr(10) || ' ') AS text FROM conversations WHERE role = 'assistant'")
 def _(s, d):
     t = table(s, d, "conversations").where("role = 'assistant'")
     return t.select("conv_id", "turn", M.strip_thinking(F.concat(F.lit("<think>hm</think>"), "text")).alias("text"))

@@ -18,8 +18,8 @@ def read_file(spark: SparkSession, path: str, schema: StructType | str | None =
     kind = READERS.get(ext, ext) or "parquet"
     r = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        # A sentinel that no cell has, so that '' is a value and not a null.
-        return r.options(header=True, multiLine=True, escape='"', emptyValue="", nullValue="\u0000").csv(path)
+        # An unquoted empty cell reads as null whatever the options say; CSV has no other null, so all are ''.
+        return r.options(header=True, multiLine=True, escape='"').csv(path).fillna("")
     if kind == "json":
         return r.option("multiLine", ext == "json" if array is None else array).json(path)
     if kind == "text":
