@@ -12,8 +12,8 @@ the limit, else joined by shuffle, where AQE splits a hot line. Documents are jo
 
 Cases: null and empty texts have no lines that count and stay as they are; a null source is a site of its
 own; a null doc_id never is the first occurrence unless no other is there; repeated rows are treated
-alike (the flags go by doc_id and text hash); empty tables give empty results; other columns are kept by
-the operator, names used inside have a prefix that no column may share.
+alike (the flags go by doc_id and text hash); empty tables give empty results; other columns are
+kept by the operator, except that n_lines and n_removed are its own.
 """
 
 from __future__ import annotations
@@ -65,13 +65,16 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     previous = F.concat(F.array(F.lit(-1)), F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))))
     runs = F.flatten(F.zip_with("_at", previous, lambda a, p: F.concat(F.array_repeat(F.lit(False), a - p - 1), F.array(F.lit(True)))))
     flags = flags.select("_id", "_th", runs.alias("_flags"))
-    keyed = docs.withColumns({"_id2": F.col("doc_id"), "_th2": F.xxhash64("text")})
-    joined = keyed.join(flags, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
-    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    # The documents' own columns travel in a struct, so their names clash with none here.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_own_th"), F.col("text").alias("_text"))
+    joined = keyed.join(flags, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left")
+    split = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n")
     kept = F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.get("_flags", i), F.lit(False))), "\n")
     removed = F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0))
-    out = joined.select(*[F.when(F.col("_flags").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.when(F.col("_flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
-    return out
+    new_text = F.when(F.col("_flags").isNull(), F.col("_text")).otherwise(kept).alias("text")
+    own = [new_text if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines")
+    return joined.select(*own, n_lines, F.when(F.col("_flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

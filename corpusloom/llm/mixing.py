@@ -58,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, slope
     per = per.withColumn("full_at", cap / F.col("weight"))
     left = F.lit(float(budget)) * F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
     per = per.withColumn("level", left / F.sum("weight").over(rest))
-    # Below the first source that does not fill up the level is fixed; the sources before it stop at their caps.
-    level = F.min(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).over(whole)
+    # Sources fill up in this order until one does not; the level there is the highest of those that hold.
+    level = F.max(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).over(whole)
     return per.select("source", "source_size", "weight", "slope", F.least(cap, F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -117,7 +117,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][r % 3 + 1] AS weight, [1.0::DOUBLE, 0.0,
 lv AS (SELECT *, cap / weight AS full_at,
          (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, slope, least(cap, coalesce(min(level) FILTER (full_at >= level) OVER (), 0) * weight) AS target FROM lv),
+t AS (SELECT source, source_size, slope, least(cap, coalesce(max(level) FILTER (full_at >= level) OVER (), 0) * weight) AS target FROM lv),
 p AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.slope,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.dealt, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),

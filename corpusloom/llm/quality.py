@@ -239,16 +239,23 @@ def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def score_column(docs: DataFrame, model: object) -> DataFrame:
-    """docs with a column `_score` from model.score, a batch of whole texts at a time."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or the first of _name, __name, ... that is no column."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = "_" + name
+    return name
+
+
+def score_column(docs: DataFrame, model: object, name: str = "score") -> DataFrame:
+    """docs with a new column from model.score, a batch of whole texts at a time; its name must be free."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores = np.concatenate([np.zeros(0), *(held.value.score(texts[s]) for s in pieces(texts))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -267,4 +274,4 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     scored = score_column(docs, model)
-    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

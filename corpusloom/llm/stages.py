@@ -15,15 +15,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores under the threshold go. All labels may be learnt from here."""
     model = quality.quality_model(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score_column(docs, model).where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    name = quality.free_name(docs, "score")
+    return quality.score_column(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; documents that had text and keep none go."""
-    out = line_dedup.remove_boilerplate(docs)
+    out = line_dedup.remove_boilerplate(docs.select(*COLUMNS))
     gone = (F.col("n_removed") > 0) & (F.trim("text") == "")
     out = out.where(~F.coalesce(gone, F.lit(False)))
-    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
