@@ -167,7 +167,7 @@ def path_fields(path: Column) -> dict[str, Column]:
         "method": F.regexp_extract(path, r"/([a-z_]+?)[-_](?:\d+\.\d+|seed)", 1),
         "ratio": F.nullif(F.regexp_extract(path, r"[-_](\d+\.\d+)", 1), F.lit("")).try_cast("double"),
         "seed": F.nullif(F.regexp_extract(path, r"seed[-_](\d+)", 1), F.lit("")).try_cast("int"),
-        "preserve": path.contains("perserve_super") | path.contains("preserve_super"),
+        "preserve": path.contains("preserve_super"),
     }
 
 

@@ -30,7 +30,7 @@ def pairwise_frequency(freq: DataFrame, layer: str, expert: str, value: str = "f
 def activation_statistics(routed: DataFrame, layer: str, expert: str, norm: str, gate: str) -> DataFrame:
     """Sum and mean of activation norms, gate-weighted sum, mean of norm times gate, and the maximum."""
     x = F.col(norm) * F.col(gate)
-    return routed.groupBy(layer, expert).agg(F.sum(norm).alias("ean_sum"), F.avg(norm).alias("ean_mean"), F.sum(x).alias("weighted_ean_sum"), F.avg(x).alias("reap"), F.max(norm).alias("max_activation"), F.sum(gate).alias("weighted_frequency"))
+    return routed.groupBy(layer, expert).agg(F.sum(norm).alias("ean_sum"), F.avg(norm).alias("ean_mean"), F.sum(x).alias("weighted_ean_sum"), F.avg(x).alias("gated_norm_mean"), F.max(norm).alias("max_activation"), F.sum(gate).alias("weighted_frequency"))
 
 
 def characteristic(routed: DataFrame, key: list[str], vector: str) -> DataFrame:

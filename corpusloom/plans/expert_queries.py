@@ -30,10 +30,10 @@ def _(s, d):
     return X.pairwise_frequency(X.frequencies(routed(s, d), "layer", "expert"), "layer", "expert")
 
 
-@query("agg19_activation_statistics", f"WITH {_RT} SELECT layer, expert, round(sum(norm), 4) AS ean_sum, round(avg(norm), 6) AS ean_mean, round(sum(norm * gate), 4) AS weighted_ean_sum, round(avg(norm * gate), 6) AS reap, max(norm) AS max_activation, round(sum(gate), 4) AS weighted_frequency FROM t GROUP BY ALL")
+@query("agg19_activation_statistics", f"WITH {_RT} SELECT layer, expert, round(sum(norm), 4) AS ean_sum, round(avg(norm), 6) AS ean_mean, round(sum(norm * gate), 4) AS weighted_ean_sum, round(avg(norm * gate), 6) AS gated_norm_mean, max(norm) AS max_activation, round(sum(gate), 4) AS weighted_frequency FROM t GROUP BY ALL")
 def _(s, d):
     a = X.activation_statistics(routed(s, d), "layer", "expert", "norm", "gate")
-    return a.select("layer", "expert", F.round("ean_sum", 4).alias("ean_sum"), r6("ean_mean", "ean_mean"), F.round("weighted_ean_sum", 4).alias("weighted_ean_sum"), r6("reap", "reap"), "max_activation", F.round("weighted_frequency", 4).alias("weighted_frequency"))
+    return a.select("layer", "expert", F.round("ean_sum", 4).alias("ean_sum"), r6("ean_mean", "ean_mean"), F.round("weighted_ean_sum", 4).alias("weighted_ean_sum"), r6("gated_norm_mean", "gated_norm_mean"), "max_activation", F.round("weighted_frequency", 4).alias("weighted_frequency"))
 
 
 _EV = "v AS (SELECT vec_id, vec_id % 2 AS layer, label AS expert, embedding::DOUBLE[] AS e FROM embeddings)"

@@ -200,10 +200,10 @@ def _(s, d):
     return z.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("z.a").alias("scale"), F.col("z.b").alias("last_round"))
 
 
-@query("txt18_path_fields", "SELECT user_id, event_id, 'reap' AS method, round((event_id % 100) / 100.0 + 0.01, 2) AS ratio, (user_id % 50)::INT AS seed, event_id % 2 = 0 AS preserve FROM events")
+@query("txt18_path_fields", "SELECT user_id, event_id, 'prune' AS method, round((event_id % 100) / 100.0 + 0.01, 2) AS ratio, (user_id % 50)::INT AS seed, event_id % 2 = 0 AS preserve FROM events")
 def _(s, d):
     ratio = F.round((F.col("event_id") % 100) / 100 + 0.01, 2)
-    path = F.concat(F.lit("out/reap-"), F.format_number(ratio, 2), F.lit("-seed_"), (F.col("user_id") % 50).cast("string"), F.when(F.col("event_id") % 2 == 0, "-preserve_super").otherwise(""), F.lit("/eval"))
+    path = F.concat(F.lit("out/prune-"), F.format_number(ratio, 2), F.lit("-seed_"), (F.col("user_id") % 50).cast("string"), F.when(F.col("event_id") % 2 == 0, "-preserve_super").otherwise(""), F.lit("/eval"))
     p = T.path_fields(path)
     return table(s, d, "events").select("user_id", "event_id", *[c.alias(n) for n, c in p.items()])
 
