@@ -11,14 +11,17 @@ pair. It is computed in blocks, and only in blocks that can hold a pair above th
    documents hold does not fill a part by itself, so frequent n-grams are no hot keys and no statistics
    of n-grams are needed. Parts that are empty in a set carry no key unless a set has so many of them
    that they alone could be the agreement; then a prefix of them does, which keeps the join complete.
-3. Product. Nodes joined by keys form blocks. A block of more than CHUNK nodes is cut into chunks, and
+3. Refinement. Nodes joined by keys form blocks. In blocks of more than CHUNK nodes the nodes of each key's
+   head are compared by sketches (n-grams counted in bins, which bound the overlap from above), and the
+   block is cut to what can be linked.
+4. Product. A block of more than CHUNK nodes is cut into chunks, and
    each pair of chunks is a task of its own with bounded size. Overlap counts are accumulated over dense
    column panels of the n-grams that at least two nodes hold; pairs whose sizes rule them out, and pairs
    below the overlap that their sizes demand, are discarded. Of the links, a spanning forest leaves.
-4. Components over all links.
+5. Components over all links.
 
-A chain of candidate blocks with m nodes costs (m / CHUNK)^2 tasks; that is the price of exactness for
-near copies that all differ. Hashes of n-grams have 64 bits.
+A block with m nodes costs (m / CHUNK)^2 tasks, and a head with m nodes (m / SKETCHES)^2 of sketches; that
+is the price of exactness for near copies that all differ. Hashes of n-grams have 64 bits.
 
 Cases: null and empty texts have an empty set and link with nothing; a null doc_id gets its size and no
 component and takes no part; rows that repeat a doc_id must repeat its text and count as one document;
@@ -43,6 +46,8 @@ from corpusloom.session import table
 
 #: Nodes of a chunk, columns of a panel, nodes of a task made of small blocks, word hashes that a worker keeps.
 CHUNK, PANEL, UNIT, KEPT = 400, 2048, 2000, 500_000
+#: Bins of a sketch, and nodes of a chunk of sketches.
+BINS, SKETCHES = 256, 1000
 #: Size classes grow by this factor, or by 1 / threshold if that is more.
 RATIO = 1.4
 _U = np.uint64
@@ -192,9 +197,27 @@ def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return (den * small >= num * large) & (den * both >= num * (small + large - both)) & (both > 0)
 
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def sketch(h: np.ndarray) -> bytes:
+    """How many n-grams fall in each of BINS bins, at most 255."""
+    return np.minimum(np.bincount((h >> _U(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def near_sketches(sketches: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs can be linked by their sketches: bins bound the overlap from above, so no link is lost."""
+    meet = np.zeros((len(size), len(size)), np.float32)
+    for t in range(1, int(sketches.max(initial=0)) + 1):
+        a = (sketches >= t).astype(np.float32)
+        a = a[:, a.any(0)]
+        meet += a @ a.T
+    total = np.add.outer(size, size)
+    clipped = (sketches == 255).any(1)  # their bins bound nothing
+    fits = (den + num) * (total - 2 * meet) <= (den - num) * total
+    small, large = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    return (fits | clipped[:, None] | clipped[None, :]) & (den * small >= num * large)
+
+
+def forest(nodes: np.ndarray, on: np.ndarray, chunk: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links; between two chunks only the links across them."""
-    on = links(sets, num, den)
     if len(set(chunk.tolist())) > 1:
         on &= chunk[:, None] != chunk[None, :]
     np.fill_diagonal(on, True)
@@ -245,7 +268,7 @@ def verified_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den
         for part in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
             part = part[np.concatenate([[True], np.diff(node[part]) != 0])]  # rows that repeat a document
             if len(part) > 1:
-                out += forest(node[part], [np.frombuffer(data[int(k)].as_py(), _U) for k in part], chunk[part], num, den)
+                out += forest(node[part], links([np.frombuffer(data[int(k)].as_py(), _U) for k in part], num, den), chunk[part])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     texts = docs.join(broadcast_if_small(cut, n_nodes), "doc_id").select("doc_id", "text", "component", "chunks")
@@ -253,6 +276,39 @@ def verified_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den
     return spread.groupBy("unit", "i", "j").applyInArrow(product, "a long, b long")
 
 
+def refined(docs: DataFrame, pairs: DataFrame, large: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that join nodes of large blocks (node, component) whose sketches allow a link.
+
+    Nodes that share a key share its head, so every link lies within the group of some head: its nodes
+    are compared by sketches, chunk against chunk. A passage that ties very many documents into one block
+    by a few keys falls apart here at some hundred bytes a node and head.
+    """
+    n_large = large.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(width)
+        for batch in batches:
+            sets = [s.set(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h) for h in sets], pa.binary())], ["node", "n", "sketch"])
+
+    texts = docs.join(broadcast_if_small(large.select(F.col("node").alias("doc_id")), n_large), "doc_id").select("doc_id", "text")
+    sketches = materialise(texts.mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"]), "sketches")
+    own = pairs.join(broadcast_if_small(large.select("node"), n_large), "node", "left_semi")
+    own = materialise(own.union(own.select("head", "head")).distinct(), "head-groups")
+    count = materialise(own.groupBy("head").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("chunks")), "head-sizes")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")
+    cut = own.join(broadcast_if_small(count), "head").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("node", "head", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, size, part = (rows.column(c).to_numpy() for c in ("node", "n", "chunk"))
+        bins = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
+        out = forest(node, near_sketches(bins, size, num, den), part)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return cut.join(broadcast_if_small(sketches, n_large), "node").groupBy("head", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; linked from num / den on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -266,13 +322,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     single = docs.where("doc_id IS NOT NULL").join(broadcast_if_small(spare), "doc_id", "left_anti")
     by_key = W.partitionBy("key").orderBy("node")
     shared = postings(single, width, num, den).withColumn("head", F.first("node").over(by_key)).where("head <> node")
-    shared = shared.select("node", "head").distinct()
+    pairs = shared = materialise(shared.select("node", "head").distinct(), "heads")
     # A node's heads are tied to the smallest of them instead of each to the node: as connected, with far fewer
     # edges where near copies share many keys. A node has no more heads than keys, so its window is small.
     least = shared.withColumn("least", F.min("head").over(W.partitionBy("node")))
     tied = F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("least").alias("b")), F.struct(F.col("head").alias("a"), F.col("least").alias("b")))).alias("e")
     shared = materialise(least.select(tied).select("e.a", "e.b").where("a <> b").distinct(), "shared-keys")
     blocks = components(shared)
+    large = blocks.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("component")
+    large = materialise(blocks.join(broadcast_if_small(materialise(large, "large")), "component", "left_semi"), "large-blocks")
+    if large.limit(1).count():
+        rest = blocks.join(large.select("component").distinct(), "component", "left_anti")
+        blocks = materialise(rest.unionByName(components(refined(docs, pairs, large, width, num, den))), "refined-blocks")
     found = materialise(verified_links(docs, blocks, width, num, den), "links")
     labels = components(found)
     # Copies go with their node, a node with its component.
