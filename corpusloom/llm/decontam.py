@@ -4,9 +4,13 @@ Texts are lower-cased words (runs of word characters). A mask is a fixed pattern
 looks at some positions and ignores the others, so a hash of what it sees survives substitutions at the
 ignored ones. Every position of every benchmark item is hashed under every mask; so is every position of
 every training document, and equal hashes are joined. A hit fixes a diagonal (document position less item
-position), along which the whole item is compared: the best segment (a match gains 1, a mismatch loses
-PENALTY) must match at least `least` tokens, or `share` of the item if that is less, at `identity`.
-Items shorter than SPAN are hashed under a mask of their own length.
+position), along which the whole item is compared: some segment must match at least `least` tokens, or
+`share` of the item if that is less, at `identity`. Reported is the segment with the best score (a match gains
+1, a mismatch loses PENALTY) if it does, else the one that does with the most matches.
+
+The masks leave out no such segment at the default bounds (or stricter ones): items of 15 tokens or more are
+hashed under MASKS, of which one at least is whole in any segment of 12 matches at 0.8 (the tests prove it),
+shorter items under those of SHORT for their length, and items under 5 tokens, which must match whole, whole.
 
 The benchmark goes to the tasks in blocks of bounded size (a hash join whose build side is one block);
 every document is read whole against every block, so there is no shuffle of documents and a passage that
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,16 @@ from pyspark.sql import functions as F
 from corpusloom.session import table
 
 WORD = re.compile(r"\w+")
-#: Fixed masks (1: looked at); any two mismatches within a span leave one of them whole.
-MASKS = ("110110110110", "101101011011", "111010010111", "111111000111")
-SPAN = 12
+#: Fixed masks (1: looked at), found by search.
+MASKS = ("11111011", "10101001111", "11100101011", "1100100100111", "1111100011", "1001101010101")
+#: Masks of items that have at least so many tokens and fewer than the next: one mismatch from 5 on, two from 10 on.
+SHORT = {
+    5: ("111", "1101"),
+    8: ("1101111", "111111", "1111011"),
+    10: ("1111011", "11001111", "110110011", "10101111", "11110101"),
+    13: ("111011111", "1111101011", "11010011111", "111001100111", "1001110110011"),
+}
+LONG = 15
 LEAST, SHARE, IDENTITY, PENALTY = 12, 0.8, 0.8, 3
 #: Tokens of a benchmark block (some 60 bytes each with its hashes), and of a piece of documents hashed at once.
 BLOCK_TOKENS, PIECE_TOKENS = 1_000_000, 1 << 19
@@ -58,12 +70,14 @@ class Block:
                 seqs.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64))
         self.seqs = seqs
         self.code = _mix(np.arange(len(self.words) + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        short = sorted({len(s) for s in seqs if len(s) < SPAN})
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in masks] + [np.arange(n) for n in short]
-        self.spans = [len(m) for m in masks] + short
+        least = [*range(1, min(SHORT)), *SHORT, LONG]
+        tiers = [max(n for n in least if n <= len(s)) for s in seqs]
+        used = [(tier, m) for tier in sorted(set(tiers)) for m in (masks if tier == LONG else SHORT.get(tier, ("1" * tier,)))]
+        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for _, m in used]
+        self.spans = [len(m) for _, m in used]
         self.tables = []
-        for k, span in enumerate(self.spans):
-            own = [(i, s) for i, s in enumerate(seqs) if (len(s) >= span if k < len(masks) else len(s) == span)]
+        for k, (tier, _) in enumerate(used):
+            own = [(i, s) for i, s in enumerate(seqs) if tiers[i] == tier]
             h = [self.hashes(s, k) for _, s in own]
             key = np.concatenate([np.zeros(0, np.uint64), *h])
             item = np.repeat(np.array([i for i, _ in own], np.int64), [len(x) for x in h])
@@ -104,19 +118,33 @@ def best_segment(same: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
+def longest_segment(same: np.ndarray, identity: Fraction) -> tuple[int, int]:
+    """Bounds of the segment at `identity` with the most matches, without mismatches at its ends."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, identity.denominator - identity.numerator, -identity.numerator))])
+    low = np.minimum.accumulate(total)
+    starts = np.searchsorted(-low, -total, "left")  # of the longest segment up to each end
+    count = np.concatenate([[0], np.cumsum(same)])
+    end = int(np.argmax(count - count[starts]))
+    at = np.flatnonzero(same[starts[end] : end]) + starts[end]
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+
+
 def overlaps(block: Block, ids: np.ndarray, offset_hits: np.ndarray, least: int, share: float, identity: float) -> dict[int, tuple]:
     """The best verified overlap with each item, from one document's ids and hits."""
     best: dict[int, tuple] = {}
+    bound = Fraction(str(identity))
     for i, diagonal in offset_hits.tolist():
         seq = block.seqs[i]
         a, b = max(0, -diagonal), min(len(seq), len(ids) - diagonal)
         if b <= a:
             continue
         same = ids[diagonal + a : diagonal + b] == seq[a:b]
-        s, e = best_segment(same)
-        n = int(same[s:e].sum())
-        if n >= min(least, math.ceil(share * len(seq))) and n >= identity * (e - s) and (i not in best or n > best[i][0]):
-            best[i] = (n, n / (e - s), diagonal + a + s, diagonal + a + e, a + s)
+        for s, e in (best_segment(same), longest_segment(same, bound)):
+            n = int(same[s:e].sum())
+            if n and n >= min(least, math.ceil(share * len(seq))) and n >= bound * (e - s):
+                if i not in best or n > best[i][0]:
+                    best[i] = (n, n / (e - s), diagonal + a + s, diagonal + a + e, a + s)
+                break
     return best
 
 
@@ -134,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = held.value
-            gap = np.zeros(max(block.spans), np.int64)  # id 0 is in no item, so no hash spans two documents
+            gap = np.zeros(max(block.spans, default=1), np.int64)  # id 0 is in no item, so no hash spans two documents
             get = block.words.get
             for batch in batches:
                 out: list[tuple] = []
@@ -148,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
                         parts += [ids, gap]
                         at += len(ids) + len(gap)
                     whole = np.concatenate(parts)
-                    lap, seen = max(block.spans) - 1, []
+                    lap, seen = len(gap) - 1, []
                     for p in range(0, len(whole), PIECE_TOKENS):
                         h = block.hits(whole[p : p + PIECE_TOKENS + lap])
                         h[:, 1] += p

@@ -107,6 +107,45 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(docs, bench).count() == 0 and decontam.contamination(empty, bench).count() == 0 and decontam.contamination(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks_leave_out_nothing():
+    """The best scores (match 1, mismatch -4) of strings without a hit stay under those of 12 matches at 0.8; they are subadditive in length."""
+    width = max(map(len, decontam.MASKS))
+    states = np.arange(1 << width)
+    hit = np.any([states & int(m, 2) == int(m, 2) for m in decontam.MASKS], axis=0)
+    best = np.where(states == 0, 0, -10_000)
+    for n in range(1, 31):
+        best = np.maximum(best[states >> 1], best[states >> 1 | 1 << width - 1]) + np.where(states & 1, 1, -4)
+        best[hit] = -10_000
+        assert n < 12 or best.max() < max(0, 60 - 4 * n)
+    for n in range(1, decontam.LONG):
+        masks = decontam.SHORT[max(k for k in decontam.SHORT if k <= n)] if n >= 5 else ("1" * n,)
+        for gone in itertools.combinations(range(n), n - -(-4 * n // 5)):
+            bits = "".join("01"[k not in gone] for k in range(n))
+            assert any(int(bits[k : k + len(m)], 2) & int(m, 2) == int(m, 2) for m in masks for k in range(n - len(m) + 1))
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(7)
+    items = [(k, prose(600 + k, n)) for k, n in enumerate([15, 15, 18, 25, 25, 40, 14, 12, 10, 9, 8, 6, 5, 3])]
+    rows = [(0, " ".join(w if k != 11 else "new" for k, w in enumerate(items[0][1].split())))]
+    for k in range(1, 200):
+        words = r.choice(items)[1].split()
+        for at in r.sample(range(len(words)), r.randint(0, -(-len(words) // 4))):
+            words[at] = "new"
+        rows.append((k, " ".join([prose(900 + k, r.randint(0, 3)), *words, prose(1900 + k, r.randint(0, 3))])))
+
+    def meets(doc, item):
+        for d in range(1 - len(item), len(doc)):
+            same = [0 <= d + k < len(doc) and doc[d + k] == w for k, w in enumerate(item)]
+            need = min(12, -(-4 * len(item) // 5))
+            if sum(same) >= need and any(sum(same[a:b]) >= max(need, 0.8 * (b - a)) for a in range(len(item)) for b in range(a + need, len(item) + 1)):
+                return True
+        return False
+
+    got = {(x.doc_id, x.item_id) for x in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (0, 0) in got and got == {(d, i) for d, text in rows for i, item in items if meets(text.split(), item.split())}
+
+
 def test_jaccard_against_all_pairs(spark, docs, empty):
     r = random.Random(5)
     rows = [(None, "lost"), (900, None), (901, ""), (902, "a b"), (903, "A b"), (904, "a")]
