@@ -95,7 +95,7 @@ class Block:
         return out
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct (item, diagonal) rows of the hits in a run of token ids."""
+        """(item, diagonal, position) rows of the hits in a run of token ids."""
         found = []
         for k, (key, item, at, bits) in enumerate(self.tables):
             if not len(key) or len(ids) < self.spans[k]:
@@ -106,8 +106,9 @@ class Block:
             n = high - low
             if n.any():
                 rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append(np.stack([item[rows], np.repeat(p, n) - at[rows]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                at_doc = np.repeat(p, n)
+                found.append(np.stack([item[rows], at_doc - at[rows], at_doc], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def best_segment(same: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
@@ -175,22 +176,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
                         starts.append(at)
                         parts += [ids, gap]
                         at += len(ids) + len(gap)
-                    whole = np.concatenate(parts)
+                    whole, begins = np.concatenate(parts), np.array(starts)
                     lap, seen = len(gap) - 1, []
                     for p in range(0, len(whole), PIECE_TOKENS):
                         h = block.hits(whole[p : p + PIECE_TOKENS + lap])
-                        h[:, 1] += p
-                        seen.append(h)
+                        h[:, 1:] += p
+                        # The hit's position lies in its document; its diagonal may begin before it and end after it.
+                        h[:, 2] = np.searchsorted(begins, h[:, 2], "right") - 1
+                        seen.append(np.unique(h, axis=0))
                     hits = np.concatenate(seen)
-                    # A diagonal names its document by the end of the item on it, which lies in the document or after it.
-                    begins = np.array(starts)
-                    lens = np.array([len(s) for s in block.seqs] or [0])
-                    for d in np.unique(np.concatenate([np.searchsorted(begins, hits[:, 1], "right") - 1, np.searchsorted(begins, hits[:, 1] + lens[hits[:, 0]] - 1, "right") - 1])) if len(hits) else []:
-                        doc_id, ids = group[max(int(d), 0)]
-                        s = starts[max(int(d), 0)]
-                        mine = hits[(hits[:, 1] + lens[hits[:, 0]] > s) & (hits[:, 1] < s + len(ids))].copy()
-                        mine[:, 1] -= s
-                        for i, found in sorted(overlaps(block, ids, np.unique(mine, axis=0), least, share, identity).items()):
+                    hits = hits[np.argsort(hits[:, 2], kind="stable")]
+                    for mine in np.split(hits, np.flatnonzero(np.diff(hits[:, 2])) + 1) if len(hits) else []:
+                        d = int(mine[0, 2])
+                        doc_id, ids = group[d]
+                        own = np.unique(mine[:, :2] - [0, starts[d]], axis=0)
+                        for i, found in sorted(overlaps(block, ids, own, least, share, identity).items()):
                             out.append((doc_id, block.items[i], *found))
 
                 for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):

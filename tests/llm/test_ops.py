@@ -146,6 +146,16 @@ def test_decontamination_by_brute_force(spark):
     assert (0, 0) in got and got == {(d, i) for d, text in rows for i, item in items if meets(text.split(), item.split())}
 
 
+def test_decontamination_does_not_depend_on_neighbours(spark):
+    item = prose(700, 50)
+    texts = [prose(701, 30), " ".join(item.split()[10:30]), prose(702, 30), "", " ".join(item.split()[20:32]), prose(703, 3), " ".join(item.split()[35:])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for order in (range(7), reversed(range(7)), [1, 4, 6, 0, 2, 3, 5]):
+        df = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: (r.n_matched, r.doc_start, r.doc_end, r.item_start) for r in decontam.contamination(df, bench).collect()}
+        assert got == {1: (20, 0, 20, 10), 4: (12, 0, 12, 20), 6: (15, 0, 15, 35)}
+
+
 def test_jaccard_against_all_pairs(spark, docs, empty):
     r = random.Random(5)
     rows = [(None, "lost"), (900, None), (901, ""), (902, "a b"), (903, "A b"), (904, "a")]
