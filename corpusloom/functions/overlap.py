@@ -21,14 +21,26 @@ def rouge_n(predicted: Column, reference: Column, n: int) -> Column:
     return F.coalesce(F.try_divide(2 * both, F.size(a) + F.size(b)), F.lit(0.0))
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row at a time."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+#: Words of a whose rows are the bits of one number.
+LCS_BITS = 4096
+
+
+def lcs(a: list[str], b: list[str], width: int = LCS_BITS) -> int:
+    """Length of the longest common subsequence: `width` rows at a time as bits (clear where the length grows), carries between them."""
+    n, carries = 0, bytearray(len(b))
+    for at in range(0, len(a), width):
+        block = a[at : at + width]
+        places: dict[str, int] = {}
+        for k, x in enumerate(block):
+            places[x] = places.get(x, 0) | 1 << k
+        full = left = (1 << len(block)) - 1
+        for j, y in enumerate(b):
+            grows = left & places.get(y, 0)
+            total = left + grows + carries[j]
+            carries[j] = total >> len(block)
+            left = (total | left - grows) & full
+        n += len(block) - left.bit_count()
+    return n
 
 
 def rouge_l_score(a: list[str], b: list[str]) -> float:

@@ -213,3 +213,34 @@ def test_eval_crawl(spark, tmp_path):
 def test_entropy_of_uniform(spark):
     row = spark.range(1).select(aggregates.entropy(aggregates.softmax(F.array(*[F.lit(0.0)] * 4))).alias("h")).first()
     assert abs(row.h - np.log(4)) < 1e-9
+
+
+def test_lcs_by_brute_force():
+    import random
+
+    from corpusloom.functions import overlap
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcdef"[: r.randint(1, 6)]) for _ in range(r.randint(0, 40))] for _ in range(2))
+        assert {overlap.lcs(a, b, width) for width in (1, 3, 8, 4096)} == {plain(a, b)}
+
+
+def test_rouge_l_and_bleu_read_whole_texts(spark, tmp_path):
+    from corpusloom.functions import overlap
+    from corpusloom.plans import catalogue
+
+    texts = [" ".join(f"w{k * k % 97}" for k in range(n)) for n in (3, 5, 30, 200)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["agg08_rouge_l_bleu_4"](spark, str(tmp_path)).first()
+    pairs = [(w, w[4:]) for w in ((x or "").split() for x in texts) if len(w) > 4]
+    assert got.rouge_l == pytest.approx(100 * sum(overlap.rouge_l_score(a, b) for a, b in pairs) / len(pairs), abs=1e-5)
+    assert got.bleu_4 == pytest.approx(100 * sum(overlap.bleu4_score(a, b) for a, b in pairs) / len(pairs), abs=1e-5)
