@@ -2,14 +2,15 @@
 
 Strong patterns (assign, access, hex) are reported wherever they stand. Weak candidates mean nothing on
 their own and are reported only where complementary parts co-occur. Parts are half-open intervals of
-code points. Each is widened by `reach` and clipped to its scope (the text between blank lines, so that
-one config block does not lend its parts to another), and an interval join tells which kinds meet:
+code points. Each is widened to its scope (the text between blank lines, so that one config block does
+not lend its parts to another) or, if `reach` is given, to that much of it, and an interval join tells
+which kinds meet:
 
-* identifier: a user, account or client id; reported with a secret part in reach;
-* secret: a long token of mixed classes; reported with an access key or identifier in reach;
-* endpoint: a URL host or host:port; reported with both an access part and a secret part in reach.
+* identifier: a user, account or client id; reported with a secret part in its window;
+* secret: a long token of mixed classes; reported with an access key or identifier in its window;
+* endpoint: a URL host or host:port; reported with both an access part and a secret part in its window.
 
-Secret parts are assign and secret spans, access parts are access and identifier spans; parts of the
+Secret parts are assign, hex and secret spans, access parts are access and identifier spans; parts of the
 same characters do not complement each other. The join is by sorted starts and binary search, so its
 cost is n log n in a document's parts, and only existence is asked: no list of pairs is made.
 
@@ -39,7 +40,7 @@ SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+.-]{1,12}://[A-Za-z0-9.-]+(?::\d{1,5})?|(?:[a-z0-9-]+\.){1,4}[a-z]{2,12}:\d{2,5})")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
-#: Code points between parts that may belong together.
+#: Code points between parts that may belong together, for callers that want less than the scope.
 REACH = 300
 Span = tuple[str, int, int]
 
@@ -82,8 +83,8 @@ class _Parts:
         return k < len(self.starts) and self.starts[k] < high
 
 
-def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak candidates whose complementary parts are within reach in the same scope."""
+def linked_spans(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Weak candidates whose complementary parts are in the same scope, and within reach unless it is None."""
     access = [s for s in base if s[0] == "access"]
     taken = _Parts(base)
 
@@ -97,11 +98,12 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     secrets = [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if free(m) and _mixed(m.group())]
     endpoints = [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     edges = [0, *(m.end() for m in BLANK_LINE.finditer(text)), len(text)]
-    ids, keys = _Parts(access + identifiers), _Parts([s for s in base if s[0] == "assign"] + secrets)
+    ids, keys = _Parts(access + identifiers), _Parts([s for s in base if s[0] != "access"] + secrets)
 
     def window(a: int, b: int) -> tuple[int, int]:
         k = bisect_right(edges, a)
-        return max(edges[k - 1], a - reach), min(edges[k] if k < len(edges) else len(text), b + reach)
+        low, high = edges[k - 1], edges[k] if k < len(edges) else len(text)
+        return (low, high) if reach is None else (max(low, a - reach), min(high, b + reach))
 
     out = [s for s in identifiers if keys.near(s[1], s[2], *window(s[1], s[2]))]
     out += [s for s in secrets if ids.near(s[1], s[2], *window(s[1], s[2]))]
@@ -116,7 +118,7 @@ def _joined(spans: list[Span]) -> str:
 SPANS_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
 
 
-def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """One row per document: counts of the strong kinds, the digest of their spans, and all spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
