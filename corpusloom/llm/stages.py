@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; documents that had text and keep none go."""
-    out = line_dedup.remove_boilerplate(docs.select(*COLUMNS))
+    """Boilerplate lines of any length go from the texts; documents that had text and keep none go."""
+    out = line_dedup.remove_boilerplate(docs.select(*COLUMNS), min_chars=1)
     gone = (F.col("n_removed") > 0) & (F.trim("text") == "")
     out = out.where(~F.coalesce(gone, F.lit(False)))
     return out.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in COLUMNS])

@@ -92,6 +92,13 @@ def test_line_dedup_by_brute_force(spark, docs, empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+def test_pipeline_judges_short_lines(spark):
+    rows = [(k, f"Les.\nFew.\n\n{prose(800 + k, 8)}", "en", f"s{k if k < 10 else 0}", 1) for k in range(12)]
+    rows = [(k, text.replace("Few.", "Few." if k < 9 else ""), *rest) for k, text, *rest in rows]
+    got = {r.doc_id: r.text for r in stages.line_deduplication(spark, spark.createDataFrame(rows, DOC), "").collect()}
+    assert got == {k: text if k == 0 else text.removeprefix("Les.\n") for k, text, *_ in rows}
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(500, 40)
     swapped = item.split()
