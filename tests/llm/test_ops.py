@@ -210,14 +210,15 @@ def test_block_keys_meet():
                 assert len(np.intersect1d(ngram_jaccard.block_keys(a, num, 100), ngram_jaccard.block_keys(b, num, 100)))
 
 
-def test_embeddings_against_all_pairs(spark):
+def test_embeddings_against_all_pairs(spark, monkeypatch):
     r = np.random.default_rng(2)
     centres = r.standard_normal((12, 24))
     vectors = [(i, (centres[i % 12] + r.standard_normal(24) * 0.16).tolist()) for i in range(120)]
     vectors += [(200, vectors[0][1]), (201, [0.0] * 24), (202, None), (203, [float("nan")] * 24), (204, [1.0, 2.0]), (205, [2.0, 4.0]), (206, []), (207, [1.0, None]), (None, vectors[0][1]), (0, vectors[0][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x"))
-    for grid in (1, 2):
-        got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, 0.95, grid).collect()}
+    for cell, chunk in ((embedding_dedup.CELL, 8192), (10, 8192), (40, 16)):
+        monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+        got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, 0.95, cell).collect()}
         good = {}
         for i, v in vectors[:-1]:
             if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
@@ -236,6 +237,29 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_and_leaves_keep_every_near_pair():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((3000, 6)) * 0.2
+    limit = 0.03
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = {(i, j) for i, j in zip(*np.nonzero(d2 <= limit), strict=True) if i < j}
+    for levels in (0, 3, 9):
+        tree = embedding_dedup.plant(x[:500], levels)
+        row, cell, home = embedding_dedup.reached(x, tree, limit)
+        assert home.sum() == len(x) and (cell[home] == embedding_dedup.home_cells(x[row[home]], tree)).all()
+        at = dict(zip(row[home].tolist(), cell[home].tolist(), strict=True))
+        probes = set(zip(row[~home].tolist(), cell[~home].tolist(), strict=True))
+        assert len(probes) == (~home).sum() and all(at[i] == at[j] or (i, at[j]) in probes or (j, at[i]) in probes for i, j in near)
+    home, probe = np.arange(2000), np.arange(2000, 3000)
+    for within in (True, False):
+        met = []
+        for mine, others in embedding_dedup.leaves(x, home, probe, limit, within):
+            met += itertools.product(mine.tolist(), others.tolist())
+            met += itertools.combinations(sorted(mine.tolist()), 2) if within else []
+        met = [(min(p), max(p)) for p in met]
+        assert len(set(met)) == len(met) and set(met) >= {p for p in near if p[0] < 2000 and (within or p[1] >= 2000)}
+
+
 def test_token_counts_and_cache(spark, docs, empty):
     import sentencepiece
 
