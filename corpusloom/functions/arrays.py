@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,14 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression inside a lambda is otherwise computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(ids: Column, needle: Column) -> Column:
     """0-based starts of a sub-sequence."""
-    return F.filter(_range(F.size(ids) - F.size(needle) + 1), lambda i: F.slice(ids, i + 1, F.size(needle)) == needle)
+    return bound(ids, lambda x: F.filter(_range(F.size(x) - F.size(needle) + 1), lambda i: F.slice(x, i + 1, F.size(needle)) == needle))
 
 
 def pad(ids: Column, length: Column, value: Column, left: bool = False) -> Column:
@@ -40,9 +47,11 @@ def top_logprobs(logprobs: Column, n: int) -> Column:
 
 def replace_assistant(roles: Column, contents: Column, rounds: Column) -> Column:
     """Contents with the last assistant turns replaced by rounds, the last round to the last turn."""
-    at = F.filter(_range(F.size(roles)), lambda i: F.get(roles, i) == "assistant")
-    shift = F.size(rounds) - F.size(at)
-    return F.transform(contents, lambda c, i: F.coalesce(F.when(F.get(roles, i) == "assistant", F.get(rounds, (F.array_position(at, i) - 1).cast("int") + shift)), c))
+    def replaced(at: Column) -> Column:
+        shift = F.size(rounds) - F.size(at)
+        return F.transform(contents, lambda c, i: F.coalesce(F.when(F.get(roles, i) == "assistant", F.get(rounds, (F.array_position(at, i) - 1).cast("int") + shift)), c))
+
+    return bound(F.filter(_range(F.size(roles)), lambda i: F.get(roles, i) == "assistant"), replaced)
 
 
 def argmax(x: Column) -> Column:
@@ -57,7 +66,6 @@ def sigmoid_labels(x: Column, cut: float = 0.5) -> Column:
 
 def class_logprobs(x: Column, n: int) -> Column:
     """The n best classes as [(class, logprob)]."""
-    top = F.array_max(x)
-    lse = top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    lse = bound(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
     ranked = F.slice(F.array_sort(F.transform(x, lambda v, i: F.struct((-v).alias("neg"), i.alias("cls")))), 1, n)
-    return F.transform(ranked, lambda s: F.struct(s["cls"].alias("cls"), (-s["neg"] - lse).alias("logprob")))
+    return bound(lse, lambda z: F.transform(ranked, lambda s: F.struct(s["cls"].alias("cls"), (-s["neg"] - z).alias("logprob"))))

@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.operators.aggregates import word_grams
+from corpusloom.functions.arrays import bound
+from corpusloom.operators.aggregates import gram_hashes, hashed_words
 
 
 def rouge_n(predicted: Column, reference: Column, n: int) -> Column:
-    """F of distinct n-gram overlap; 0 if either side has none."""
-    grams = lambda w: F.when(F.size(w) >= n, F.array_distinct(word_grams(w, n))).otherwise(F.array().cast("array<string>"))
-    a, b = grams(predicted), grams(reference)
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(2 * both, F.size(a) + F.size(b)), F.lit(0.0))
+    """F of distinct n-gram overlap (64-bit hashes); 0 if either side has none."""
+    grams = lambda w: bound(hashed_words(w), lambda h: F.array_distinct(gram_hashes(h, n)))
+    score = lambda a, b: F.try_divide(2 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b))
+    return F.coalesce(bound(F.struct(grams(predicted).alias("a"), grams(reference).alias("b")), lambda g: score(g["a"], g["b"])), F.lit(0.0))
 
 
 #: Words of a whose rows are the bits of one number.
@@ -49,15 +49,16 @@ def rouge_l_score(a: list[str], b: list[str]) -> float:
 
 
 def bleu4_score(predicted: list[str], reference: list[str]) -> float:
-    """BLEU-4 with 0.1 for an order without a match."""
-    if not predicted:
+    """BLEU-4 with geometric smoothing: the k-th order without a match counts 1 / 2^k matches; 0 without any common word."""
+    if not predicted or not set(predicted) & set(reference):
         return 0.0
-    logs = 0.0
+    logs, missed = 0.0, 0
     for n in range(1, 5):
         grams = lambda w, n=n: Counter(zip(*(w[i:] for i in range(n)), strict=False))
         have = grams(predicted)
         hit = sum((have & grams(reference)).values())
-        logs += math.log((hit or 0.1) / max(1, sum(have.values()))) / 4
+        missed += not hit
+        logs += math.log((hit or 0.5**missed) / max(1, sum(have.values()))) / 4
     return min(1.0, math.exp(1 - len(reference) / len(predicted))) * math.exp(logs)
 
 

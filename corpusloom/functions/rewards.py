@@ -15,13 +15,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.aggregates import word_grams
+from corpusloom.functions.arrays import bound
+from corpusloom.operators.aggregates import gram_hashes, hashed_words
 
 _one = lambda c: F.when(c, 1.0).otherwise(0.0)
 
 #: Formats of whole completions.
 THINK_ANSWER = r"(?s)\A<think>.*?</think>\s*<answer>.*?</answer>\z"
-REACT = r"(?sm)^<think>.*?</think>\s*Action:.*?Action Input:.*?$"
+REACT = r"(?sm)\A<think>.*?</think>\s*Action:.*?Action Input:.*?$"
 
 
 def format_reward(completion: Column) -> Column:
@@ -39,10 +40,9 @@ def cosine_length(length: Column, correct: Column, max_len: int = 1000, wrong: t
 
 
 def repetition(completion: Column, n: int = 3, penalty: float = -1.0) -> Column:
-    """penalty times the share of repeated word n-grams."""
-    w = T.words(F.lower(completion))
-    count = F.size(w) - (n - 1)
-    return F.when(count > 0, (1 - F.size(F.array_distinct(word_grams(w, n))) / count) * penalty).otherwise(0.0)
+    """penalty times the share of repeated word n-grams (hashed to 64 bits)."""
+    grams = bound(hashed_words(T.words(F.lower(completion))), lambda h: gram_hashes(h, n))
+    return F.coalesce(bound(grams, lambda g: F.when(F.size(g) > 0, (1 - F.size(F.array_distinct(g)) / F.size(g)) * penalty)), F.lit(0.0))
 
 
 def soft_overlong(length: Column, max_length: int, cache: int) -> Column:
@@ -107,17 +107,17 @@ def arithmetic(expression: str) -> float:
 
 
 def countdown(completion: str | None, task: str | None) -> float:
-    """task: JSON with target and nums. 1 if the answer's equation uses each number once and meets the target."""
+    """task: JSON with target and nums. 1 if the answer's equation uses each number once and meets the target; 0 for a task that is none."""
     found = re.search(r"<answer>(.*?)</answer>", completion or "", re.S)
     if not found:
         return 0.0
-    given = json.loads(task)
     equation = found[1].strip().split("=")[0]
-    if sorted(map(int, re.findall(r"\d+", equation))) != sorted(given["nums"]):
-        return 0.0
     try:
+        given = json.loads(task or "")
+        if sorted(map(int, re.findall(r"\d+", equation))) != sorted(given["nums"]):
+            return 0.0
         return float(abs(arithmetic(equation) - given["target"]) < 1e-5)
-    except ValueError:
+    except (ValueError, TypeError, KeyError):
         return 0.0
 
 

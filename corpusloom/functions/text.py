@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import bound
+
 #: Python's str.split() white space that Java's \s lacks is added by (?U).
 WORDS = r"(?U)\S+"
 
@@ -38,11 +40,10 @@ def words(text: Column) -> Column:
 
 def truncate(ids: Column, length: int, side: str = "right", protected: Column | None = None) -> Column:
     """An array cut to `length`; elements in `protected` survive first, the order stays."""
-    n = F.size(ids)
     if side == "raise":
-        return F.when(n <= length, ids).otherwise(F.raise_error(F.lit("the sequence is too long")).cast("array<int>"))
+        return F.when(F.size(ids) <= length, ids).otherwise(F.raise_error(F.lit("the sequence is too long")).cast("array<int>"))
     if protected is None:
-        return F.slice(ids, 1, length) if side == "right" else F.slice(ids, F.greatest(n - length + 1, F.lit(1)), length)
+        return F.slice(ids, 1, length) if side == "right" else bound(ids, lambda x: F.slice(x, F.greatest(F.size(x) - length + 1, F.lit(1)), length))
     pairs = F.transform(ids, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.array_contains(protected, x).alias("p")))
     order = F.transform(pairs, lambda s: F.struct((~s["p"]).cast("int").alias("a"), (s["i"] if side == "right" else -s["i"]).alias("b"), s["i"].alias("i"), s["x"].alias("x")))
     kept = F.slice(F.array_sort(order), 1, length)
@@ -51,8 +52,8 @@ def truncate(ids: Column, length: int, side: str = "right", protected: Column |
 
 def split_chunks(ids: Column, length: int) -> Column:
     """array of arrays of at most `length`."""
-    n = F.size(ids)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(length)), lambda i: F.slice(ids, i, length))).otherwise(F.array(ids))
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(length)), lambda i: F.slice(x, i, length))
+    return bound(ids, lambda x: F.when(F.size(x) > 0, cut(x)).otherwise(F.array(x)))
 
 
 def answer_tag(text: Column) -> Column:

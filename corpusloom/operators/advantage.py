@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sampling import exact_quantile
+
 EPS, GDPO_EPS, BOUND = 1e-4, 1e-8, 20.0
 
 
@@ -78,8 +80,8 @@ def hard_prompts(df: DataFrame, group: str, reward: str, samples: int, threshold
 def quantile_mask(df: DataFrame, column: str, share: float, by: str | None = None) -> DataFrame:
     """df with `keep`: in the top `share` of the column by exact linear quantile; NaN and null are left out."""
     clean = df.withColumn("_x", F.when(~F.isnan(column), F.col(column)))
-    cut = (clean.groupBy(by) if by else clean.groupBy()).agg(F.percentile("_x", F.lit(1 - share)).alias("_cut"))
-    joined = clean.join(F.broadcast(cut), by) if by else clean.crossJoin(F.broadcast(cut))
+    cut = exact_quantile(clean, "_x", 1 - share, [by] if by else [], "_cut")
+    joined = clean.join(cut, by, "left") if by else clean.join(F.broadcast(cut), how="left")  # without groups the cut is one row
     return joined.withColumn("keep", F.coalesce(F.col("_x") >= F.col("_cut"), F.lit(False))).drop("_x", "_cut")
 
 

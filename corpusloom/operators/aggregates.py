@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import bound
+
 
 def clean(x: Column) -> Column:
     """NaN as null."""
@@ -107,19 +109,27 @@ def weighted_mean(df: DataFrame, key: list[str], mean: str, n: str) -> DataFrame
     return df.groupBy(*key).agg((F.sum(F.col(mean) * F.col(n)) / F.sum(n)).alias("mean"), F.sum(n).alias("count"))
 
 
-def word_grams(words: Column, n: int) -> Column:
-    """All n-grams of an array of at least n words."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+def hashed_words(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """64-bit hashes of all n-grams, from those of the words; empty where there are fewer than n. Neighbours are paired
+    n - 1 times, so the cost is linear in the words. Give a column or a bound value: it is read several times."""
+    count = F.greatest(F.size(hashes) - (n - 1), F.lit(0))
+    out = F.slice(hashes, 1, count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(hashes, k + 1, count), lambda g, h: F.xxhash64(g, h))
+    return out
 
 
 def ngram_diversity(df: DataFrame, words: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """distinct_<n>: distinct n-grams over all n-grams of each row (0 where there are none)."""
-    out = df.withColumn("_w", words)
+    """distinct_<n>: distinct n-grams over all n-grams of each row, by 64-bit hashes (0 where there are none)."""
+    out = df.withColumn("_h", hashed_words(words))
     for n in sizes:
-        count = F.greatest(F.size("_w") - (n - 1), F.lit(0))
-        grams = F.when(count > 0, word_grams(F.col("_w"), n))
-        out = out.withColumn(f"distinct_{n}", F.coalesce(F.size(F.array_distinct(grams)) / count, F.lit(0.0)))
-    return out.drop("_w")
+        count = F.greatest(F.size("_h") - (n - 1), F.lit(0))
+        out = out.withColumn(f"distinct_{n}", F.coalesce(F.try_divide(F.size(F.array_distinct(gram_hashes(F.col("_h"), n))), count), F.lit(0.0)))
+    return out.drop("_h")
 
 
 def softmax(x: Column) -> Column:
@@ -138,6 +148,16 @@ def entropy(p: Column) -> Column:
     return -total(F.transform(p, lambda v: F.when(v > 0, v * F.log(v)).otherwise(0.0)))
 
 
+def logits_entropy(z: Column) -> Column:
+    """Shannon entropy of softmax(z): log-sum-exp less the mean logit, from two running sums about the top."""
+    def sums(x: Column) -> Column:
+        top = F.array_max(x)
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+        return F.aggregate(x, start, lambda a, v: F.struct((a["s"] + F.exp(v - top)).alias("s"), (a["w"] + F.exp(v - top) * (v - top)).alias("w")))
+
+    return bound(bound(z, sums), lambda a: F.log(a["s"]) - a["w"] / a["s"])
+
+
 def kl(p: Column, q: Column, eps: float = 1e-10) -> Column:
     return total(F.zip_with(p, q, lambda a, b: a * F.log((a + eps) / (b + eps))))
 

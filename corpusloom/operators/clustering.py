@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,8 +71,6 @@ def agglomerative(distances: DataFrame, layer: str, n_clusters: int, linkage: st
 
 def allocate(heights: DataFrame, layer: str, merges: int) -> DataFrame:
     """(layer, merges): the cheapest merges over all layers; a layer's merges come in its own order."""
-    from pyspark.sql import Window as W
-
     # A merge cannot come before the ones below it, so it costs at least as much as they do.
     cost = F.max("height").over(W.partitionBy(layer).orderBy("step").rowsBetween(W.unboundedPreceding, 0))
     chosen = heights.withColumn("cost", cost).orderBy("cost", layer, "step").limit(merges)
@@ -135,8 +134,6 @@ def kmeans_costs(vectors: DataFrame, layer: str, expert: str, vector: str) -> Da
 
 def multi_layer_kmeans(vectors: DataFrame, layer: str, expert: str, vector: str, merges: int) -> DataFrame:
     """k of each layer from the cheapest rises of cost over all layers, then k-means."""
-    from pyspark.sql import Window as W
-
     costs = kmeans_costs(vectors, layer, expert, vector)
     w = W.partitionBy(layer).orderBy(F.col("k").desc())
     steps = costs.select(layer, (F.row_number().over(w) - 2).cast("long").alias("step"), (F.col("cost") - F.lag("cost").over(w)).alias("height")).where("step >= 0")
@@ -170,34 +167,44 @@ def cluster_experts(vectors: DataFrame, layer: str, expert: str, vector: str, we
     return vectors.groupBy(layer).applyInPandas(run, f"{layer} long, {expert} int, cluster long")
 
 
-def mean_coupling(vectors: DataFrame, vector: str, dim: int) -> DataFrame:
-    """Mean absolute correlation of different coordinates, by built-in aggregates (dim (dim - 1) / 2 of them)."""
-    pairs = [F.abs(F.corr(F.col(vector)[i], F.col(vector)[j])) for i in range(dim) for j in range(i + 1, dim)]
-    return vectors.agg(F.array(*pairs).alias("r")).select((F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / len(pairs)).alias("coupling"))
+def _summed(vectors: DataFrame, vector: str, layer: str | None = None) -> DataFrame:
+    """(layer, n, s, q) parts of the count, sum and sum of outer products, one an Arrow batch and layer: vectors are not gathered."""
+    rows = vectors.select(F.col(layer).cast("long").alias("layer") if layer else F.lit(0).cast("long").alias("layer"), F.col(vector).alias("v")).where("v IS NOT NULL")
 
+    def partial(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby("layer"):
+                x = np.stack(part["v"].to_numpy())
+                yield pd.DataFrame({"layer": [key], "n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x.T @ x).ravel().tolist()]})
 
-def _moments(pdf: pd.DataFrame, vector: str) -> np.ndarray:
-    x = np.stack(pdf[vector].to_numpy())
-    return x - x.mean(0)
+    return rows.mapInPandas(partial, "layer long, n long, s array<double>, q array<double>")
 
 
-def effective_rank(vectors: DataFrame, layer: str, vector: str) -> DataFrame:
-    """exp of the entropy of the covariance's eigenvalues. Moments are summed per Arrow batch, so vectors are not gathered."""
-    def partial(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby(layer):
-                x = np.stack(part[vector].to_numpy())
-                yield pd.DataFrame({layer: [key], "n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x.T @ x).ravel().tolist()]})
+def _covariance(parts: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance from the parts of a layer."""
+    n, s, q = parts["n"].sum(), np.sum(np.stack(parts["s"].to_numpy()), 0), np.sum(np.stack(parts["q"].to_numpy()), 0)
+    return int(n), s / n, q.reshape(len(s), -1) / n - np.outer(s / n, s / n)
+
 
+def mean_coupling(vectors: DataFrame, vector: str) -> DataFrame:
+    """Mean absolute correlation of different coordinates."""
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s, q = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), 0), np.sum(np.stack(pdf["q"].to_numpy()), 0)
-        cov = q.reshape(len(s), -1) / n - np.outer(s / n, s / n)
-        e = np.clip(np.linalg.eigvalsh(cov), 0, None)
+        cov = _covariance(pdf)[2]
+        sd = np.sqrt(np.diag(cov))
+        r = cov / np.outer(sd, sd)
+        return pd.DataFrame({"coupling": [float(np.abs(r[np.triu_indices(len(r), 1)]).mean())]})
+
+    return _summed(vectors, vector).groupBy("layer").applyInPandas(final, "coupling double")
+
+
+def effective_rank(vectors: DataFrame, layer: str, vector: str) -> DataFrame:
+    """exp of the entropy of the covariance's eigenvalues."""
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = np.clip(np.linalg.eigvalsh(_covariance(pdf)[2]), 0, None)
         p = e / max(e.sum(), 1e-300)
-        return pd.DataFrame({layer: [pdf[layer].iloc[0]], "effective_rank": [float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))]})
+        return pd.DataFrame({layer: [pdf["layer"].iloc[0]], "effective_rank": [float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))]})
 
-    sums = vectors.select(layer, vector).mapInPandas(partial, f"{layer} long, n long, s array<double>, q array<double>")
-    return sums.groupBy(layer).applyInPandas(final, f"{layer} long, effective_rank double")
+    return _summed(vectors, vector, layer).groupBy("layer").applyInPandas(final, f"{layer} long, effective_rank double")
 
 
 def hull_area(points: np.ndarray) -> float:
@@ -219,16 +226,79 @@ def hull_area(points: np.ndarray) -> float:
     return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of 2-D points in order, by a monotone chain; fewer than three points as they are."""
+    p = sorted(set(map(tuple, points.tolist())))
+    if len(p) < 3:
+        return np.array(p).reshape(-1, 2)
+
+    def chain(points: list) -> list:
+        out: list = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Area of the convex hull of 2-D points."""
+    ring = hull(points)
+    if len(ring) < 3:
+        return 0.0
+    x, y = ring[:, 0], ring[:, 1]
+    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
+
+
 def collapse_metrics(vectors: DataFrame, layer: str, vector: str, bins: int = 10) -> DataFrame:
     """Of each layer's vectors: shares of the first two principal components, mean distance to the mean, entropy of a
-    2-D histogram and hull area of the projection."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _moments(pdf, vector)
-        _, s, v = np.linalg.svd(x, full_matrices=False)
-        share = s**2 / max((s**2).sum(), 1e-300)
-        y = x @ v[:2].T
-        h = np.histogram2d(y[:, 0], y[:, 1], bins)[0].ravel() / len(y)
-        row = {layer: pdf[layer].iloc[0], "pc1_share": share[0], "pc2_share": share[1], "spread": np.linalg.norm(x, axis=1).mean(), "entropy": -(h[h > 0] * np.log(h[h > 0])).sum(), "hull_area": hull_area(y)}
-        return pd.DataFrame([row])
-
-    return vectors.select(layer, vector).groupBy(layer).applyInPandas(run, f"{layer} long, pc1_share double, pc2_share double, spread double, entropy double, hull_area double")
+    2-D histogram and hull area of the projection.
+
+    Vectors are read three times and never gathered: for the moments, whose principal axes (two vectors a layer) go to
+    the driver; for the distances, edges and hull of the projection, a few corners an Arrow batch; for the histogram.
+    """
+    axes: dict[int, tuple] = {}
+    parts = _summed(vectors, vector, layer)
+    sums = parts.groupBy("layer").applyInPandas(_axes, "layer long, n long, mean array<double>, one array<double>, two array<double>, first double, second double")
+    for r in sums.collect():
+        axes[r["layer"]] = (np.array(r["mean"]), np.array([r["one"], r["two"]]).T, r["first"], r["second"], r["n"])
+    rows = vectors.select(F.col(layer).cast("long").alias("layer"), F.col(vector).alias("v")).where("v IS NOT NULL")
+
+    def edges(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby("layer"):
+                x = np.stack(part["v"].to_numpy()) - axes[key][0]
+                yield pd.DataFrame({"layer": [key], "spread": [np.linalg.norm(x, axis=1).sum()], "ring": [hull(x @ axes[key][1]).ravel().tolist()]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = hull(np.concatenate([np.array(r).reshape(-1, 2) for r in pdf["ring"]]))
+        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "spread": [pdf["spread"].sum()], "hull_area": [hull_area(ring)], "box": [[*ring.min(0), *ring.max(0)]]})
+
+    boxes = {r["layer"]: r for r in rows.mapInPandas(edges, "layer long, spread double, ring array<double>").groupBy("layer").applyInPandas(joined, "layer long, spread double, hull_area double, box array<double>").collect()}
+
+    def counted(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby("layer"):
+                y = (np.stack(part["v"].to_numpy()) - axes[key][0]) @ axes[key][1]
+                low, high = np.array(boxes[key]["box"]).reshape(2, 2)
+                at = np.clip(np.floor((y - low) / np.maximum(high - low, 1e-300) * bins), 0, bins - 1).astype(int)
+                cell, n = np.unique(at[:, 0] * bins + at[:, 1], return_counts=True)
+                yield pd.DataFrame({"layer": key, "cell": cell, "n": n})
+
+    share = F.col("n") / F.sum("n").over(W.partitionBy("layer"))
+    cells = rows.mapInPandas(counted, "layer long, cell long, n long").groupBy("layer", "cell").agg(F.sum("n").alias("n"))
+    entropy = cells.select("layer", (share * F.log(share)).alias("h")).groupBy("layer").agg((-F.sum("h")).alias("entropy"))
+    found = [(k, a[2], a[3], boxes[k]["spread"] / a[4], boxes[k]["hull_area"]) for k, a in axes.items()]
+    names = f"{layer} long, pc1_share double, pc2_share double, spread double, hull_area double"
+    return vectors.sparkSession.createDataFrame([(int(k), *map(float, x)) for k, *x in found], names).join(entropy.withColumnRenamed("layer", layer), layer)
+
+
+def _axes(parts: pd.DataFrame) -> pd.DataFrame:
+    """A layer's count, mean, first two principal axes and their shares of the variance."""
+    n, mean, cov = _covariance(parts)
+    value, vector = np.linalg.eigh(cov)
+    value, two = np.clip(value[::-1], 0, None), vector[:, ::-1][:, :2]
+    share = value / max(value.sum(), 1e-300)
+    return pd.DataFrame({"layer": [parts["layer"].iloc[0]], "n": [n], "mean": [mean.tolist()], "one": [two[:, 0].tolist()], "two": [two[:, -1].tolist()], "first": [share[0]], "second": [share[1] if len(share) > 1 else 0.0]})

@@ -115,3 +115,9 @@ def sce_merge(elements: DataFrame, key: list[str], model: str, pos: str, delta:
     agree = F.sign(F.col(delta)) == sign_mask(F.col(delta), [*key, pos])
     rows = rows.withColumn("_ok", agree)
     return rows.groupBy(*key, pos).agg(F.coalesce(F.sum(F.when(F.col("_ok"), F.col(delta) * F.col("_w"))) / F.nullif(F.sum(F.when(F.col("_ok"), F.col("_w"))), F.lit(0.0)), F.lit(0.0)).alias("merged"))
+
+
+def half_cross(rows: DataFrame, layer: str, expert: str) -> DataFrame:
+    """(layer, i, j, x, y) with i < j: the rows of each pair of a layer's experts as structs. A layer has few experts."""
+    side = lambda e, v: rows.select(layer, F.col(expert).alias(e), F.struct(*rows.columns).alias(v))
+    return side("i", "x").join(side("j", "y"), layer).where("i < j")

@@ -28,17 +28,19 @@ def best_fit(items: list[tuple[int, int]], volume: int) -> list[list[tuple[int,
             room, b = space.pop(k)
             bins[b].append((key, size))
         else:
-            room, b = max(volume, size), len(bins)
+            room, b = volume, len(bins)  # less than nothing is left where the item is over the volume
             bins.append([(key, size)])
         bisect.insort(space, (room - size, b))
     return bins
 
 
 def pack(df: DataFrame, key: str, length: Column, volume: int, shards: int | None = None) -> DataFrame:
-    """(shard, pack_id, pos, key, length): every row in one pack of its shard."""
-    rows = df.select(F.col(key).cast("long").alias("k"), length.cast("long").alias("n"))
+    """(shard, pack_id, pos, key, length): every row in one pack of its shard. A row of several lengths (an array)
+    counts with their sum."""
+    several = df.select(length.alias("n")).schema["n"].dataType.typeName() == "array"
+    rows = df.select(F.col(key).cast("long").alias("k"), (F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x) if several else length.cast("long")).alias("n"))
     shards = shards or max(1, -(-rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.conv(F.substring(F.md5(F.col("k").cast("string")), 1, 8), 16, 10).cast("long") % shards)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins = best_fit(list(zip(pdf["k"].tolist(), pdf["n"].tolist(), strict=True)), volume)

@@ -4,6 +4,8 @@ every engine, partitioning and retry. Exact counts come from two-level ranks (wi
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,14 +18,16 @@ def hashed(seed: object, *keys: str) -> Column:
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int = 256) -> DataFrame:
     """df with the 0-based global rank by `order`.
 
-    Rows fall in buckets that follow the order (a prefix of a string key, quantile cuts of a number); a
-    rank is the bucket's offset plus the row's place in its bucket, so no task ranks all rows and the
-    result does not hang on how rows are partitioned.
+    Rows fall in buckets that follow the order (three characters of a string key after what all keys begin
+    with, quantile cuts of a number); a rank is the bucket's offset plus the row's place in its bucket, so no
+    task ranks all rows and the result does not hang on how rows are partitioned.
     """
     cols = {f"_o{i}": c for i, c in enumerate(order)}
     keyed = df.withColumns(cols)
     if dict(keyed.dtypes)["_o0"] == "string":
-        bucket = F.coalesce(F.substring("_o0", 1, 3), F.lit(""))
+        low, high = keyed.agg(F.min("_o0"), F.max("_o0")).first()
+        same = len(os.path.commonprefix([low or "", high or ""]))
+        bucket = F.coalesce(F.substring("_o0", same + 1, 3), F.lit(""))
     else:
         cuts = keyed.agg(F.percentile_approx("_o0", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
         bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("_o0"))), F.lit(-1)) if cuts else F.lit(0)
@@ -179,10 +183,33 @@ def smallest_per_group(df: DataFrame, group: str, value: str, key: str, k: int)
     return df.withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= k) & F.col(value).isNotNull()).drop("_k")
 
 
+def exact_quantile(df: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
+    """(by..., name): the quantile by linear interpolation, exact, null for groups without values.
+
+    An approximate quantile just below and one just above bracket it; only what lies between them (some
+    thousandths of the rows) is counted by value and ordered, so no task holds all distinct values.
+    """
+    rows = df.select(*by, F.col(value).alias("_x")).where("_x IS NOT NULL")
+    edge = lambda q, end: end("_x") if not 0.002 < q < 0.998 else F.percentile_approx("_x", F.lit(q), F.lit(10_000))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), edge(share - 0.001, F.min).alias("_low"), edge(share + 0.001, F.max).alias("_high"))
+    near = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))  # without groups the ends are one row
+    below = F.count_if(F.col("_x") < F.col("_low")).alias("_below")
+    base = near.groupBy(*by, "_n").agg(below)
+    steps = near.where(F.col("_x").between(F.col("_low"), F.col("_high"))).groupBy(*by, "_x").agg(F.count("*").alias("_c"))
+    steps = steps.join(base, by) if by else steps.crossJoin(F.broadcast(base))
+    end = F.col("_below") + F.sum("_c").over(W.partitionBy(*by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    at = F.lit(share) * (F.col("_n") - 1)
+    holds = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_x")))
+    placed = steps.withColumn("_end", end).withColumn("_k", F.floor(at)).withColumn("_f", at - F.floor(at))
+    found = placed.groupBy(*by).agg(holds(F.col("_k")).alias("_a"), holds(F.least(F.col("_k") + 1, F.col("_n") - 1)).alias("_z"), F.max("_f").alias("_f"))
+    return found.select(*by, (F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).alias(name))
+
+
 def super_rows(df: DataFrame, value: str, layer: str, share: float = 0.995, fraction: float = 0.75) -> DataFrame:
     """Rows above both the exact quantile and a tenth of the maximum, in the first part of the layers."""
     n = F.count_distinct(layer)
-    cut = df.agg(F.greatest(F.percentile(value, F.lit(share)), F.max(value) / 10).alias("_cut"), (F.min(layer) + F.floor(n * fraction)).alias("_last"))
+    cut = df.agg((F.max(value) / 10).alias("_tenth"), (F.min(layer) + F.floor(n * fraction)).alias("_last")).crossJoin(exact_quantile(df, value, share, [], "_q"))
+    cut = cut.select(F.greatest("_q", "_tenth").alias("_cut"), "_last")  # one row
     return df.crossJoin(F.broadcast(cut)).where((F.col(value) > F.col("_cut")) & (F.col(layer) < F.col("_last"))).drop("_cut", "_last")
 
 

@@ -20,11 +20,19 @@ def routed(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg18_expert_frequency", f"WITH {_RT} SELECT layer, expert, count(*) AS frequency, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY layer), 6) AS probability FROM t GROUP BY layer, expert")
-@query("agg22_expert_probability", f"WITH {_RT} SELECT layer, expert, count(*) AS frequency, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY layer), 6) AS probability FROM t GROUP BY layer, expert")
 def _(s, d):
     return X.frequencies(routed(s, d), "layer", "expert").select("layer", "expert", "frequency", r6("probability", "probability"))
 
 
+@query("agg22_expert_probability", f"WITH {_RT}, u AS (SELECT layer, token, expert FROM t UNION SELECT layer, token, (expert + 1 + layer) % 8 FROM t), n AS (SELECT layer, count(DISTINCT token) AS n FROM u GROUP BY layer) SELECT layer, expert, round(count(*)::DOUBLE / any_value(n), 6) AS probability FROM u JOIN n USING (layer) GROUP BY layer, expert")
+def _(s, d):
+    """Share of a layer's tokens that an expert gets; each token goes to two experts, so shares add up to 2."""
+    r = routed(s, d).select("layer", "token", F.explode(F.array("expert", (F.col("expert") + 1 + F.col("layer")) % 8)).alias("expert"))
+    tokens = r.groupBy("layer").agg(F.count_distinct("token").alias("n"))
+    f = X.frequencies(r, "layer", "expert").join(tokens, "layer")
+    return f.select("layer", "expert", r6(F.col("frequency") / F.col("n"), "probability"))
+
+
 @query("agg18_pairwise_frequency", f"WITH {_RT}, f AS (SELECT layer, expert, count(*) AS f FROM t GROUP BY ALL) SELECT a.layer, a.expert AS i, b.expert AS j, a.f + b.f AS pair_frequency FROM f a JOIN f b USING (layer)")
 def _(s, d):
     return X.pairwise_frequency(X.frequencies(routed(s, d), "layer", "expert"), "layer", "expert")
@@ -53,12 +61,19 @@ def _(s, d):
 
 
 @query("vec07_characteristic_distance", f"WITH {_MEAN} SELECT a.layer, a.expert AS i, b.expert AS j, round(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS distance FROM c a JOIN c b ON a.layer = b.layer AND a.expert <> b.expert")
-@query("jon04_expert_cross", f"WITH {_MEAN} SELECT a.layer, a.expert AS i, b.expert AS j, round(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS distance FROM c a JOIN c b ON a.layer = b.layer AND a.expert <> b.expert")
 def _(s, d):
     c = X.characteristic(outputs(s, d), ["layer", "expert"], "e")
     return X.pair_distances(c, "layer", "expert", "mean_vector").select("layer", "i", "j", r6("distance", "distance"))
 
 
+@query("jon04_expert_cross", f"WITH {_MEAN}, h AS (SELECT a.layer, a.expert AS i, b.expert AS j, round(sqrt(list_sum([(a.e[k] - b.e[k]) * (a.e[k] - b.e[k]) FOR k IN range(1, len(a.e) + 1)])), 6) AS distance FROM c a JOIN c b ON a.layer = b.layer AND a.expert < b.expert) SELECT * FROM h UNION ALL SELECT layer, j, i, distance FROM h")
+def _(s, d):
+    """Each pair of a layer's experts once, then mirrored."""
+    c = X.characteristic(outputs(s, d), ["layer", "expert"], "e")
+    half = X.half_cross(c, "layer", "expert").select("layer", "i", "j", r6(V.euclidean(F.col("x.mean_vector"), F.col("y.mean_vector")), "distance"))
+    return half.unionByName(half.select("layer", F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+
+
 _C = "list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)))"
 _VEC = {
     "vec01_angular_distance": (V.angular, f"acos(greatest(-1, least(1, {_C}))) / pi()"),
@@ -96,9 +111,9 @@ def _(s, d):
     return X.token_matrix(r, o, "layer", "token").select("layer", "i", "j", r6("distance", "distance"))
 
 
-@query("top04_router_top_k", "WITH e AS (SELECT vec_id, unnest(embedding[1:16]::DOUBLE[]) AS v, unnest(range(16)) AS x FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, x) AS k FROM e) SELECT vec_id, x::INT AS expert, round(v, 6) AS logit FROM r WHERE k <= 4")
+@query("top04_router_top_k", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS x FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, x) AS k FROM e) SELECT vec_id, x::INT AS expert, round(v, 6) AS logit FROM r WHERE k <= 4")
 def _(s, d):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 16)
+    e = F.col("embedding").cast("array<double>")
     t = table(s, d, "embeddings").select("vec_id", F.explode(X.top_k(e, 4)).alias("t"))
     return t.select("vec_id", "t.expert", r6("t.logit", "logit"))
 
@@ -117,11 +132,11 @@ def _(s, d):
     return out.select("layer", "expert", r6("soft", "penalty"), r6("penalty", "linear"))
 
 
-_EL = f"{_EV}, x AS (SELECT layer, expert, vec_id, unnest(e) AS x, unnest(range(len(e))) AS pos FROM v WHERE vec_id < 60)"
+_EL = f"{_EV}, x AS (SELECT layer, expert, vec_id, unnest(e) AS x, unnest(range(len(e))) AS pos FROM v)"
 
 
 def elements(s: SparkSession, d: str) -> DataFrame:
-    return outputs(s, d).where("vec_id < 60").select("layer", "expert", "vec_id", F.posexplode("e").alias("pos", "x"))
+    return outputs(s, d).select("layer", "expert", "vec_id", F.posexplode("e").alias("pos", "x"))
 
 
 @query("mrg01_weighted_merge", f"WITH {_EL} SELECT layer, pos::INT AS pos, round(sum(x * (vec_id % 5 + 1)) / (sum(vec_id % 5 + 1) + 1e-9), 6) AS merged FROM x GROUP BY ALL")
@@ -148,11 +163,11 @@ def _(s, d):
     return X.sce_merge(elements(s, d), ["layer"], "vec_id", "pos", "x", 0.5).select("layer", "pos", r6("merged", "merged"))
 
 
-@query("agg31_router_coupling", """WITH e AS (SELECT vec_id, unnest(embedding[1:8]::DOUBLE[]) AS v, unnest(range(8)) AS x FROM embeddings), c AS (SELECT a.x AS i, b.x AS j, corr(a.v, b.v) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.x < b.x GROUP BY ALL) SELECT round(avg(abs(r)), 6) AS coupling FROM c""")
+@query("agg31_router_coupling", """WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS x FROM embeddings), c AS (SELECT a.x AS i, b.x AS j, corr(a.v, b.v) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.x < b.x GROUP BY ALL) SELECT round(avg(abs(r)), 6) AS coupling FROM c""")
 def _(s, d):
     from corpusloom.operators.clustering import mean_coupling
 
-    return mean_coupling(table(s, d, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("e")), "e", 8).select(r6("coupling", "coupling"))
+    return mean_coupling(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("e")), "e").select(r6("coupling", "coupling"))
 
 
 def _distances(s: SparkSession, d: str) -> DataFrame:

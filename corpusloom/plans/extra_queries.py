@@ -16,12 +16,12 @@ from corpusloom.session import table
 
 
 def _halves(s: SparkSession, d: str) -> DataFrame:
-    """Each document's first forty words against those from the fifth on."""
-    w = T.words(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.slice(w, 1, 40).alias("a"), F.slice(w, 5, 40).alias("b")).where("size(b) > 0")
+    """Each whole document against its words from the fifth on."""
+    w = table(s, d, "documents").select("doc_id", T.words(F.col("text")).alias("a")).where("size(a) >= 5")
+    return w.select("doc_id", "a", F.slice("a", 5, F.size("a")).alias("b"))
 
 
-_H = r"w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\x0b\f]+') AS w FROM documents), h AS (SELECT doc_id, w[1:40] AS a, w[5:44] AS b FROM w WHERE len(w) >= 5)"
+_H = r"w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\x0b\f]+') AS w FROM documents), h AS (SELECT doc_id, w AS a, w[5:] AS b FROM w WHERE len(w) >= 5)"
 _G2 = "[array_to_string({0}[i:i + 1], ' ') FOR i IN range(1, len({0}))]"
 
 
@@ -35,8 +35,7 @@ def _(s, d):
 def _(s, d):
     """Each whole document against its words from the fifth on."""
     a, b = F.col("a"), F.col("b")
-    w = table(s, d, "documents").select(T.words(F.col("text")).alias("a")).where("size(a) >= 5")
-    return w.select("a", F.slice(a, 5, F.size(a)).alias("b")).agg(r6(F.avg(O.rouge_l(a, b)) * 100, "rouge_l"), r6(F.avg(O.bleu4(a, b)) * 100, "bleu_4"))
+    return _halves(s, d).agg(r6(F.avg(O.rouge_l(a, b)) * 100, "rouge_l"), r6(F.avg(O.bleu4(a, b)) * 100, "bleu_4"))
 
 
 @query("txt03_round_assembly", "WITH c AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, count(*) FILTER (role = 'user') AS rounds, bool_or(turn = last AND role = 'user') AS open FROM c GROUP BY conv_id")

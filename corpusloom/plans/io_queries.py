@@ -65,12 +65,26 @@ def _(s, d):
     return files.unbatched(b, ["doc_id", "lang"])
 
 
-@query("src20_cached_source", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(length(text)) <= 900")
-@query("src19_cached_sink", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(length(text)) <= 900")
+def _lengths(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text")).alias("lengths"))
+
+
+@query("src19_cached_sink", "SELECT conv_id % 5 = 0 AS val, conv_id, sum(length(text))::BIGINT AS total FROM conversations GROUP BY conv_id")
+def _(s, d):
+    """Training and validation rows in folders of their own, read back as written."""
+    base = scratch_dir(s, "cache")
+    for val in (False, True):
+        files.cached(_lengths(s, d).where((F.col("conv_id") % 5 == 0) == val), f"{base}/{'val' if val else 'train'}")
+    rows = [s.read.parquet(f"{base}/{name}").withColumn("val", F.lit(name == "val")) for name in ("train", "val")]
+    return rows[0].unionByName(rows[1]).select("val", "conv_id", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("src20_cached_source", "WITH c AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(length(text)) <= 900) SELECT conv_id FROM c ORDER BY md5('42|' || conv_id::VARCHAR), conv_id LIMIT 8")
 def _(s, d):
+    """Rows that are short enough, of which a number is sampled (the feature)."""
     path = scratch_dir(s, "cache") + "/c.parquet"
-    files.cached(table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text")).alias("lengths")), path)
-    return files.read_cached(s, path, "conv_id", max_length=900).select("conv_id")
+    files.cached(_lengths(s, d), path)
+    return files.read_cached(s, path, "conv_id", max_length=900, sample=8).select("conv_id")
 
 
 @query("src21_row_slice", "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8, 100)")
@@ -90,19 +104,23 @@ def _(s, d):
     return files.concat([a, base])
 
 
-@query("src27_modality", "SELECT doc_id, ['image', 'video', 'audio'][doc_id % 3 + 1] AS modality FROM documents")
+@query("src27_modality", "WITH p AS (SELECT doc_id, ['PNG', 'mp4', 'wav', 'jpeg', 'MKV', 'flac', 'webp', 'avi'][(doc_id * 5 + n_chars) % 8 + 1] AS x FROM documents) SELECT doc_id, CASE WHEN lower(x) IN ('png', 'jpeg', 'webp') THEN 'image' WHEN lower(x) IN ('wav', 'flac') THEN 'audio' ELSE 'video' END AS modality FROM p")
 def _(s, d):
     from corpusloom.functions.text import modality
 
-    path = F.concat(F.lit("a/b."), F.element_at(F.array(F.lit("PNG"), F.lit("mp4"), F.lit("wav")), (F.col("doc_id") % 3 + 1).cast("int")))
+    names = F.array(*[F.lit(x) for x in ("PNG", "mp4", "wav", "jpeg", "MKV", "flac", "webp", "avi")])
+    path = F.concat(F.lit("a.mp3/"), "source", F.lit("."), F.element_at(names, ((F.col("doc_id") * 5 + F.col("n_chars")) % 8 + 1).cast("int")))
     return docs(s, d).select("doc_id", modality(path).alias("modality"))
 
 
-@query("src28_redact", "SELECT doc_id, NULL::VARCHAR AS hub_token, '<<<bytes>>>' AS blob FROM documents")
+@query("src28_redact", "SELECT doc_id, NULL::VARCHAR AS hub_token, n_chars AS max_tokens, CASE WHEN lang = 'en' THEN '<<<bytes>>>' END AS blob, source AS kept, NULL::VARCHAR AS inner_token, lang AS inner_name FROM documents")
 def _(s, d):
+    """Token texts and bytes go, also in a struct; numbers, nulls and other names stay."""
     from corpusloom.operators.normalise import redact
 
-    return redact(docs(s, d).select("doc_id", F.col("lang").alias("hub_token"), F.col("source").cast("binary").alias("blob")))
+    inner = F.struct(F.col("source").alias("api_token"), F.col("lang").alias("name")).alias("inner")
+    x = redact(docs(s, d).select("doc_id", F.col("lang").alias("hub_token"), F.col("n_chars").alias("max_tokens"), F.when(F.col("lang") == "en", F.col("source").cast("binary")).alias("blob"), F.col("source").alias("kept"), inner))
+    return x.select("doc_id", "hub_token", "max_tokens", "blob", "kept", F.col("inner.api_token").alias("inner_token"), F.col("inner.name").alias("inner_name"))
 
 
 @query("src30_preview", "SELECT event_id, round(value / 3, 4) AS reward FROM events ORDER BY event_id LIMIT 10")
@@ -111,16 +129,28 @@ def _(s, d):
     return files.preview(e, ["event_id", "reward"], 10, ["event_id"])
 
 
-def _packs(s: SparkSession, d: str) -> DataFrame:
-    return packing.pack(docs(s, d), "doc_id", F.col("n_chars"), 8192, shards=4)
+def _packs_sql(length: str, shards: str) -> str:
+    """Best fit, largest first, as a fold over each shard's rows: the fullest bin that holds a row takes it."""
+    best = "list_position(a.rooms, list_min([r FOR r IN a.rooms IF r >= x.size]))"
+    put = f"CASE WHEN {best} IS NULL THEN list_append(a.rooms, 8192 - x.size) ELSE [CASE WHEN i = {best} THEN a.rooms[i] - x.size ELSE a.rooms[i] END FOR i IN range(1, len(a.rooms) + 1)] END"
+    took = f"list_append(a.bins, coalesce({best}, len(a.rooms) + 1)::BIGINT)"
+    return f"""WITH r AS (SELECT doc_id, {length} AS n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % ({shards}) AS shard FROM documents),
+ g AS (SELECT shard, list(doc_id ORDER BY n DESC, doc_id) AS ids, list({{'rooms': []::BIGINT[], 'bins': []::BIGINT[], 'size': n::BIGINT}} ORDER BY n DESC, doc_id) AS items FROM r GROUP BY shard),
+ p AS (SELECT shard, ids, list_reduce(items, lambda a, x: {{'rooms': {put}, 'bins': {took}, 'size': 0::BIGINT}}, {{'rooms': []::BIGINT[], 'bins': []::BIGINT[], 'size': 0::BIGINT}}).bins AS bins FROM g)
+ SELECT shard, unnest(ids) AS doc_id, unnest(bins) - 1 AS pack_id FROM p"""
 
 
-@query("pck01_bin_packing", "SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS total, true AS within FROM documents")
-@query("pck02_sharded_packing", "SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS total, true AS within FROM documents")
+@query("pck01_bin_packing", _packs_sql("n_chars", "(SELECT greatest(1, (count(*) + 99999) // 100000) FROM documents)"))
 def _(s, d):
-    """Every row once; no pack over the volume unless it holds one row."""
-    p = _packs(s, d).groupBy("shard", "pack_id").agg(F.sum("length").alias("t"), F.count("*").alias("n"))
-    return p.agg(F.sum("n").alias("n_rows"), F.sum("t").alias("total"), F.every((F.col("t") <= 8192) | (F.col("n") == 1)).alias("within"))
+    """The pack of every row; as many shards as hold some rows each."""
+    return packing.pack(docs(s, d), "doc_id", F.col("n_chars"), 8192).select("shard", "doc_id", "pack_id")
+
+
+@query("pck02_sharded_packing", _packs_sql("(n_chars + doc_id % 100)", "4"))
+def _(s, d):
+    """Rows of two lengths count with their sum; four shards are packed apart."""
+    rows = docs(s, d).withColumn("lengths", F.array("n_chars", F.col("doc_id") % 100))
+    return packing.pack(rows, "doc_id", F.col("lengths"), 8192, shards=4).select("shard", "doc_id", "pack_id")
 
 
 @query("pck04_pack_concat", r"SELECT sum(len(regexp_extract_all(text, '[^ \t\n\r\x0b\f]+')))::BIGINT AS n_ids, 0::BIGINT AS first_positions FROM documents")
@@ -149,8 +179,27 @@ def _event_files(s: SparkSession, d: str) -> str:
 _EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
 
-@query("str01_stream_load", "SELECT event_id, round(value, 6) AS value FROM events WHERE event_type = 'purchase'")
-@query("str02_stream_map", "SELECT event_id, round(value, 6) AS value FROM events WHERE event_type = 'purchase'")
+@query("str01_stream_load", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def _(s, d):
+    """A file stream as it comes, to Parquet by batch."""
+    base = scratch_dir(s, "load")
+    src = streams.file_stream(s, _event_files(s, d), _EVENT, "parquet", 1)
+    streams.run_available(src, lambda b, k: b.write.mode("overwrite").parquet(f"{base}/out/batch={k}"), f"{base}/check")
+    return s.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type", r6("value", "value"))
+
+
+@query("str02_stream_map", "SELECT event_id, md5('user:' || event_type || '|assistant:' || user_id) AS m FROM events")
+def _(s, d):
+    """The expressions of a batch on a stream, in small batches: rows become messages."""
+    from corpusloom.functions.messages import message
+
+    base = scratch_dir(s, "map")
+    src = streams.file_stream(s, _event_files(s, d), _EVENT, "parquet", 1)
+    m = src.select("event_id", F.array(message("user", F.col("event_type")), message("assistant", F.col("user_id").cast("string"))).alias("messages"))
+    streams.run_available(m, lambda b, k: b.write.mode("overwrite").parquet(f"{base}/out/batch={k}"), f"{base}/check")
+    return s.read.parquet(f"{base}/out").select("event_id", F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("m"))
+
+
 @query("str08_resumable_sink", "SELECT event_id, round(value, 6) AS value FROM events WHERE event_type = 'purchase'")
 def _(s, d):
     """File stream, mapped and filtered, to JSON lines by batch; run twice, the second run finds nothing new."""

@@ -1,4 +1,4 @@
-"""Normalisers and dataset mappers over rows made from documents (short texts), compared message by message."""
+"""Normalisers and dataset mappers over rows made from documents (whole texts), compared message by message."""
 
 from __future__ import annotations
 
@@ -15,11 +15,10 @@ from corpusloom.session import table
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
-    t = F.trim(F.translate(F.substring("text", 1, 40), "\n", " "))
-    return table(s, d, "documents").select("doc_id", "lang", "source", "n_chars", t.alias("t"))
+    return table(s, d, "documents").select("doc_id", "lang", "source", "n_chars", F.coalesce("text", F.lit("")).alias("t"))
 
 
-_D = "d AS (SELECT doc_id, lang, source, n_chars, trim(translate(substr(text, 1, 40), chr(10), ' ')) AS t FROM documents)"
+_D = "d AS (SELECT doc_id, lang, source, n_chars, coalesce(text, '') AS t FROM documents)"
 
 
 def digest(df: DataFrame, column: str = "messages") -> DataFrame:
@@ -147,7 +146,6 @@ def _(s, d):
 
 
 @query("map52_llava_mix", f"WITH {_D} SELECT md5('user:<image>' || t) AS m FROM d")
-@query("prj18_flatten_media", f"WITH {_D} SELECT md5('user:<image>' || t) AS m FROM d")
 def _(s, d):
     r = rows(s, d)
     part = lambda k, t, i: F.struct(F.lit(k).alias("type"), t.alias("text"), i.alias("image"))
@@ -156,6 +154,19 @@ def _(s, d):
     return digest(P.llava_mix(r.select(m.alias("messages"))))
 
 
+@query("prj18_flatten_media", f"WITH {_D} SELECT doc_id, md5('user:<image>' || t || CASE WHEN doc_id % 2 = 0 THEN '<image>' ELSE '' END || '|assistant:' || lang) AS m, CASE WHEN doc_id % 2 = 0 THEN source || ',' || lang ELSE source END AS images FROM d")
+def _(s, d):
+    """Parts of several turns to text with tags, and a list of the images in order."""
+    r = rows(s, d)
+    part = lambda k, t, i: F.struct(F.lit(k).alias("type"), t.alias("text"), i.alias("image"))
+    null = F.lit(None).cast("string")
+    first = F.array(part("image", null, r.source), part("text", r.t, null))
+    user = F.when(r.doc_id % 2 == 0, F.concat(first, F.array(part("image_url", null, r.lang)))).otherwise(first)
+    m = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), F.array(part("text", r.lang, null)).alias("content")))
+    x = r.select("doc_id", N.flatten_media(m).alias("x"))
+    return x.select("doc_id", F.md5(F.array_join(F.transform("x.messages", lambda y: F.concat(y["role"], F.lit(":"), y["content"])), "|")).alias("m"), F.array_join("x.images", ",").alias("images"))
+
+
 @query("prj03_prune", "SELECT doc_id % 2 AS label, source AS channel FROM documents")
 def _(s, d):
     r = rows(s, d)

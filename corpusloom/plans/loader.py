@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import normalise as N
 from corpusloom.operators import sampling as S
+from corpusloom.sources.entries import CATALOGUE
 from corpusloom.sources.files import concat, read_file, read_splits
 from corpusloom.sources.refs import DatasetRef, Registry, select_subsets
 
 REGISTRY = Registry()
+REGISTRY.register_json(CATALOGUE)
 
 
 def _normalised(df: DataFrame, preprocess, columns: dict[str, str] | None, prune: bool) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
@@ -121,17 +123,18 @@ def _(s, d):
 _ISL = "p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, {r} ORDER BY turn) AS isl FROM {t})"
 
 
-@query("win09_merge_same_role", "WITH f AS (SELECT conv_id, turn, text, role FROM conversations WHERE turn % 3 <> 1), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM f), g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> role OR role NOT IN ('user', 'assistant') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT conv_id, (isl - 1)::BIGINT AS pos, any_value(role) AS role, md5(string_agg(text, chr(10) ORDER BY turn)) AS content FROM g GROUP BY conv_id, isl")
+@query("win09_merge_same_role", "WITH f AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN 'user' ELSE role END AS role FROM conversations), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM f), g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> role OR role NOT IN ('user', 'assistant') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT conv_id, (isl - 1)::BIGINT AS pos, any_value(role) AS role, md5(string_agg(text, chr(10) ORDER BY turn)) AS content FROM g GROUP BY conv_id, isl")
 def _(s, d):
-    """Turns left after dropping every third, equal neighbours merged."""
-    m = M.from_turns(table(s, d, "conversations").where("turn % 3 <> 1"), "conv_id", "turn", "role", "text")
+    """Every third turn is given to the user; equal neighbours are merged."""
+    t = table(s, d, "conversations").withColumn("role", F.when(F.col("turn") % 3 == 1, "user").otherwise(F.col("role")))
+    m = M.from_turns(t, "conv_id", "turn", "role", "text")
     m = m.select("conv_id", F.posexplode(M.merged(F.col("messages"))).alias("pos", "m"))
     return m.select("conv_id", F.col("pos").cast("long").alias("pos"), "m.role", F.md5("m.content").alias("content"))
 
 
-@query("win10_tool_runs", "WITH f AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 'tool_call' ELSE role END AS role FROM conversations WHERE turn % 3 <> 2), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM f), g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> role OR role <> 'tool_call' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT conv_id, (isl - 1)::BIGINT AS pos, CASE WHEN any_value(role) = 'tool_call' THEN 'assistant' ELSE any_value(role) END AS role, md5(string_agg(text, chr(10) ORDER BY turn)) AS content FROM g GROUP BY conv_id, isl")
+@query("win10_tool_runs", "WITH f AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' OR turn % 3 = 2 THEN 'tool_call' ELSE role END AS role FROM conversations), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM f), g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> role OR role <> 'tool_call' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT conv_id, (isl - 1)::BIGINT AS pos, CASE WHEN any_value(role) = 'tool_call' THEN 'assistant' ELSE any_value(role) END AS role, md5(string_agg(text, chr(10) ORDER BY turn)) AS content FROM g GROUP BY conv_id, isl")
 def _(s, d):
-    t = table(s, d, "conversations").where("turn % 3 <> 2").withColumn("role", F.when(F.col("role") == "assistant", "tool_call").otherwise(F.col("role")))
+    t = table(s, d, "conversations").withColumn("role", F.when((F.col("role") == "assistant") | (F.col("turn") % 3 == 2), "tool_call").otherwise(F.col("role")))
     m = M.from_turns(t, "conv_id", "turn", "role", "text").select("conv_id", F.posexplode(M.tool_runs(F.col("messages"))).alias("pos", "m"))
     return m.select("conv_id", F.col("pos").cast("long").alias("pos"), "m.role", F.md5("m.content").alias("content"))
 
@@ -252,10 +255,10 @@ def _(s, d):
     return _ids(s, d).select("user_id", F.aggregate(z, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("arr06_top_logprobs", "WITH e AS (SELECT vec_id, unnest(embedding[1:8]::DOUBLE[]) AS v, unnest(range(8)) AS t FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, t) AS k FROM e) SELECT vec_id, t::INT AS token, round(v, 6) AS logprob FROM r WHERE k <= 3")
+@query("arr06_top_logprobs", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS t FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, t) AS k FROM e) SELECT vec_id, t::INT AS token, round(v, 6) AS logprob FROM r WHERE k <= 3")
 def _(s, d):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    m = F.map_from_arrays(F.sequence(F.lit(0), F.lit(7)), e)
+    e = F.col("embedding").cast("array<double>")
+    m = F.map_from_arrays(F.sequence(F.lit(0), F.size(e) - 1), e)
     rows = table(s, d, "embeddings").select("vec_id", F.explode(A.top_logprobs(m, 3)).alias("t"))
     return rows.select("vec_id", "t.token", r6("t.logprob", "logprob"))
 
@@ -279,23 +282,51 @@ def _(s, d):
     return both.select("user_id", n.cast("long").alias("n_pad"), F.get(p, n).cast("int").alias("first_real"))
 
 
-@query("arr09_classification_decode", """WITH v AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS e FROM embeddings) SELECT vec_id, list_position(e, list_max(e)) - 1 AS label, len([x FOR x IN e IF x >= 0])::BIGINT AS n_multi, round(list_max(e) - ln(list_sum([exp(x) FOR x IN e])), 6) AS top_logprob FROM v""")
+@query("arr09_classification_decode", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, list_position(e, list_max(e)) - 1 AS label, len([x FOR x IN e IF x >= 0])::BIGINT AS n_multi, round(list_max(e) - ln(list_sum([exp(x) FOR x IN e])), 6) AS top_logprob FROM v""")
 def _(s, d):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    e = F.col("embedding").cast("array<double>")
     return table(s, d, "embeddings").select("vec_id", A.argmax(e).cast("long").alias("label"), F.size(A.sigmoid_labels(e)).cast("long").alias("n_multi"), r6(A.class_logprobs(e, 1)[0]["logprob"], "top_logprob"))
 
 
-# Rewards: a document's text plays the completion.
-@query("rwd01_format", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM documents")
+# Rewards: a document's text plays the completion. Rows take different forms, and the SQL reads each anew.
+def _form(forms: list[Column], key: str = "doc_id") -> Column:
+    """The form of a row, by turns."""
+    out = forms[-1]
+    for k in range(len(forms) - 2, -1, -1):
+        out = F.when(F.pmod(F.col(key), F.lit(len(forms))) == k, forms[k]).otherwise(out)
+    return out
+
+
+def _parts(kind: str) -> list[str]:
+    return [x for x in re.split(r"(\{(?:text|lang|source)\})", kind) if x]
+
+
+def _forms(kinds: list[str]) -> Column:
+    """A row's form of templates with {text}, {lang}, {source}."""
+    return _form([F.concat(*[F.col(x[1:-1]) if x in ("{text}", "{lang}", "{source}") else F.lit(x) for x in _parts(k)]) for k in kinds])
+
+
+def _forms_sql(kinds: list[str]) -> str:
+    one = lambda x: x[1:-1] if x in ("{text}", "{lang}", "{source}") else "'" + x.replace("'", "''") + "'"
+    return f"CASE doc_id % {len(kinds)} " + " ".join(f"WHEN {i} THEN {' || '.join(map(one, _parts(k)))}" for i, k in enumerate(kinds)) + " END"
+
+
+_THINK = ["<think>{text}</think> \n<answer>{lang}</answer>", "<think>{text}</think> \n<answer>{lang}</answer> more", "x<think>{text}</think><answer>{lang}</answer>", "<think>{text}</think><answer>{source}\n{lang}</answer>", "<think>{text}<answer>{lang}</answer>", "<think></think>{lang}<answer></answer>", "<think>{lang}</think><answer>a</answer><answer>b</answer>"]
+_REACT = ["<think>{text}</think>\nAction: a\nAction Input: {lang}", "<think>{text}</think>\nDone", "preface\n<think>{lang}</think>\nAction: a\nAction Input: b", "<think>{lang}</think>Action:Action Input:", "<think>{lang}\nAction: a\nAction Input: b", "<think>{text}</think> {source} Action: a\nAction Input: b\nObservation: c"]
+_EXACT = ["x<answer> {lang}</answer>", "<answer>{lang}\n</answer> and <answer>de</answer>", "  {lang} ", "<answer>{lang}", "{source}", "<answer>en de</answer>"]
+_CODE = ["<think>x</think>\n<answer>```{lang}\npass\n```</answer>", "<think>{text}</think><answer>```python\n{text}\n```</answer>\n ", "<answer>```{lang}\n```</answer>", "<think>x</think> y <answer>```{lang}\n```</answer>", "<think>x</think><answer>```{lang}\n```</answer> end"]
+_TOOL = ["<think>x</think>\n<tool_call>\na\n</tool_call>\n<response>{lang}</response>", "<think>{text}</think>\n<response>{lang}</response>", "<think>x</think>\n<tool_call>\n{source}\n</tool_call>", "<think>{lang}</think>", "<think>x</think>\n<tool_call>a</tool_call>", "<think>x</think>\n<tool_call>\na\n</tool_call>\n<tool_call>\nb\n</tool_call>", "x<think>y</think>"]
+_DOCS = "FROM documents)"
+
+
+@query("rwd01_format", rf"WITH c AS (SELECT doc_id, {_forms_sql(_THINK)} AS c {_DOCS} SELECT doc_id, regexp_full_match(c, '<think>.*?</think>\s*<answer>.*?</answer>', 's')::INT::DOUBLE AS reward FROM c")
 def _(s, d):
-    c = F.concat(F.lit("<think>"), "text", F.lit("</think> \n<answer>"), "lang", F.lit("</answer>"), F.when(F.col("doc_id") % 3 == 0, " more").otherwise(""))
-    return table(s, d, "documents").select("doc_id", R.format_reward(c).alias("reward"))
+    return table(s, d, "documents").select("doc_id", R.format_reward(_forms(_THINK)).alias("reward"))
 
 
-@query("rwd02_react_format", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM documents")
+@query("rwd02_react_format", rf"WITH c AS (SELECT doc_id, {_forms_sql(_REACT)} AS c {_DOCS} SELECT doc_id, regexp_matches(c, '^<think>.*?</think>\s*Action:.*?Action Input:', 's')::INT::DOUBLE AS reward FROM c")
 def _(s, d):
-    c = F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), F.when(F.col("doc_id") % 3 > 0, "Action: a\nAction Input: {}").otherwise("Done"))
-    return table(s, d, "documents").select("doc_id", R.react_format(c).alias("reward"))
+    return table(s, d, "documents").select("doc_id", R.react_format(_forms(_REACT)).alias("reward"))
 
 
 @query("rwd03_cosine_length", "WITH l AS (SELECT doc_id, n_chars AS n, doc_id % 2 = 0 AS ok FROM documents), p AS (SELECT doc_id, n, CASE WHEN ok THEN 1.0::DOUBLE ELSE -0.5 END AS a, CASE WHEN ok THEN 0.5::DOUBLE ELSE 0.0 END AS b FROM l) SELECT doc_id, round(a - (a - b) * (1 - cos(n * pi() / 1000)) / 2, 6) AS reward FROM p")
@@ -313,46 +344,86 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", r6(R.soft_overlong(F.col("n_chars"), 2000, 500), "reward"))
 
 
-@query("rwd06_toolbench", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS reward FROM events")
+_ACTS = """a AS (SELECT event_id, event_type AS t, event_id % 4 AS k, CASE event_id % 7 WHEN 0 THEN 9 WHEN 1 THEN event_id % 3 ELSE event_id % 4 END AS v, CASE WHEN event_id % 7 = 2 THEN 'other' ELSE event_type END AS name, CASE event_id % 7 WHEN 3 THEN '{"a": 1}' WHEN 4 THEN 'free words' ELSE NULL END AS odd FROM events)"""
+
+
+@query("rwd06_toolbench", f"""WITH {_ACTS}, i AS (SELECT event_id, name = t AS same, coalesce(odd, '{{{{"b": 1, "a": ' || v || '}}}}') AS have, CASE WHEN event_id % 14 = 4 THEN 'free words' ELSE '{{{{"a": ' || k || ', "b": 1}}}}' END AS want FROM a)
+ SELECT event_id, (same AND (have = want OR coalesce(list_sort(json_keys(try_cast(have AS JSON))) = list_sort(json_keys(try_cast(want AS JSON))) AND try_cast(have AS JSON)->>'a' = try_cast(want AS JSON)->>'a' AND try_cast(have AS JSON)->>'b' = try_cast(want AS JSON)->>'b', false)))::INT::DOUBLE AS reward FROM i""".replace("{{", "{").replace("}}", "}"))
 def _(s, d):
-    call = lambda v: F.concat(F.lit("Thought: x\nAction: "), "event_type", F.lit('\nAction Input: {"b": 1, "a": '), v.cast("string"), F.lit("}"))
-    k = F.col("event_id") % 4
-    return table(s, d, "events").select("event_id", R.react_score(call(F.when(k == 0, 9).otherwise(k)), call(k)).alias("reward"))
+    """Other names, values, key orders and lacking keys, and inputs that are plain text."""
+    e, k = F.col("event_id"), (F.col("event_id") % 4).cast("string")
+    call = lambda name, args: F.concat(F.lit("Thought: x\nAction: "), name, F.lit("\nAction Input: "), args)
+    value = F.when(e % 7 == 0, 9).when(e % 7 == 1, e % 3).otherwise(e % 4).cast("string")
+    have = F.when(e % 7 == 3, '{"a": 1}').when(e % 7 == 4, "free words").otherwise(F.concat(F.lit('{"b": 1, "a": '), value, F.lit("}")))
+    want = F.when(e % 14 == 4, "free words").otherwise(F.concat(F.lit('{"a": '), k, F.lit(', "b": 1}')))
+    name = F.when(e % 7 == 2, "other").otherwise(F.col("event_type"))
+    return table(s, d, "events").select("event_id", R.react_score(call(name, have), call(F.col("event_type"), want)).alias("reward"))
 
 
-@query("rwd07_accuracy", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS reward FROM events")
-@query("rwd08_math", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS reward FROM events")
+@query("rwd07_accuracy", """WITH n AS (SELECT event_id, event_id % 6 AS f, user_id % 40 AS a, event_id % 40 AS b, event_type AS t FROM events)
+ SELECT event_id, (CASE f WHEN 0 THEN a = b WHEN 1 THEN a * 2 = b * 2 WHEN 2 THEN a + 0.5 = b + 0.5 WHEN 3 THEN t = 'click' WHEN 4 THEN abs(a / 4.0 - b / 4.0) < 1e-9 ELSE a = b END)::INT::DOUBLE AS reward FROM n""")
 def _(s, d):
-    k = F.col("event_id")
-    c = F.concat(F.lit("so \\boxed{\\frac{"), (k * 2 + F.when(k % 5 == 0, 1).otherwise(0)).cast("string"), F.lit("}{2}}"))
-    return table(s, d, "events").select("event_id", R.vectorised(R.math_accuracy)(c, F.concat(F.lit("$"), k.cast("string"), F.lit("$"))).alias("reward"))
+    """Answers in tags, after words, as decimals, words, quotients and with thousands separators."""
+    f, t = F.col("event_id") % 6, F.col("event_type")
+    a, b = (F.col("user_id") % 40).cast("string"), (F.col("event_id") % 40).cast("string")
+    c = F.when(f == 0, F.concat(F.lit("so <answer> "), a, F.lit(" </answer>"))).when(f == 1, F.concat(F.lit("it is "), (F.col("user_id") % 40 * 2).cast("string"))).when(f == 2, F.concat(a, F.lit(".50")))
+    c = c.when(f == 3, F.concat(F.lit("<answer>"), t, F.lit("</answer>"))).when(f == 4, F.concat(F.lit("\\boxed{"), a, F.lit("/4}"))).otherwise(F.concat(F.lit("<answer>1,0"), F.lpad(a, 2, "0"), F.lit("</answer>")))
+    w = F.when(f == 1, (F.col("event_id") % 40 * 2).cast("string")).when(f == 2, F.concat(b, F.lit(".5"))).when(f == 3, F.lit("click")).when(f == 4, (F.col("event_id") % 40 / 4).cast("string")).when(f == 5, F.concat(F.lit("10"), F.lpad(b, 2, "0"))).otherwise(b)
+    return table(s, d, "events").select("event_id", R.vectorised(R.math_accuracy)(c, w).alias("reward"))
 
 
-@query("rwd09_countdown", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS reward FROM events")
+@query("rwd08_math", """WITH n AS (SELECT event_id, event_id % 5 AS f, user_id % 30 + 1 AS a, event_id % 30 + 1 AS b FROM events)
+ SELECT event_id, (CASE f WHEN 0 THEN a * 2 = b * 2 WHEN 1 THEN a * b = b * b WHEN 2 THEN a = b WHEN 3 THEN a = b ELSE a = b + 1 END)::INT::DOUBLE AS reward FROM n""")
 def _(s, d):
-    a, b = F.col("event_id") % 9 + 1, F.col("user_id") % 9 + 1
-    c = F.concat(F.lit("<answer>("), a.cast("string"), F.lit("+"), b.cast("string"), F.lit(")*2 = ?</answer>"))
-    task = F.concat(F.lit('{"nums": ['), a.cast("string"), F.lit(","), b.cast("string"), F.lit(',2], "target": '), ((a + b) * 2 + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).cast("string"), F.lit("}"))
-    return table(s, d, "events").select("event_id", R.vectorised(R.countdown)(c, task).alias("reward"))
+    """Boxed answers: fractions against whole numbers, the last box of several, dollars, \\text, and a sum."""
+    f, e, u = F.col("event_id") % 5, F.col("event_id") % 30 + 1, F.col("user_id") % 30 + 1
+    a, b = u.cast("string"), e.cast("string")
+    frac = lambda x, y: F.concat(F.lit("\\frac{"), x.cast("string"), F.lit("}{"), y.cast("string"), F.lit("}"))
+    box = lambda x: F.concat(F.lit("so $\\boxed{"), x, F.lit("}$."))
+    c = F.when(f == 0, box(frac(u * 2, F.lit(2)))).when(f == 1, F.concat(box(F.lit("99999")), box(frac(u * e, e)))).when(f == 2, box(F.concat(F.lit("\\text{"), a, F.lit("}")))).when(f == 3, box(F.concat(a, F.lit("\\%")))).otherwise(box(a))
+    w = F.when(f == 4, F.concat(b, F.lit(" + 1"))).otherwise(F.concat(F.lit("$"), b, F.lit("$")))
+    return table(s, d, "events").select("event_id", R.vectorised(R.math_accuracy)(c, w).alias("reward"))
 
 
-@query("rwd10_string_accuracy", "SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM documents")
+@query("rwd09_countdown", """WITH n AS (SELECT event_id, event_id % 6 AS f, event_id % 9 + 1 AS a, user_id % 9 + 1 AS b, (event_id // 7) % 30 AS target FROM events)
+ SELECT event_id, (CASE f WHEN 0 THEN (a + b) * 2 = target WHEN 1 THEN a + b * 2 = target WHEN 2 THEN a - b + 2 = target WHEN 3 THEN false WHEN 4 THEN abs(a / (b * 2.0) - target) < 1e-5 ELSE false END)::INT::DOUBLE AS reward FROM n""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", R.string_accuracy(F.concat(F.lit("x<answer> "), "lang", F.lit("</answer>")), F.lit("en")).alias("reward"))
+    """Equations of several shapes, one that leaves out a number and one that is no arithmetic."""
+    e = F.col("event_id")
+    a, b, f = (e % 9 + 1).cast("string"), (F.col("user_id") % 9 + 1).cast("string"), e % 6
+    target = (F.floor(e / 7) % 30).cast("string")
+    eq = F.when(f == 0, F.concat(F.lit("("), a, F.lit("+"), b, F.lit(")*2 = ?"))).when(f == 1, F.concat(a, F.lit(" + "), b, F.lit(" * 2"))).when(f == 2, F.concat(a, F.lit("-"), b, F.lit("+2="), target)).when(f == 3, F.concat(a, F.lit("+"), b))
+    eq = eq.when(f == 4, F.concat(a, F.lit("/("), b, F.lit("*2)"))).otherwise(F.concat(a, F.lit("?"), b, F.lit("?2")))
+    task = F.concat(F.lit('{"nums": ['), a, F.lit(","), b, F.lit(',2], "target": '), target, F.lit("}"))
+    return table(s, d, "events").select("event_id", R.vectorised(R.countdown)(F.concat(F.lit("<answer>"), eq, F.lit("</answer>")), task).alias("reward"))
 
 
-@query("rwd11_code_format", "SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM documents")
+_PICK = r"CASE WHEN regexp_matches({0}, '<answer>.*?</answer>', 's') THEN regexp_replace(regexp_extract({0}, '<answer>(.*?)</answer>', 1, 's'), '^\s+|\s+$', '', 'g') ELSE trim({0}) END"
+
+
+@query("rwd10_string_accuracy", rf"WITH c AS (SELECT doc_id, {_forms_sql(_EXACT)} AS c, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'z <answer>de </answer>' END AS s {_DOCS} SELECT doc_id, ({_PICK.format('c')} = {_PICK.format('s')})::INT::DOUBLE AS reward FROM c")
+def _(s, d):
+    solution = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("z <answer>de </answer>")
+    return table(s, d, "documents").select("doc_id", R.string_accuracy(_forms(_EXACT), solution).alias("reward"))
+
+
+@query("rwd11_code_format", rf"WITH c AS (SELECT doc_id, {_forms_sql(_CODE)} AS c, CASE WHEN doc_id % 3 = 0 THEN 'python' ELSE 'en' END AS l {_DOCS} SELECT doc_id, (regexp_full_match(c, '<think>.*?</think>\s*<answer>.*?</answer>\s*', 's') AND contains(c, '```' || l))::INT::DOUBLE AS reward FROM c")
 def _(s, d):
-    c = F.concat(F.lit("<think>x</think>\n<answer>```"), "lang", F.lit("\npass\n```</answer>"))
-    return table(s, d, "documents").select("doc_id", R.code_format(c, F.lit("en")).alias("reward"))
+    language = F.when(F.col("doc_id") % 3 == 0, "python").otherwise("en")
+    return table(s, d, "documents").select("doc_id", R.code_format(_forms(_CODE), language).alias("reward"))
+
 
+_ONE = "len(regexp_extract_all(c, '<{0}>')) = 1 AND len(regexp_extract_all(c, '</{0}>')) = 1"
 
-@query("rwd12_tool_format", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 0.0::DOUBLE ELSE 1.0 END AS reward FROM documents")
+
+@query("rwd12_tool_format", rf"""WITH c AS (SELECT doc_id, {_forms_sql(_TOOL)} AS c, doc_id // 7 % 4 AS k {_DOCS}
+ SELECT doc_id, (CASE k WHEN 0 THEN regexp_full_match(c, '<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>', 's') AND {_ONE.format('tool_call')} AND {_ONE.format('response')}
+   WHEN 1 THEN regexp_full_match(c, '<think>.*?</think>\n<response>.*?</response>', 's') AND {_ONE.format('response')} WHEN 2 THEN regexp_full_match(c, '<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>', 's') AND {_ONE.format('tool_call')}
+   ELSE regexp_full_match(c, '<think>.*?</think>', 's') END)::INT::DOUBLE AS reward FROM c""")
 def _(s, d):
-    k = F.col("doc_id") % 4
-    sol = F.when(k == 0, "<tool_call>a</tool_call><response>b</response>").when(k == 1, "<response>b</response>").otherwise("<tool_call>a</tool_call>")
-    c = F.when(k == 0, "<think>x</think>\n<tool_call>\na\n</tool_call>\n<response>b</response>").when(k == 1, "<think>x</think>\n<response>b</response>").when(k == 2, "<think>x</think>\n<tool_call>\na\n</tool_call>").otherwise("<think>x</think>")
-    return table(s, d, "documents").select("doc_id", R.tool_format(c, sol).alias("reward"))
+    k = F.floor(F.col("doc_id") / 7) % 4
+    solution = F.when(k == 0, "<tool_call>a</tool_call><response>b</response>").when(k == 1, "<response>b</response>").when(k == 2, "<tool_call>a</tool_call>").otherwise("plain")
+    return table(s, d, "documents").select("doc_id", R.tool_format(_forms(_TOOL), solution).alias("reward"))
 
 
 @query("rwd13_tool_length", r"SELECT doc_id, least(round(len(regexp_extract_all(text, '[^ \t\n\r\x0b\f]+')) / 512.0, 2), 1)::DOUBLE AS reward FROM documents")
@@ -360,13 +431,29 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", R.tool_length(F.concat(F.lit("<think>"), "text", F.lit("</think>"))).alias("reward"))
 
 
-@query("jon08_tool_assignment", "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 2.0 / 3 END, 6) AS reward FROM events")
-@query("rwd14_tool_correctness", "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 2.0 / 3 END, 6) AS reward FROM events")
+def _call(name: Column, **values: Column) -> Column:
+    """A tool call with number parameters."""
+    args = [x for i, (k, v) in enumerate(values.items()) for x in (F.lit((", " if i else "") + f'"{k}": '), v.cast("string"))]
+    return F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "parameters": {'), *args, F.lit("}}\n</tool_call>"))
+
+
+@query("rwd14_tool_correctness", """WITH n AS (SELECT event_id, user_id % 5 AS a, event_id % 5 AS b, event_id % 3 AS c, user_id % 3 AS d, event_type = 'click' AS same FROM events)
+ SELECT event_id, round(CASE WHEN event_id % 11 = 0 THEN 0 WHEN same THEN (1 + 1 + (a = b)::INT + (c = d)::INT) / 4.0 ELSE 0 END, 6) AS reward FROM n""")
+def _(s, d):
+    """One call with two parameters: points for the name, the parameter names and each value; some rows hold no call."""
+    have = _call(F.col("event_type"), x=F.col("user_id") % 5, y=F.col("event_id") % 3)
+    have = F.when(F.col("event_id") % 11 == 0, "no call").otherwise(have)
+    want = _call(F.lit("click"), x=F.col("event_id") % 5, y=F.col("user_id") % 3)
+    return table(s, d, "events").select("event_id", r6(R.vectorised(R.tool_match)(have, want), "reward"))
+
+
+@query("jon08_tool_assignment", """WITH n AS (SELECT event_id, user_id % 3 AS a, event_id % 3 AS b, event_id // 3 % 3 AS w, user_id // 3 % 3 AS v FROM events)
+ SELECT event_id, round((1 + CASE WHEN a = w OR b = w THEN 2 ELSE 1 END + CASE WHEN (CASE WHEN a = w THEN b WHEN b = w THEN a ELSE b END) = v THEN 2 ELSE 1 END) / 5.0, 6) AS reward FROM n""")
 def _(s, d):
-    """Odd rows give a wrong value for the one parameter: 2 of 3 points."""
-    call = lambda v: F.concat(F.lit('<tool_call>\n{"name": "f", "parameters": {"a": '), v.cast("string"), F.lit("}}\n</tool_call>"))
-    k = F.col("event_id")
-    return table(s, d, "events").select("event_id", r6(R.vectorised(R.tool_match)(call(k), call(k + k % 2)), "reward"))
+    """Two calls of one tool: each wanted call takes the best that is left, the first of equals."""
+    have = F.concat(_call(F.lit("f"), x=F.col("user_id") % 3), _call(F.lit("f"), x=F.col("event_id") % 3))
+    want = F.concat(_call(F.lit("f"), x=F.floor(F.col("event_id") / 3) % 3), _call(F.lit("f"), x=F.floor(F.col("user_id") / 3) % 3))
+    return table(s, d, "events").select("event_id", r6(R.vectorised(R.tool_match)(have, want), "reward"))
 
 
 @query("rwd15_trajectory", "SELECT conv_id, turn, last(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS reward FROM (SELECT *, length(text)::DOUBLE AS n FROM conversations)")

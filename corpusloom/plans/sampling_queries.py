@@ -98,9 +98,9 @@ def _(s, d):
     return smp.valid_top_up(docs(s, d), F.col("n_chars") <= 2000, 50, "doc_id").select("doc_id")
 
 
-@query("smp14_negative_pad", "WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS n FROM events WHERE user_id < 80 GROUP BY user_id) SELECT user_id, 4::BIGINT AS n_fixed, array_to_string(n[1:least(4, len(n))], ',') AS kept FROM g")
+@query("smp14_negative_pad", "WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS n FROM events GROUP BY user_id) SELECT user_id, 4::BIGINT AS n_fixed, array_to_string(n[1:least(4, len(n))], ',') AS kept FROM g")
 def _(s, d):
-    g = table(s, d, "events").where("user_id < 80").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("n"))
+    g = table(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("n"))
     fixed = g.withColumn("f", smp.fit_negatives(F.col("n"), 4, F.col("user_id")))
     return fixed.select("user_id", F.size("f").cast("long").alias("n_fixed"), F.array_join(F.slice("f", 1, F.least(F.lit(4), F.size("n"))).cast("array<string>"), ",").alias("kept"))
 
@@ -194,12 +194,12 @@ def _(s, d):
     return c.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("k")).select("k.conv_id", "k.turn")
 
 
-@query("set07_prompt_ids", "WITH k AS (SELECT text, min(conv_id * 100 + turn) AS first FROM conversations WHERE role = 'user' GROUP BY text), n AS (SELECT text, row_number() OVER (ORDER BY first) - 1 AS prompt_id FROM k) SELECT conv_id, turn, prompt_id FROM conversations JOIN n USING (text) WHERE role = 'user'")
+@query("set07_prompt_ids", "WITH k AS (SELECT text, min(struct_pack(c := conv_id, t := turn)) AS first FROM conversations WHERE role = 'user' GROUP BY text), n AS (SELECT text, row_number() OVER (ORDER BY first) - 1 AS prompt_id FROM k) SELECT conv_id, turn, prompt_id FROM conversations JOIN n USING (text) WHERE role = 'user'")
 def _(s, d):
     """Dense numbers of equal prompts in the order first seen."""
     c = table(s, d, "conversations").where("role = 'user'")
-    first = c.groupBy("text").agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("first"))
-    return c.join(smp.with_rank(first, [F.col("first")], "prompt_id"), "text").select("conv_id", "turn", "prompt_id")
+    first = c.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    return c.join(smp.with_rank(first, [F.col("first.conv_id"), F.col("first.turn")], "prompt_id").drop("first"), "text").select("conv_id", "turn", "prompt_id")
 
 
 @query("jon02_semi_join_media", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

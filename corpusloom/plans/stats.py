@@ -65,11 +65,17 @@ _LAST = "SELECT user_id, max(event_id) AS event_id, round(arg_max(value, event_i
 
 
 @query("win03_last_per_id", _LAST)
-@query("set04_dedup_request_last_wins", _LAST)
 def _(s, d):
     return adv.last_per_id(events(s, d).select("user_id", "event_id", "value"), "user_id", "event_id").select("user_id", "event_id", r6("value", "value"))
 
 
+@query("set04_dedup_request_last_wins", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS text FROM conversations GROUP BY conv_id")
+def _(s, d):
+    """Of the rows of a request the last one stays, whole."""
+    c = adv.last_per_id(table(s, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+    return c.select("conv_id", "turn", "role", F.md5("text").alias("text"))
+
+
 @query("win04_kto_shift", "SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), last_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS kl_text FROM conversations")
 def _(s, d):
     w = W.partitionBy("conv_id").orderBy("turn")
@@ -252,27 +258,33 @@ def _(s, d):
     return x.groupBy("user_id").agg(r6(F.avg(F.expr("try_cast(v AS double)")), "average"))
 
 
-_DIST = """v AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS p, embedding[17:32]::DOUBLE[] AS q FROM embeddings),
+_DIST = """v AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS p, embedding[33:64]::DOUBLE[] AS q FROM embeddings),
  s AS (SELECT vec_id, [exp(x - list_max(p)) / list_sum([exp(y - list_max(p)) FOR y IN p]) FOR x IN p] AS p, [exp(x - list_max(q)) / list_sum([exp(y - list_max(q)) FOR y IN q]) FOR x IN q] AS q FROM v)"""
 
 
 def _dists(s: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
-    return table(s, d, "embeddings").select("vec_id", agg.softmax(F.slice(e, 1, 16)).alias("p"), agg.softmax(F.slice(e, 17, 16)).alias("q"))
+    return table(s, d, "embeddings").select("vec_id", agg.softmax(F.slice(e, 1, 32)).alias("p"), agg.softmax(F.slice(e, 33, 32)).alias("q"))
 
 
 _ENT = f"WITH {_DIST} SELECT vec_id, round(-list_sum([x * ln(x) FOR x IN p]), 6) AS entropy FROM s"
 
 
 @query("agg24_softmax_entropy", _ENT)
-@query("agg38_logits_entropy", _ENT)
 def _(s, d):
     return _dists(s, d).select("vec_id", r6(agg.entropy(F.col("p")), "entropy"))
 
 
-@query("agg25_divergences", f"""WITH {_DIST} SELECT vec_id, round(list_sum([p[i] * ln((p[i] + 1e-10) / (q[i] + 1e-10)) FOR i IN range(1, 17)]), 6) AS kl_forward, round(list_sum([q[i] * ln((q[i] + 1e-10) / (p[i] + 1e-10)) FOR i IN range(1, 17)]), 6) AS kl_reverse,
- round(list_sum([p[i] * ln((p[i] + 1e-10) / ((p[i] + q[i]) / 2 + 1e-10)) + q[i] * ln((q[i] + 1e-10) / ((p[i] + q[i]) / 2 + 1e-10)) FOR i IN range(1, 17)]) / 2, 6) AS jsd,
- round(list_sum([abs(list_sum(p[1:i]) - list_sum(q[1:i])) FOR i IN range(1, 17)]), 6) AS wasserstein FROM s""")
+@query("agg38_logits_entropy", "WITH z AS (SELECT vec_id, [8 * x FOR x IN embedding::DOUBLE[]] AS z FROM embeddings), p AS (SELECT vec_id, z, ln(list_sum([exp(x) FOR x IN z])) AS lse FROM z) SELECT vec_id, round(list_sum([exp(x - lse) * (lse - x) FOR x IN z]), 6) AS entropy FROM p")
+def _(s, d):
+    """From logits, without the distribution in between."""
+    z = F.transform(F.col("embedding").cast("array<double>"), lambda x: 8 * x)
+    return table(s, d, "embeddings").select("vec_id", r6(agg.logits_entropy(z), "entropy"))
+
+
+@query("agg25_divergences", f"""WITH {_DIST} SELECT vec_id, round(list_sum([p[i] * ln((p[i] + 1e-10) / (q[i] + 1e-10)) FOR i IN range(1, 33)]), 6) AS kl_forward, round(list_sum([q[i] * ln((q[i] + 1e-10) / (p[i] + 1e-10)) FOR i IN range(1, 33)]), 6) AS kl_reverse,
+ round(list_sum([p[i] * ln((p[i] + 1e-10) / ((p[i] + q[i]) / 2 + 1e-10)) + q[i] * ln((q[i] + 1e-10) / ((p[i] + q[i]) / 2 + 1e-10)) FOR i IN range(1, 33)]) / 2, 6) AS jsd,
+ round(list_sum([abs(list_sum(p[1:i]) - list_sum(q[1:i])) FOR i IN range(1, 33)]), 6) AS wasserstein FROM s""")
 def _(s, d):
     p, q = F.col("p"), F.col("q")
     return _dists(s, d).select("vec_id", r6(agg.kl(p, q), "kl_forward"), r6(agg.kl(q, p), "kl_reverse"), r6(agg.jsd(p, q), "jsd"), r6(agg.wasserstein(p, q), "wasserstein"))
@@ -285,8 +297,8 @@ def _(s, d):
     return out.select("doc_id", *[r6(f"distinct_{n}", f"distinct_{n}") for n in (2, 3, 4)])
 
 
-@query("agg27_generalised_jsd", f"""WITH {_DIST}, m AS (SELECT vec_id, p, q, [0.7 * p[i] + 0.3 * q[i] FOR i IN range(1, 17)] AS m FROM s)
- SELECT vec_id, round(0.3 * list_sum([q[i] * ln((q[i] + 1e-10) / (m[i] + 1e-10)) FOR i IN range(1, 17)]) + 0.7 * list_sum([p[i] * ln((p[i] + 1e-10) / (m[i] + 1e-10)) FOR i IN range(1, 17)]), 6) AS loss FROM m WHERE vec_id % 5 > 0""")
+@query("agg27_generalised_jsd", f"""WITH {_DIST}, m AS (SELECT vec_id, p, q, [0.7 * p[i] + 0.3 * q[i] FOR i IN range(1, 33)] AS m FROM s)
+ SELECT vec_id, round(0.3 * list_sum([q[i] * ln((q[i] + 1e-10) / (m[i] + 1e-10)) FOR i IN range(1, 33)]) + 0.7 * list_sum([p[i] * ln((p[i] + 1e-10) / (m[i] + 1e-10)) FOR i IN range(1, 33)]), 6) AS loss FROM m WHERE vec_id % 5 > 0""")
 def _(s, d):
     """beta 0.3 over unmasked positions (a fifth of the rows are masked)."""
     return _dists(s, d).where("vec_id % 5 > 0").select("vec_id", r6(agg.generalised_jsd(F.col("p"), F.col("q"), 0.3), "loss"))
@@ -396,16 +408,16 @@ def _(s, d):
     return out.select(*[r6(c, c) for c in out.columns])
 
 
-# In-batch negatives: anchors are ids divisible by 10, their positive the next id, hard negatives the two after it.
-_NCE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), a AS (SELECT vec_id // 10 AS g, vec_id // 160 AS batch, e FROM v WHERE vec_id % 10 = 0),
- c AS (SELECT vec_id // 10 AS g, vec_id // 160 AS batch, vec_id % 10 AS role, e FROM v WHERE vec_id % 10 IN (1, 2, 3)),
+# In-batch negatives: of four ids the first is the anchor, the next its positive, and the two after it hard negatives.
+_NCE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), a AS (SELECT vec_id // 4 AS g, vec_id // 64 AS batch, e FROM v WHERE vec_id % 4 = 0),
+ c AS (SELECT vec_id // 4 AS g, vec_id // 64 AS batch, vec_id % 4 AS role, e FROM v WHERE vec_id % 4 > 0),
  s AS (SELECT a.batch, a.g, (a.g = c.g AND c.role = 1) AS pos, list_dot_product(a.e, c.e) AS s FROM a JOIN c ON a.batch = c.batch)"""
 
 
 def _similarities(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    key = [F.floor(F.col("vec_id") / 10).alias("g"), F.floor(F.col("vec_id") / 160).alias("batch")]
-    return V.in_batch_similarity(v.where("vec_id % 10 = 0").select(*key, "e"), v.where("vec_id % 10 IN (1, 2, 3)").select(*key, (F.col("vec_id") % 10).alias("role"), "e"))
+    key = [F.floor(F.col("vec_id") / 4).alias("g"), F.floor(F.col("vec_id") / 64).alias("batch")]
+    return V.in_batch_similarity(v.where("vec_id % 4 = 0").select(*key, "e"), v.where("vec_id % 4 > 0").select(*key, (F.col("vec_id") % 4).alias("role"), "e"))
 
 
 @query("agg10_infonce_metrics", f"WITH {_NCE}, p AS (SELECT g, max(s) FILTER (pos) AS p, max(s) FILTER (NOT pos) AS n FROM s GROUP BY g) SELECT round((SELECT avg(p - n) FROM p), 6) AS margin, round(avg(s) FILTER (pos), 6) AS mean_pos, round(avg(s) FILTER (NOT pos), 6) AS mean_neg FROM s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the store that the cluster shares (spark.checkpoint.dir), or a temporary one where it is unset."""
+    """A new folder in the store that the cluster shares (spark.checkpoint.dir). Where it is unset a local session takes
+    a temporary one; on a cluster, whose machines share no temporary folder, that is an error."""
     import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
     return f"{shared.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"corpusloom-{name}-")

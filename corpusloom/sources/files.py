@@ -27,15 +27,21 @@ def read_file(spark: SparkSession, path: str, schema: StructType | str | None =
     return r.format(kind).load(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a file or folder at the path, in whatever store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_splits(spark: SparkSession, folder: str, splits: tuple[str, ...], extensions: tuple[str, ...] = ("parquet", "jsonl", "json", "csv", "txt")) -> DataFrame:
-    """The splits of a local dataset folder: <folder>/<split>.<ext> or <folder>/<split>/, concatenated."""
+    """The splits of a dataset folder in any store: <folder>/<split>.<ext> or <folder>/<split>/, concatenated."""
     frames = []
     for s in splits:
-        found = next((p for e in extensions if os.path.exists(p := f"{folder}/{s}.{e}")), f"{folder}/{s}" if os.path.isdir(f"{folder}/{s}") else None)
+        found = next((p for p in (*(f"{folder}/{s}.{e}" for e in extensions), f"{folder}/{s}") if exists(spark, p)), None)
         if found is None:
             raise FileNotFoundError(f"{folder} has no split {s}")
         frames.append(read_file(spark, found))

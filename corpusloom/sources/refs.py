@@ -11,6 +11,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 HUBS = ("hf", "ms")
+#: Paths in a store that Spark reads.
+URI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+://")
+FILE = re.compile(r"\.(?:csv|json|jsonl|txt|parquet|orc)\Z", re.I)
 
 
 def safe_split(s: str | None, sep: str, first: bool, right: bool = False) -> tuple[str | None, str | None]:
@@ -32,7 +35,13 @@ class DatasetRef:
 
     @classmethod
     def parse(cls, text: str, exists: Callable[[str], bool] = os.path.exists) -> DatasetRef:
-        """An existing path wins over each separator in turn."""
+        """An existing path wins over each separator in turn; a URI is a path, whose subsets are parted in its last part."""
+        if URI.match(text):
+            body, sample = safe_split(text, "#", True, right=True)
+            scheme, _, rest = body.partition("://")
+            store, slash, path = rest.partition("/")
+            path, subsets = safe_split(path, ":", True)
+            return cls(f"{scheme}://{store}{slash}{path or ''}", tuple(x.strip() for x in subsets.split("/")) if subsets else (), int(sample) if sample else None)
         hub, rest = (None, text) if exists(text) else safe_split(text, "::", False)
         body, sample = (rest, None) if exists(rest) else safe_split(rest, "#", True, right=True)
         name, subsets = (body, None) if exists(body) else safe_split(body, ":", True)
@@ -45,7 +54,11 @@ class DatasetRef:
 
     @property
     def is_file(self) -> bool:
-        return os.path.isfile(self.dataset)
+        return bool(FILE.search(self.dataset)) if URI.match(self.dataset) else os.path.isfile(self.dataset)
+
+    @property
+    def is_folder(self) -> bool:
+        return not FILE.search(self.dataset) if URI.match(self.dataset) else os.path.isdir(self.dataset)
 
 
 @dataclass(frozen=True)
@@ -71,7 +84,7 @@ class DatasetMeta:
     huge: bool = False
 
     def keys(self) -> list[tuple[str, str]]:
-        kind = "repo" if self.path and os.path.isdir(self.path) else "path"
+        kind = "repo" if self.path and DatasetRef(self.path).is_folder else "path"
         return [(k, v) for k, v in ((kind, self.path), ("ms", self.ms_id), ("hf", self.hf_id)) if v]
 
 
@@ -99,7 +112,7 @@ class Registry:
         """By name, then by exact kind and id, then by short name; else defaults."""
         if ref.dataset in self.by_name:
             return self.by_name[ref.dataset]
-        kind = "path" if ref.is_file else "repo" if os.path.isdir(ref.dataset) else ref.hub or default_hub
+        kind = "path" if ref.is_file else "repo" if ref.is_folder else ref.hub or default_hub
         exact = {k: m for m in self.by_name.values() for k in m.keys()}
         if (kind, ref.dataset) in exact:
             return exact[kind, ref.dataset]
@@ -117,7 +130,7 @@ class Registry:
         out = []
         for e in source:
             path = e.get("dataset_path")
-            if path and base and not os.path.isabs(path):
+            if path and base and not os.path.isabs(path) and not URI.match(path):
                 path = os.path.join(base, path)
             subsets = tuple(Subset(s, s) if isinstance(s, str) else Subset(s.get("name", s.get("subset", "default")), s.get("subset", "default"), tuple(s.get("split", ())), layout(s), s.get("is_weak_subset", False)) for s in e.get("subsets", ["default"]))
             split = e.get("split", ["train"])

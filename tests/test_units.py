@@ -1,5 +1,6 @@
 """Operators on small values: gold matrices, parsers, packing, splits."""
 
+import math
 import os
 
 import numpy as np
@@ -8,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions import rewards
 from corpusloom.functions import rewards as R
 from corpusloom.functions import text as T
 from corpusloom.operators import advantage, aggregates, clustering, experts, filters, joins, normalise, packing, sampling
-from corpusloom.sources import files
+from corpusloom.sources import files, refs
 from corpusloom.sources.refs import DatasetMeta, DatasetRef, Registry, Subset, select_subsets
 
 NO_FILE = lambda p: False
@@ -244,3 +246,151 @@ def test_rouge_l_and_bleu_read_whole_texts(spark, tmp_path):
     pairs = [(w, w[4:]) for w in ((x or "").split() for x in texts) if len(w) > 4]
     assert got.rouge_l == pytest.approx(100 * sum(overlap.rouge_l_score(a, b) for a, b in pairs) / len(pairs), abs=1e-5)
     assert got.bleu_4 == pytest.approx(100 * sum(overlap.bleu4_score(a, b) for a, b in pairs) / len(pairs), abs=1e-5)
+
+
+def test_bleu_smoothing_gold():
+    from corpusloom.functions import overlap
+
+    got = overlap.bleu4_score("a b c d e".split(), "a b x d e".split())
+    assert got == pytest.approx((4 / 5 * 2 / 4 * (1 / 2) / 3 * (1 / 4) / 2) ** 0.25)
+    assert overlap.bleu4_score("a".split(), "b".split()) == 0 and overlap.bleu4_score([], ["b"]) == 0
+    assert overlap.bleu4_score("a b c d".split(), "a b c d e".split()) == pytest.approx(math.exp(1 - 5 / 4))
+
+
+def test_format_rewards_at_the_start(spark):
+    c = ["<think>a</think>\nAction: x\nAction Input: {}", "preface\n<think>a</think>\nAction: x\nAction Input: {}"]
+    got = spark.createDataFrame([(x,) for x in c], "c string").select(rewards.react_format(F.col("c")).alias("r")).collect()
+    assert [r.r for r in got] == [1.0, 0.0]
+    assert rewards.countdown("<answer>1+2</answer>", None) == 0 and rewards.countdown("<answer>1+2</answer>", "[1]") == 0
+    assert rewards.countdown("<answer>1+2</answer>", '{"nums": [2, 1], "target": 3}') == 1
+
+
+def test_gram_hashes_count_as_strings(spark):
+    texts = ["", "a", "a b", "a b a b a b", " ".join(f"w{k % 7}" for k in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for n in (1, 2, 3, 4):
+        got = {r.k: (r.n, r.u) for r in df.withColumn("h", aggregates.hashed_words(F.filter(F.split("t", " "), lambda w: w != ""))).select("k", F.size(aggregates.gram_hashes(F.col("h"), n)).alias("n"), F.size(F.array_distinct(aggregates.gram_hashes(F.col("h"), n))).alias("u")).collect()}
+        for k, t in enumerate(texts):
+            grams = list(zip(*(t.split()[i:] for i in range(n)), strict=False))
+            assert got[k] == (len(grams), len(set(grams)))
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(g), float(x)) for g in range(3) for x in np.round(r.exponential(5, 4000 * g + 1), 1 + g)] + [(7, None), (0, None)]
+    df = spark.createDataFrame(rows, "g long, x double")
+    for q in (0.0, 0.5, 0.8, 0.995, 1.0):
+        got = {r.g: r.q for r in sampling.exact_quantile(df, "x", q, ["g"], "q").collect()}
+        for g in range(3):
+            assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g and x is not None], q), rel=1e-12)
+        assert sampling.exact_quantile(df, "x", q, [], "q").first().q == pytest.approx(np.quantile([x for _, x in rows if x is not None], q), rel=1e-12)
+    from corpusloom.operators.advantage import quantile_mask
+
+    kept = quantile_mask(df, "x", 0.2, "g").where("keep").groupBy("g").count().collect()
+    for k in kept:
+        xs = np.array([x for g, x in rows if g == k.g and x is not None])
+        assert k["count"] == (xs >= np.quantile(xs, 0.8)).sum()
+    assert quantile_mask(df.limit(0), "x", 0.2).count() == 0 and quantile_mask(df, "x", 0.2).count() == len(rows)
+
+
+def test_ranks_of_names_that_begin_alike(spark):
+    names = [f"https://example.org/page-{k:05d}" for k in range(500)]
+    got = sampling.with_rank(spark.createDataFrame([(x,) for x in reversed(names)], "u string"), [F.col("u")]).collect()
+    assert {r.u: r["rank"] for r in got} == {x: i for i, x in enumerate(names)}
+
+
+def test_packs_as_a_plain_search_makes_them(spark):
+    r = np.random.default_rng(4)
+    items = [(int(k), int(x)) for k, x in enumerate(r.integers(1, 70, 300))] + [(900, 120), (901, 0)]
+    bins = []
+    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
+        fit = [b for b in bins if sum(s for _, s in b) + size <= 64]
+        best = min(fit, key=lambda b: (64 - sum(s for _, s in b), bins.index(b)), default=None)
+        if best is None:
+            bins.append([(key, size)])
+        else:
+            best.append((key, size))
+    got = packing.pack(spark.createDataFrame(items, "k long, n long"), "k", F.col("n"), 64).collect()
+    assert {(x.k, x.pack_id, x.pos) for x in got} == {(k, b, i) for b, rows in enumerate(bins) for i, (k, _) in enumerate(rows)}
+
+
+def test_vector_statistics_against_numpy(spark):
+    r = np.random.default_rng(6)
+    x = {g: r.standard_normal((300, 6)) @ np.diag([3, 2, 1, 1, 0.5, 0.1]) + g for g in (0, 1)}
+    df = spark.createDataFrame([(g, v.tolist()) for g, m in x.items() for v in m] + [(0, None)], "g long, v array<double>").repartition(5)
+    ranks = {k.g: k.effective_rank for k in clustering.effective_rank(df, "g", "v").collect()}
+    found = {k.g: k for k in clustering.collapse_metrics(df, "g", "v").collect()}
+    for g, m in x.items():
+        e = np.linalg.eigvalsh(np.cov(m.T, bias=True))
+        p = e / e.sum()
+        assert ranks[g] == pytest.approx(np.exp(-(p * np.log(p)).sum()))
+        c = m - m.mean(0)
+        _, s, v = np.linalg.svd(c, full_matrices=False)
+        y = c @ v[:2].T
+        k = found[g]
+        assert (k.pc1_share, k.pc2_share, k.spread) == pytest.approx((s[0] ** 2 / (s**2).sum(), s[1] ** 2 / (s**2).sum(), np.linalg.norm(c, axis=1).mean()))
+        assert k.hull_area == pytest.approx(clustering.hull_area(y))
+        h = np.histogram2d(y[:, 0], y[:, 1], 10)[0].ravel() / len(y)
+        assert k.entropy == pytest.approx(-(h[h > 0] * np.log(h[h > 0])).sum(), abs=0.05)
+    both = np.concatenate(list(x.values()))
+    corr = np.corrcoef(both.T)
+    assert clustering.mean_coupling(df, "v").first().coupling == pytest.approx(np.abs(corr[np.triu_indices(6, 1)]).mean())
+
+
+def test_linkage_against_a_plain_search():
+    """Merges by the definition: distances between groups from all pairs of their members."""
+    r = np.random.default_rng(8)
+    for _ in range(20):
+        p = r.standard_normal((9, 3))
+        d = np.linalg.norm(p[:, None] - p, axis=2)
+        for kind, value in (("single", np.min), ("complete", np.max), ("average", np.mean)):
+            groups = [[i] for i in range(9)]
+            while len(groups) > 3:
+                a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda q: value(d[np.ix_(groups[q[0]], groups[q[1]])]))
+                groups[b] += groups.pop(a)
+            label = clustering.linkage_labels(d, 3, kind)
+            assert {tuple(np.flatnonzero(label == k)) for k in range(3)} == {tuple(sorted(g)) for g in groups}
+
+
+def test_kmeans_finds_apart_groups_and_costs_fall():
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((8, 4)) * 0.1 + c for c in (0, 10, 20)])
+    label, cost = clustering.lloyd(x, 3)
+    assert [set(label[k : k + 8]) for k in (0, 8, 16)] == [{0}, {1}, {2}]
+    assert cost == pytest.approx(sum(((g - g.mean(0)) ** 2).sum() for g in (x[:8], x[8:16], x[16:])))
+    costs = [clustering.lloyd(x, k)[1] for k in (1, 3, 24)]
+    assert costs[0] > costs[1] > costs[2] == pytest.approx(0, abs=1e-9)
+
+
+def test_uri_references(spark, tmp_path):
+    from corpusloom.plans.loader import REGISTRY, load_dataset
+
+    ref = refs.DatasetRef.parse("hdfs://nn:8020/data/set:a/b#30")
+    assert (ref.dataset, ref.subsets, ref.sample, ref.hub) == ("hdfs://nn:8020/data/set", ("a", "b"), 30, None) and refs.DatasetRef.parse(ref.format()) == ref
+    assert refs.DatasetRef.parse("s3a://b/x.jsonl#5").is_file and refs.DatasetRef.parse("s3a://b/x").is_folder
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "train.jsonl").write_text('{"query": "q", "response": "r"}\n' * 4)
+    for text in (f"file://{tmp_path}/d", f"file://{tmp_path}/d#2", f"file://{tmp_path}/d/train.jsonl"):
+        train, _ = load_dataset(spark, text)
+        assert train.count() == (2 if text.endswith("#2") else 4)
+    assert REGISTRY.lookup(refs.DatasetRef.parse("hf::openai/gsm8k")).name == "gsm8k" and REGISTRY.lookup(refs.DatasetRef.parse("ms::other/gsm8k")).name == "gsm8k"
+
+
+def test_plugins_load_and_register(spark, tmp_path):
+    from corpusloom import plugins
+
+    path = tmp_path / "mine.py"
+    path.write_text("from corpusloom import plugins\nfrom pyspark.sql import functions as F\n"
+                    "plugins.register(plugins.REWARDS, 'length', lambda c: F.length(c).cast('double'), exist_ok=True)\n"
+                    "plugins.register(plugins.NORMALISERS, 'upper', lambda df: df.select(F.upper('q').alias('q')).where(\"q <> ''\"), exist_ok=True)\n"
+                    "plugins.register(plugins.TEMPLATES, 'bars', lambda m: F.array_join(F.transform(m, lambda x: x['content']), '|'), exist_ok=True)\n"
+                    "plugins.register(plugins.METRICS, 'most', lambda df, c: df.agg(F.max(c).alias('value')), exist_ok=True)\n"
+                    "plugins.register(plugins.LOSS_SCALES, 'none', lambda m: F.transform(m, lambda x: F.lit(0.0)), exist_ok=True)\n")
+    plugins.load_plugins(spark, str(path))
+    df = spark.createDataFrame([("ab",), ("",)], "q string")
+    assert [r.r for r in df.select(plugins.REWARDS["length"](F.col("q")).alias("r")).collect()] == [2.0, 0.0]
+    assert [r.q for r in plugins.NORMALISERS["upper"](df).collect()] == ["AB"] and plugins.METRICS["most"](df, "q").first().value == "ab"
+    m = spark.createDataFrame([([("user", "a"), ("assistant", "b")],)], "m array<struct<role string, content string>>")
+    assert m.select(plugins.TEMPLATES["bars"](F.col("m")).alias("t"), plugins.LOSS_SCALES["none"](F.col("m")).alias("s"), plugins.LOSS_SCALES["default"](F.col("m")).alias("d")).first() == ("a|b", [0.0, 0.0], [0.0, 1.0])
+    with pytest.raises(ValueError):
+        plugins.register(plugins.REWARDS, "format", len)
