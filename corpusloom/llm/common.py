@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most so many rows of a few numbers each (some 64 bytes a row) may be broadcast: 32 MB.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast if its rows take at most so many bytes, counted as ROW_BYTES of its schema a row.
+BROADCAST_BYTES = 32 << 20
 
 _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) takes a
+    temporary one; on a cluster, whose machines share no temporary folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
     if not found:
         key = spark.sparkContext.applicationId
         if key not in _roots:
@@ -50,10 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; else Spark shuffles (and AQE splits skew)."""
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a hash table: 32, and 8 a number or 320 a column without a fixed size (digests, sketches)."""
+    return 32 + sum(320 if t in ("string", "binary") or t.startswith(("array", "map", "struct")) else 8 for _, t in df.dtypes)
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the limit of bytes; else Spark shuffles (and AQE splits skew)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n * row_bytes(df) <= limit else df
 
 
 def components(edges: DataFrame) -> DataFrame:

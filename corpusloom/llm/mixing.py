@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import broadcast_if_small, materialise
 from corpusloom.session import table
 
 #: Slopes of the schedules, repeated over the sources as the weights are: rising, level, falling.
@@ -88,7 +89,8 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tu
     over = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("start"))
     targets = source_targets(sums, weights, slopes, budget, most)
-    starts = starts.join(F.broadcast(targets), starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), starts["bucket"].alias("b"), "start", "source_size", "slope", "target")
+    targets = materialise(targets, "targets")
+    starts = starts.join(broadcast_if_small(targets), starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), starts["bucket"].alias("b"), "start", "source_size", "slope", "target")
     within = W.partitionBy("source", "bucket").orderBy("dealt", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, placed["source"].eqNullSafe(F.col("s")) & (placed["bucket"] == F.col("b")))
