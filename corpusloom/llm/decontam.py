@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.session import table
 
@@ -48,8 +49,8 @@ LONG = 15
 LEAST, SHARE, IDENTITY, PENALTY = 12, 0.8, 0.8, 3
 #: Tokens of a benchmark block (some 60 bytes each with its hashes), and of a piece of documents hashed at once.
 BLOCK_TOKENS, PIECE_TOKENS = 1_000_000, 1 << 19
-SCHEMA = "doc_id long, item_id long, n_matched long, identity double, doc_start long, doc_end long, item_start long"
-_FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
+SCHEMA = "item_id long, n_matched long, identity double, doc_start long, doc_end long, item_start long"
+_FIELDS = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,12 +151,14 @@ def overlaps(block: Block, ids: np.ndarray, offset_hits: np.ndarray, least: int,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, identity: float = IDENTITY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document and benchmark item that it overlaps: tokens matched, identity, and where."""
+    """One row per document (a doc_id of any type) and benchmark item that it overlaps: tokens matched, identity, and where."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     tokens = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
     n_blocks = max(1, math.ceil(tokens / block_tokens))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select("doc_id", "text")
+    kind = texts.schema["doc_id"].dataType
+    key = to_arrow_type(kind)
 
     def one(k: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
@@ -203,10 +206,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
                 if group:
                     flush()
                 cols = list(zip(*out, strict=True)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [key, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], _FIELDS)
 
-        return texts.mapInArrow(probe, SCHEMA)
+        return texts.mapInArrow(probe, f"doc_id {kind.simpleString()}, {SCHEMA}")
 
     out = one(0)
     for k in range(1, n_blocks):

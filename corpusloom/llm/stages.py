@@ -35,10 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL")
-    gone = materialise(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose texts overlap a benchmark item go, whatever their ids (none, or one of several texts)."""
+    text = F.unhex(F.md5("text"))
+    found = decontam.contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialise(found.select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
+    return docs.withColumn("_text", text).join(broadcast_if_small(gone), "_text", "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
