@@ -199,6 +199,25 @@ def test_jaccard_chunks_keep_links(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_overlaps_by_intersection():
+    r = np.random.default_rng(7)
+    for n, pool in ((1, 50), (2, 30), (5, 40), (40, 60), (40, 4000), (90, 300)):
+        sets = [np.unique(r.integers(0, pool, int(r.integers(1, 80))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(n)]
+        got = ngram_jaccard.overlaps(sets)
+        assert (got == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, None), (4, a), (5, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {r.doc_id: r.text for r in df.withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by("text", "h").alias("text")).collect()}
+    got = ngram_jaccard.jaccard_components(df, 3, 80).collect()
+    label = {i: min(j for j, t in own.items() if t is not None and own[i] is not None and t[:200] == own[i][:200]) if own[i] is not None else i for i in own}
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(label.items())
+    assert sorted(r.n_shingles for r in got) == sorted(len(ngram_jaccard.Shingler(3).set(t)) for _, t in rows)
+
+
 def test_block_keys_meet():
     r = np.random.default_rng(0)
     for num in (80, 90):
@@ -320,6 +339,91 @@ def test_secret_links_reach_through_the_scope(spark):
     assert got == {0: ["access", "secret"], 1: ["identifier", "endpoint", "hex"], 2: ["access"], 3: ["hex"]}
 
 
+def test_secret_links_by_brute_force():
+    """All pairs of parts, scope by scope, on texts put together at random."""
+    r = random.Random(3)
+    key = "Zx9Qw7Er5Ty3Ui1Op8As6Df4"
+    bits = ["user=bob_", "client_id: app-77", "AKIA" + "QW3RT5YU1IOP7ASD", key + "k", "https://api.example.org:443/x", "db.example.net:5432", "password = hunter22", "a" * 30, "\n", "\n\n", "\n \t\n", " ", "plain words ", "-" * 9, "token:"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    bases = [secrets.base_spans(t) for t in texts]
+    for reach in (None, 25):
+        some, far = 0, 10**9 if reach is None else reach
+        for text, base, got in zip(texts, bases, secrets.linked(texts, bases, reach), strict=True):
+            identifiers, mixed, ends = secrets.weak_spans(text, base)
+            scope = lambda s, t=text: len(re.findall(r"\n[ \t\r]*\n", t[: s[1]]))
+            meets = lambda s, parts: any(scope(s) == scope(p) and (s[1] - far < p[2] <= s[1] or s[2] <= p[1] < s[2] + far) for p in parts)  # noqa: B023, E731
+            access, keys = [s for s in base if s[0] == "access"] + identifiers, [s for s in base if s[0] != "access"] + mixed
+            want = [s for s in identifiers if meets(s, keys)] + [s for s in mixed if meets(s, access)] + [s for s in ends if meets(s, access) and meets(s, keys)]
+            assert got == want
+            some += bool(want)
+        assert some > 40
+
+
+def test_secret_base_spans_by_a_plain_reading():
+    """The three patterns read character by character."""
+    r = random.Random(4)
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+    bits = [*names, "Token", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "=", ":", " ", '"', "'", "value_1", "-", "\n", "é", "x" * 7]
+
+    def plain(t):
+        out, i = [], 0
+        while i < len(t):
+            name = max((n for n in names if t[i : i + len(n)].lower() == n), key=len, default=None)
+            j = i + len(name) if name else 0
+            if name:
+                j += t[j : j + 1] in ('"', "'") and t[j : j + 1] != ""
+                while t[j : j + 1] == " ":
+                    j += 1
+                if t[j : j + 1] and t[j] in ":=":
+                    j += 1
+                    while t[j : j + 1] == " ":
+                        j += 1
+                    j += t[j : j + 1] != "" and t[j] in "\"'"
+                    k = j
+                    while t[k : k + 1] and (t[k].isascii() and t[k].isalnum() or t[k] in "+/_.=-"):
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            out.append(("assign", i, k))
+                        i = k
+                        continue
+            i += 1
+        for kind, head, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+            i = 0
+            while i < len(t):
+                k = i + len(head)
+                if t.startswith(head, i):
+                    while t[k : k + 1] and t[k] in chars:
+                        k += 1
+                if t.startswith(head, i) and k > i + len(head):
+                    if k - i >= least:
+                        out.append((kind, i, k))
+                    i = k
+                else:
+                    i += 1
+        return sorted(out)
+
+    for _ in range(800):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        assert sorted(secrets.base_spans(t)) == plain(t), t
+
+
+@pytest.mark.parametrize("run", ["-", "a-", "a.", "=", "token ", "user=", "a1B-/", "x.y:", "http://", "AKIA", " \n", "A1b2C3d4+", "0f", "key_id:"])
+def test_secret_scan_is_linear(run):
+    import time
+
+    def cost(n):
+        text = "AKIA" + "Q" * 20 + " " + (run * n)[:n]
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            secrets.linked([text], [secrets.base_spans(text)])
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert cost(160_000) < 0.1 + 14 * cost(20_000)
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/\r\nx", "same é"), (1, None, "same é"), (2, "u", None), (4, "u", ""), (5, "u", "z" * 300_000), (None, "u", "same é"), (1, None, "same é")]
     rows += [(10 + i, f"http://h/{i}", f"<p>{prose(i, 80)}</p>") for i in range(60)]
