@@ -49,9 +49,12 @@ RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest st
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages, the same at each run; empty if the sample is too small for one."""
-    rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id").alias("o"), "page_id", F.substring("html", 1, DICTIONARY_CHARS).alias("h")).orderBy("o", "page_id").limit(DICTIONARY_PAGES).collect()
+    some = pages.where("page_id IS NOT NULL AND length(html) > 0")
+    # The ids come first, so that no task sends texts which the sample does not take.
+    ids = [r["page_id"] for r in some.select(F.xxhash64("page_id").alias("o"), "page_id").orderBy("o", "page_id").limit(DICTIONARY_PAGES).collect()]
+    rows = some.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min(F.substring("html", 1, DICTIONARY_CHARS)).alias("h")).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["h"].encode() for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["h"].encode() for r in sorted(rows, key=lambda r: r["page_id"])]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
