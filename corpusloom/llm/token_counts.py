@@ -6,7 +6,9 @@ of the misses alone, one per digest, are encoded, and their counts are appended
 table in the shared folder. Normalisation leaves a text as it is: any change could change its count.
 
 The exact copies of a text, be they a third of all rows, are combined before the shuffle (one text per
-digest and map task). Encoding is in Arrow batches bounded by bytes, never by cutting a text.
+digest and map task). Every document's count is then read from the cache; digests of very many rows (HOT rows at
+least, and a HOT_SHARE of all) have their counts broadcast, the others are joined by shuffle. Encoding is in
+Arrow batches bounded by bytes, never by cutting a text.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row; an empty table gives
 an empty result; other columns are ignored; a null doc_id is kept.
@@ -15,6 +17,7 @@ an empty result; other columns are ignored; a null doc_id is kept.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,31 +26,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch_path
+from corpusloom.llm.common import materialise, scratch_path
 from corpusloom.session import table
 
 PIECES = "piece_bpe_32k.model"
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+#: A digest is hot from so many rows on, and from this share of all rows on (so at most 10,000 are broadcast).
+HOT, HOT_SHARE = 100, 1e-4
 #: Words whose counts a worker remembers; beyond it the memory starts anew.
 WORDS_KEPT = 400_000
 
 
+def splits_at_blanks(model: bytes) -> bool:
+    """Whether the model's settings let a text be counted word by word."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(model)
+    n, t, kinds = m.normalizer_spec, m.trainer_spec, proto.ModelProto.SentencePiece
+    plain = not n.precompiled_charsmap and not n.normalization_rule_tsv and not n.remove_extra_whitespaces and n.escape_whitespaces and n.add_dummy_prefix
+    bpe = t.model_type == proto.TrainerSpec.BPE and not t.treat_whitespace_as_suffix and not t.user_defined_symbols
+    return bool(plain and bpe and all(p.type != kinds.USER_DEFINED and "▁" not in p.piece.lstrip("▁") for p in m.pieces))
+
+
 class PieceCounter:
     """Counts of a SentencePiece BPE model, word by word where that is provably the same.
 
-    Where every piece has its word marks only at its start, and normalisation changes nothing but blanks
-    to marks, no merge spans the start of a marked run, so a text's count is the sum over its runs of
-    blanks followed by a word. Other models, and texts to which it does not apply, are encoded whole.
+    The model's own settings decide: a BPE model without user-defined pieces, whose normaliser has no rules and
+    keeps blanks, turning each to a mark, and puts one in front; and pieces that hold marks only at their start.
+    Then the symbols before merging are those of the text, and no merge spans the start of a run of marks, so a
+    text's count is the sum over its runs of blanks followed by a word. Other models, and texts to which it does
+    not apply, are encoded whole.
     """
 
     def __init__(self, model: str) -> None:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        probe = "A  b ﬁ ½ \t\nc　d é"
-        same = self.sp.decode(self.sp.encode(probe)) == probe
-        self.by_word = same and all("▁" not in p.lstrip("▁") for p in pieces) and not any(p.startswith("▁") and self.sp.is_control(i) for i, p in enumerate(pieces))
+        self.by_word = splits_at_blanks(self.sp.serialized_model_proto())
         self.known: dict[str, int] = {}
 
     def count(self, text: str) -> int:
@@ -130,8 +146,14 @@ def token_counts(docs: DataFrame, name: str = PIECES, cache: str | None = None,
     distinct = named.groupBy("digest").agg(F.first("text").alias("text"))
     count_misses(distinct.join(stored, "digest", "left_anti"), name, version).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
+    rows = materialise(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    many = rows.groupBy("digest").count().where(F.col("count") >= max(HOT, math.ceil(HOT_SHARE * rows.count())))
+    hot = materialise(counts.join(many, "digest").select(F.col("digest").alias("hot"), F.col("n_tokens").alias("hot_tokens")), "hot-counts")
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    # A hot row has a key of its own, which no digest equals, so hot rows are spread and meet nothing.
+    own = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string").cast("binary"))
+    found = rows.withColumn("key", own).join(counts.withColumnRenamed("digest", "key"), "key", "left").withColumn("n_tokens", F.coalesce("hot_tokens", "n_tokens"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
