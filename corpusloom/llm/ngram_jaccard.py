@@ -9,23 +9,24 @@ pair. It is computed in blocks, and only in blocks that can hold a pair above th
    size class), two linked sets agree wholly on some part. A node emits a key for each of its parts,
    a hash of all its n-grams there; keys that are shared make candidate blocks. A passage that many
    documents hold does not fill a part by itself, so frequent n-grams are no hot keys and no statistics
-   of n-grams are needed. Parts that are empty in a set carry no key unless a set has so many of them
+   of n-grams are needed. The least node of a key stands for its block. Parts that are empty in a set carry no key unless a set has so many of them
    that they alone could be the agreement; then a prefix of them does, which keeps the join complete.
 3. Refinement. Nodes joined by keys form blocks. In blocks of more than CHUNK nodes the nodes of each key's
    head are compared by sketches (n-grams counted in bins, which bound the overlap from above), and the
    block is cut to what can be linked.
 4. Product. A block of more than CHUNK nodes is cut into chunks, and
-   each pair of chunks is a task of its own with bounded size. Overlap counts are accumulated over dense
-   column panels of the n-grams that at least two nodes hold; pairs whose sizes rule them out, and pairs
-   below the overlap that their sizes demand, are discarded. Of the links, a spanning forest leaves.
+   each pair of chunks is a task of its own with bounded size. Overlap counts are accumulated over the
+   n-grams that at least two nodes hold, pair by pair where few do and by dense panels where many do; pairs
+   whose sizes rule them out, and pairs below the overlap that their sizes demand, are discarded. Of the
+   links, a spanning forest leaves.
 5. Components over all links.
 
 A block with m nodes costs (m / CHUNK)^2 tasks, and a head with m nodes (m / SKETCHES)^2 of sketches; that
 is the price of exactness for near copies that all differ. Hashes of n-grams have 64 bits.
 
 Cases: null and empty texts have an empty set and link with nothing; a null doc_id gets its size and no
-component and takes no part; rows that repeat a doc_id must repeat its text and count as one document;
-empty tables give an empty result; other columns are ignored.
+component and takes no part; rows that repeat a doc_id count as one document, whose set is that of its text
+with the smallest hash (each row has the size of its own set); empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ from corpusloom.llm.common import broadcast_if_small, components, materialise
 from corpusloom.session import table
 
 #: Nodes of a chunk, columns of a panel, nodes of a task made of small blocks, word hashes that a worker keeps.
-CHUNK, PANEL, UNIT, KEPT = 400, 2048, 2000, 500_000
+CHUNK, PANEL, UNIT, KEPT = 400, 2048, 2000, 250_000
+#: Columns of at most so many rows are added pair by pair.
+SPARSE = 8
 #: Bins of a sketch, and nodes of a chunk of sketches.
-BINS, SKETCHES = 256, 1000
+BINS, SKETCHES = 256, 250
 #: Size classes grow by this factor, or by 1 / threshold if that is more.
 RATIO = 1.4
 _U = np.uint64
@@ -135,58 +138,75 @@ def block_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2): size and digest of every document's set."""
+    """(doc_id, h, n, d1, d2): hash of the text, and size and digest of the set, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(width)
         for batch in batches:
             sets = [s.set(t) for t in batch.column("text").to_pylist()]
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64) for h in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc_id", "h", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long")
 
 
 def postings(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, node) of every document."""
+    """(node, keys) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(width)
         for batch in batches:
-            keys, sizes, size = [], [], 0
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            start = 0
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                keys.append(block_keys(s.set(t), num, den))
+            keys, sizes, size, start = [], [], 0, 0
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            for i, t in enumerate(texts):
+                keys.append(block_keys(s.set(t), num, den).view(np.int64))
                 sizes.append(len(keys[-1]))
                 size += sizes[-1]
-                if size > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[start : i + 1], sizes))], ["key", "node"])
+                if size > 1 << 19 or i + 1 == len(texts):
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(keys)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, i + 1 - start), lists], ["node", "keys"])
                     keys, sizes, size, start = [], [], 0, i + 1
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[start:], sizes))], ["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "node long, keys array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of sets: the incidence matrix times its transpose, panel by panel."""
+    """Overlap counts of all pairs of sets: the sparse incidence matrix times its transpose.
+
+    A column (an n-gram) adds one to each pair of its rows. Columns of few rows are added pair by pair, all columns of
+    one number of rows at a time; those of more rows panel by panel as dense products.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    column, held = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(n), size)
-    many = np.bincount(held, minlength=len(column)) > 1
-    keep = many[held]
-    row, held = row[keep], (np.cumsum(many) - 1)[held[keep]]
+    held = np.concatenate(sets)
     order = np.argsort(held, kind="stable")
     row, held = row[order], held[order]
-    total = np.zeros((n, n), np.float32)  # counts below 2^24 are exact
-    for p in range(0, int(many.sum()), PANEL):
-        a, b = np.searchsorted(held, [p, p + PANEL])
-        panel = np.zeros((n, min(PANEL, int(many.sum()) - p)), np.float32)
-        panel[row[a:b], held[a:b] - p] = 1
-        total += panel @ panel.T
-    return total.astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    many = np.diff(np.concatenate([start, [len(held)]]))
+    total = np.zeros(n * n, np.int64)
+    for k in range(2, min(SPARSE, n) + 1):
+        at = start[many == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                # Rows of a column ascend, so this fills the upper half.
+                np.add.at(total, row[at + i] * n + row[at + j], 1)
+    total = total.reshape(n, n)
+    total += total.T
+    total[np.diag_indices(n)] = size
+    dense = many > SPARSE
+    if dense.any():
+        which = np.repeat(dense, many)
+        row, column = row[which], np.repeat(np.arange(int(dense.sum())), many[dense])
+        product = np.zeros((n, n), np.float32)  # counts below 2^24 are exact
+        for p in range(0, int(dense.sum()), PANEL):
+            a, b = np.searchsorted(column, [p, p + PANEL])
+            panel = np.zeros((n, min(PANEL, int(dense.sum()) - p)), np.float32)
+            panel[row[a:b], column[a:b] - p] = 1
+            product += panel @ panel.T
+        product[np.diag_indices(n)] = 0
+        total += product.astype(np.int64)
+    return total
 
 
 def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -313,15 +333,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """(doc_id, n_shingles, component_id) of every document; linked from num / den on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialise(profiles(docs, width), "profiles")
-    real = profile.where("n > 0 AND doc_id IS NOT NULL")
+    named = profile.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h", "n", "d1", "d2")).alias("r"), F.max("h").alias("last"))
+    other = materialise(named.where("r.h <> last").select("doc_id", "r.h"), "ids-of-several-texts")
+    if other.limit(1).count():
+        texts = docs.withColumn("h", F.xxhash64("text")).join(broadcast_if_small(other.withColumnRenamed("h", "own")), "doc_id", "left")
+        docs = texts.where("own IS NULL OR h = own").select("doc_id", "text")
+    real = named.where("r.n > 0").select("doc_id", "r.n", "r.d1", "r.d2")
     copies = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", "node")
     copies = materialise(copies, "copies")
     # (d1, d2) of copies is unique, so the join keeps the rows; what is no smallest copy emits no keys.
     twins = materialise(real.join(broadcast_if_small(copies), ["d1", "d2"]).select("doc_id", "node"), "twins")
     spare = twins.where("doc_id <> node").select("doc_id").distinct()
     single = docs.where("doc_id IS NOT NULL").join(broadcast_if_small(spare), "doc_id", "left_anti")
-    by_key = W.partitionBy("key").orderBy("node")
-    shared = postings(single, width, num, den).withColumn("head", F.first("node").over(by_key)).where("head <> node")
+    held = materialise(postings(single, width, num, den), "postings").select("node", F.explode("keys").alias("key"))
+    # The least node of each key that has several: partly aggregated, so a key of very many nodes gathers nowhere.
+    heads = materialise(held.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "keys")
+    shared = held.join(broadcast_if_small(heads), "key").where("head <> node")
     pairs = shared = materialise(shared.select("node", "head").distinct(), "heads")
     # A node's heads are tied to the smallest of them instead of each to the node: as connected, with far fewer
     # edges where near copies share many keys. A node has no more heads than keys, so its window is small.
