@@ -68,21 +68,25 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node in edges (a, b) of longs; component: the smallest node reachable.
 
-    Min-label propagation with pointer jumping. Each round takes the minimum over neighbours (a
-    partially aggregated minimum, so that hubs do not gather in a task) and then the label's label.
-    Rounds grow with the logarithm of a component's diameter; each is written to the shared folder.
+    Each round hooks a node to its smallest neighbour or itself (a partially aggregated minimum, so that hubs do not
+    gather in a task), follows the hooks twice, and contracts: edges become those between the nodes arrived at, each once.
+    So what is left shrinks by some factor every round, and rounds grow with the logarithm of a component's diameter.
+    At the end the rounds' hooks are put together. All tables are written to the shared folder.
     """
-    both = edges.where("a != b").select("a", "b")
-    both = materialise(both.union(both.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        pulled = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        # A hub is the label of very many nodes: AQE splits the skewed side of this join.
-        after = pulled.join(jump, "component").select("node", F.least("component", "further").alias("component"), (F.least("component", "further") != F.col("old")).alias("moved"))
-        after = materialise(after, "labels")
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("node", "component")
-        if not moved:
-            return labels
+    left = materialise(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds = []
+    while left.limit(1).count():
+        hooks = left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up"))
+        for _ in range(2):
+            # A hub is the hook of very many nodes: AQE splits the skewed side of this join. Every hook is a node here.
+            hooks = materialise(hooks, "hooks")
+            hooks = hooks.join(hooks.select(F.col("node").alias("up"), F.col("up").alias("further")), "up").select("node", F.col("further").alias("up"))
+        hooks = materialise(hooks, "hooks")
+        rounds.append(hooks)
+        ends = left.join(hooks.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        left = materialise(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    found = left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for hooks in reversed(rounds):
+        after = found.select(F.col("node").alias("up"), "component")
+        found = materialise(hooks.join(after, "up", "left").select("node", F.coalesce("component", "up").alias("component")), "labels")
+    return found

@@ -9,7 +9,7 @@ pair. It is computed in blocks, and only in blocks that can hold a pair above th
    size class), two linked sets agree wholly on some part. A node emits a key for each of its parts,
    a hash of all its n-grams there; keys that are shared make candidate blocks. A passage that many
    documents hold does not fill a part by itself, so frequent n-grams are no hot keys and no statistics
-   of n-grams are needed. The least node of a key stands for its block. Parts that are empty in a set carry no key unless a set has so many of them
+   of n-grams are needed. The least node of a key, found in each task before the shuffle, stands for it. Parts that are empty in a set carry no key unless a set has so many of them
    that they alone could be the agreement; then a prefix of them does, which keeps the join complete.
 3. Refinement. Nodes joined by keys form blocks. In blocks of more than CHUNK nodes the nodes of each key's
    head are compared by sketches (n-grams counted in bins, which bound the overlap from above), and the
@@ -47,6 +47,8 @@ from corpusloom.session import table
 
 #: Nodes of a chunk, columns of a panel, nodes of a task made of small blocks, word hashes that a worker keeps.
 CHUNK, PANEL, UNIT, KEPT = 400, 2048, 2000, 250_000
+#: Keys that a worker combines at once.
+PART = 1 << 20
 #: Columns of at most so many rows are added pair by pair.
 SPARSE = 8
 #: Bins of a sketch, and nodes of a chunk of sketches.
@@ -150,24 +152,47 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long")
 
 
+def combined(keys: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) rows of some documents, with each key once: for its least node. That its other nodes share a key with
+    the least one is told by a key of the two alone, so a key of very many nodes has one row a part of the documents."""
+    order = np.argsort(nodes, kind="stable")
+    node = np.repeat(nodes[order], [len(keys[i]) for i in order])
+    key = np.concatenate([keys[i] for i in order])
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    head = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
+    tied = np.unique(np.stack([node, head], 1)[node != head], axis=0)
+    own = _mix(_mix(tied[:, 0].astype(_U)) + tied[:, 1].astype(_U))
+    return np.concatenate([key[first], own, own]).view(np.int64), np.concatenate([node[first], tied[:, 0], tied[:, 1]])
+
+
 def postings(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, keys) of every document."""
+    """(key, node) rows of all documents, combined where they are read: nodes that share a key share it with one node in
+    the same part, and those nodes of two parts share it with each other."""
+    part = PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(width)
+        keys, nodes, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, node = combined(keys, np.array(nodes, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+
         for batch in batches:
-            keys, sizes, size, start = [], [], 0, 0
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, t in enumerate(texts):
-                keys.append(block_keys(s.set(t), num, den).view(np.int64))
-                sizes.append(len(keys[-1]))
-                size += sizes[-1]
-                if size > 1 << 19 or i + 1 == len(texts):
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(keys)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, i + 1 - start), lists], ["node", "keys"])
-                    keys, sizes, size, start = [], [], 0, i + 1
+            for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if len(k := block_keys(s.set(text), num, den)):
+                    keys.append(k)
+                    nodes.append(node)
+                    held += len(k)
+                if held >= part:
+                    yield flush()
+                    keys, nodes, held = [], [], 0
+        if keys:
+            yield flush()
 
-    return docs.mapInArrow(run, "node long, keys array<long>")
+    return docs.mapInArrow(run, "key long, node long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -236,20 +261,27 @@ def near_sketches(sketches: np.ndarray, size: np.ndarray, num: int, den: int) ->
     return (fits | clipped[:, None] | clipped[None, :]) & (den * small >= num * large)
 
 
-def forest(nodes: np.ndarray, on: np.ndarray, chunk: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links; between two chunks only the links across them."""
-    if len(set(chunk.tolist())) > 1:
-        on &= chunk[:, None] != chunk[None, :]
+def spread(on: np.ndarray) -> np.ndarray:
+    """The first node that each node reaches by links."""
     np.fill_diagonal(on, True)
-    label = np.arange(len(nodes))
+    label = np.arange(len(on))
     while True:
-        new = np.where(on, label[None, :], len(nodes)).min(1)
+        new = np.where(on, label[None, :], len(on)).min(1)
         new = np.minimum(new, new[new])
         if (new == label).all():
-            return [(int(nodes[i]), int(nodes[k])) for i, k in enumerate(label) if i != k]
+            return label
         label = new
 
 
+def forest(nodes: np.ndarray, on: np.ndarray, chunk: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span what the links connect. Of two chunks, each has a task of its own that spans it, so only the first
+    node of each set that is connected within its chunk is tied to the others: few edges, however many nodes are linked."""
+    label = spread(on)
+    same = chunk[:, None] == chunk[None, :]
+    tied = np.arange(len(nodes)) if same.all() else np.flatnonzero(spread(on & same) == np.arange(len(nodes)))
+    return [(int(nodes[i]), int(nodes[label[i]])) for i in tied if label[i] != i]
+
+
 def verified_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that span the components within candidate blocks (node, component)."""
     n_nodes = blocks.count()
@@ -299,8 +331,9 @@ def verified_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den
 def refined(docs: DataFrame, pairs: DataFrame, large: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that join nodes of large blocks (node, component) whose sketches allow a link.
 
-    Nodes that share a key share its head, so every link lies within the group of some head: its nodes
-    are compared by sketches, chunk against chunk. A passage that ties very many documents into one block
+    Nodes that share a key share its head, or their heads share one (pairs holds what each part of the documents
+    combined), so every link lies within the group of a head or of a head's head: its nodes are compared by sketches,
+    chunk against chunk. A passage that ties very many documents into one block
     by a few keys falls apart here at some hundred bytes a node and head.
     """
     n_large = large.count()
@@ -314,7 +347,15 @@ def refined(docs: DataFrame, pairs: DataFrame, large: DataFrame, width: int, num
     texts = docs.join(broadcast_if_small(large.select(F.col("node").alias("doc_id")), n_large), "doc_id").select("doc_id", "text")
     sketches = materialise(texts.mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"]), "sketches")
     own = pairs.join(broadcast_if_small(large.select("node"), n_large), "node", "left_semi")
-    own = materialise(own.union(own.select("head", "head")).distinct(), "head-groups")
+    own = materialise(own, "large-heads")
+    further = own.join(own.select(F.col("node").alias("head"), F.col("head").alias("further")), "head").select("node", F.col("further").alias("head"))
+    own = own.union(own.select("head", "head")).union(further).distinct().join(broadcast_if_small(large, n_large), "node")
+    own = materialise(own, "head-groups")
+    # Where the heads of a block share so many nodes that all its pairs are fewer than those of its heads, it is one group.
+    pairs_of = own.groupBy("component", "head").agg(F.count("*").alias("m")).groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("by_heads"))
+    whole = large.groupBy("component").agg(F.count("*").alias("m")).join(pairs_of, "component").where("m * m <= by_heads").select(F.col("component").alias("whole"))
+    own = own.join(broadcast_if_small(materialise(whole, "whole-blocks")), F.col("component") == F.col("whole"), "left")
+    own = materialise(own.select("node", F.coalesce("whole", "head").alias("head")).distinct(), "groups")
     count = materialise(own.groupBy("head").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("chunks")), "head-sizes")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")
     cut = own.join(broadcast_if_small(count), "head").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -345,10 +386,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     twins = materialise(real.join(broadcast_if_small(copies), ["d1", "d2"]).select("doc_id", "node"), "twins")
     spare = twins.where("doc_id <> node").select("doc_id").distinct()
     single = docs.where("doc_id IS NOT NULL").join(broadcast_if_small(spare), "doc_id", "left_anti")
-    held = materialise(postings(single, width, num, den), "postings").select("node", F.explode("keys").alias("key"))
-    # The least node of each key that has several: partly aggregated, so a key of very many nodes gathers nowhere.
-    heads = materialise(held.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "keys")
-    shared = held.join(broadcast_if_small(heads), "key").where("head <> node")
+    by_key = W.partitionBy("key").orderBy("node")
+    shared = postings(single, width, num, den).withColumn("head", F.first("node").over(by_key)).where("head <> node")
     pairs = shared = materialise(shared.select("node", "head").distinct(), "heads")
     # A node's heads are tied to the smallest of them instead of each to the node: as connected, with far fewer
     # edges where near copies share many keys. A node has no more heads than keys, so its window is small.

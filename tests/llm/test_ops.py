@@ -46,6 +46,22 @@ def test_components_of_chains(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    for seed, n, m in ((1, 400, 300), (2, 300, 900), (3, 50, 0), (4, 600, 590)):
+        r = random.Random(seed)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] if seed < 4 else [(k, k - r.randint(1, 2)) for k in range(2, n)] + [(5, k) for k in range(n, n + 200)]
+        label = {x: x for e in edges if e[0] != e[1] for x in e}
+        while True:
+            before = dict(label)
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                break
+        got = {x.node: x.component for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == label
+
+
 def test_mixing_meets_targets(docs, empty):
     got = mixing.curriculum(docs).collect()
     assert len(got) == docs.count()
@@ -199,6 +215,33 @@ def test_jaccard_chunks_keep_links(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_jaccard_parts_and_chunks_against_all_pairs(spark, monkeypatch):
+    """Documents in many small parts, blocks over the chunk size, links that only some pairs have."""
+    r = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = prose(50 + g, 60).split()
+        for k in range(45):
+            words = list(base)
+            for _ in range(r.randint(0, 5)):
+                words[r.randrange(60)] = f"n{r.randint(0, 400)}"
+            rows.append((r.randint(0, 10**9), " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in sets:
+        before = dict(label)
+        for a, b in itertools.combinations(label, 2):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    for name, value in (("CHUNK", 10), ("SKETCHES", 12), ("PART", 150)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
 def test_overlaps_by_intersection():
     r = np.random.default_rng(7)
     for n, pool in ((1, 50), (2, 30), (5, 40), (40, 60), (40, 4000), (90, 300)):
