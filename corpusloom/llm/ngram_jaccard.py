@@ -52,7 +52,7 @@ PART = 1 << 20
 #: Columns of at most so many rows are added pair by pair.
 SPARSE = 8
 #: Bins of a sketch, and nodes of a chunk of sketches.
-BINS, SKETCHES = 256, 250
+BINS, SKETCHES = 256, 1000
 #: Size classes grow by this factor, or by 1 / threshold if that is more.
 RATIO = 1.4
 _U = np.uint64
@@ -347,10 +347,10 @@ def refined(docs: DataFrame, pairs: DataFrame, large: DataFrame, width: int, num
     texts = docs.join(broadcast_if_small(large.select(F.col("node").alias("doc_id")), n_large), "doc_id").select("doc_id", "text")
     sketches = materialise(texts.mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"]), "sketches")
     own = pairs.join(broadcast_if_small(large.select("node"), n_large), "node", "left_semi")
-    own = materialise(own, "large-heads")
-    further = own.join(own.select(F.col("node").alias("head"), F.col("head").alias("further")), "head").select("node", F.col("further").alias("head"))
-    own = own.union(own.select("head", "head")).union(further).distinct().join(broadcast_if_small(large, n_large), "node")
+    own = own.union(own.select("head", "head")).distinct().join(broadcast_if_small(large, n_large), "node")
     own = materialise(own, "head-groups")
+    further = own.join(own.select(F.col("node").alias("head"), F.col("head").alias("further")), "head").select("node", F.col("further").alias("head"), "component")
+    own = materialise(own.select("node", "head", "component").union(further).distinct(), "head-groups")
     # Where the heads of a block share so many nodes that all its pairs are fewer than those of its heads, it is one group.
     pairs_of = own.groupBy("component", "head").agg(F.count("*").alias("m")).groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("by_heads"))
     whole = large.groupBy("component").agg(F.count("*").alias("m")).join(pairs_of, "component").where("m * m <= by_heads").select(F.col("component").alias("whole"))
