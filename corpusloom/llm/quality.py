@@ -217,14 +217,15 @@ def fit(texts: list[str], good: np.ndarray) -> LineField:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, column: str, keep: object, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """At most `rows` labelled documents in hashed order of doc_id, of at most `chars` characters, with their labels."""
+    """At most `rows` labelled documents in hashed order of doc_id, of at most `chars` characters, with their labels. An id
+    of several texts gives its least one."""
     known = labels.where(keep).where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("_label"))
     light = docs.where(F.length("text") <= chars).select("doc_id")
     ids = known.join(light, "doc_id", "left_semi").select("doc_id", "_label", F.xxhash64("doc_id").alias("_o")).orderBy("_o", "doc_id").limit(rows)
-    # At most `rows` rows, so the broadcast is bounded.
-    got = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_label").collect()
-    got = sorted({r["doc_id"]: (r["text"], r["_label"]) for r in got}.items())
-    return [t for _, (t, _) in got], np.array([y for _, (_, y) in got], np.int64)
+    # At most `rows` rows, so the broadcast and what the driver gets are bounded, however often an id is repeated.
+    own = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
+    got = sorted((r["doc_id"], r["text"], r["_label"]) for r in own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label")).collect())
+    return [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
 
 
 def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[slice]:
