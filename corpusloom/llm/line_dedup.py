@@ -1,7 +1,7 @@
 """Cross-site boilerplate lines by distinct-site spread, in DataFrame functions only.
 
-A line (without surrounding blanks, of at least `min_chars` characters) is boilerplate if it stands on at
-least `min_sites` distinct sites. Sites are counted by HyperLogLog sketches per line hash, merged in the
+A line (without surrounding ASCII white space, of at least `min_chars` characters: by default every line that
+is not blank) is boilerplate if it stands on at least `min_sites` distinct sites. Sites are counted by HyperLogLog sketches per line hash, merged in the
 map tasks and after the shuffle, so a line that a third of all documents hold costs a sketch per task.
 Sketches are within `band` of the truth; lines whose estimate is that near to the threshold get exact
 distinct counts (a two-step distinct aggregation). The first occurrence of a boilerplate line, by doc_id
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import broadcast_if_small, materialise
 from corpusloom.session import table
 
-MIN_SITES, MIN_CHARS = 10, 16
+MIN_SITES, MIN_CHARS = 10, 1
+_SPACE = " \t\r\x0b\x0c"
 #: log2 of the sketch's registers (standard error 1.6 %) and the share of the threshold that counts as near.
 LG_K, BAND = 12, 0.1
 
@@ -36,7 +37,8 @@ def _key(line: Column) -> list[Column]:
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.coalesce(F.col(site), F.lit("\0")).alias("_site"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-    return rows.select("_id", "_th", "_site", "_pos", *_key(F.trim("_line")), F.length(F.trim("_line")).alias("_n"))
+    bare = F.trim("_line", F.lit(_SPACE))
+    return rows.select("_id", "_th", "_site", "_pos", *_key(bare), F.length(bare).alias("_n"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, min_chars: int) -> DataFrame:
@@ -85,8 +87,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_sql(documents: str = "documents", n: int = MIN_SITES, chars: int = MIN_CHARS) -> str:
     return f"""
-WITH l AS (SELECT doc_id, coalesce(source, chr(0)) AS site, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}),
-b AS (SELECT trim(line) AS line, min(struct_pack(id := doc_id, pos := pos)) AS first FROM l WHERE length(trim(line)) >= {chars} GROUP BY 1 HAVING count(DISTINCT site) >= {n}),
-m AS (SELECT l.*, b.line IS NOT NULL AND struct_pack(id := doc_id, pos := pos) <> b.first AS gone FROM l LEFT JOIN b ON trim(l.line) = b.line),
+WITH s AS (SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}),
+l AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM s),
+b AS (SELECT bare, min(struct_pack(id := doc_id, pos := pos)) AS first FROM l WHERE length(bare) >= {chars} GROUP BY 1 HAVING count(DISTINCT site) >= {n}),
+m AS (SELECT l.*, b.bare IS NOT NULL AND struct_pack(id := doc_id, pos := pos) <> b.first AS gone FROM l LEFT JOIN b ON l.bare = b.bare),
 k AS (SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(text)::BIGINT AS n_kept_chars, md5(text) AS kept_md5 FROM k"""

@@ -89,18 +89,19 @@ def test_word_count(spark, n):
 
 def test_line_dedup_by_brute_force(spark, docs, empty):
     r = random.Random(3)
-    lines = [prose(i, 6) for i in range(12)] + ["short", "", "  padded out line of text  "]
+    lines = [prose(i, 6) for i in range(12)] + ["short", "", "\r", "  padded out line of text  ", "\tpadded out line of text\r"]
+    bare = lambda x: x.strip(" \t\r\x0b\x0c")
     rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 8))), "en", f"s{r.randint(0, 5)}", 1) for i in range(60)]
     df = spark.createDataFrame(rows, DOC)
     got = {x.doc_id: x for x in line_dedup.remove_boilerplate(df, min_sites=4).collect()}
     sites, first = {}, {}
     for i, text, _, s, _ in rows:
         for k, line in enumerate(text.split("\n")):
-            if len(line.strip(" ")) >= 16:
-                sites.setdefault(line.strip(" "), set()).add(s)
-                first.setdefault(line.strip(" "), (i, k))
+            if bare(line):
+                sites.setdefault(bare(line), set()).add(s)
+                first.setdefault(bare(line), (i, k))
     for i, text, *_ in rows:
-        keep = [x for k, x in enumerate(text.split("\n")) if len(sites.get(x.strip(" "), ())) < 4 or first[x.strip(" ")] == (i, k)]
+        keep = [x for k, x in enumerate(text.split("\n")) if len(sites.get(bare(x), ())) < 4 or first[bare(x)] == (i, k)]
         assert got[i].text == "\n".join(keep) and got[i].n_removed == len(text.split("\n")) - len(keep)
     out = line_dedup.remove_boilerplate(docs)
     assert out.count() == docs.count() and set(out.columns) == set(docs.columns) | {"n_removed"}
@@ -555,6 +556,109 @@ def test_forward_backward_by_enumeration():
         assert np.allclose(got[s : s + k], want)
 
 
+def _plain_quality(model, text):
+    """The score read line by line from the docstring: features by loops, marginals over all paths."""
+
+    def kind(c):
+        for k, chars in ((quality._NOISE, "#$%&*+<=>@[\\]^_`{}~/"), (quality._BAR, "|"), (quality._SHOUT, "!?"), (quality._COMMA, ".,;:'\"()-–—«»¿¡…")):
+            if c in chars:
+                return k
+        for k, test in ((quality._UPPER, str.isupper), (quality._LOWER, str.islower), (quality._LETTER, str.isalpha), (quality._DIGIT, str.isdigit), (quality._SPACE, str.isspace)):
+            if ord(c) >= 0x3000 or test(c):
+                return quality._LETTER if ord(c) >= 0x3000 else k
+        return 9
+
+    lines, own, seen = text.split("\n"), [], set()
+    for line in lines:
+        solid = [kind(c) for c in line if kind(c) != quality._SPACE]
+        words = "".join(" " if kind(c) == quality._SPACE else c for c in line).split(" ")
+        words = [w for w in words if w]
+        n = max(len(words), 1)
+        share = [solid.count(k) / max(len(solid), 1) for k in (quality._UPPER, quality._DIGIT, quality._NOISE, quality._BAR, quality._SHOUT, quality._COMMA, 9)]
+        near = [sum(words[i] == words[i - k] for i in range(k, len(words))) / n for k in (1, 2)]
+        again = len(words) > 2 and tuple(sorted(words)) in seen
+        seen.add(tuple(sorted(words)))
+        raw = [*share, *near, sum(len(w) > 16 for w in words) / n, sum(len(w) < 3 for w in words) / n, again, not (words and kind(words[0][0]) == quality._UPPER), line[-1:] not in tuple(".!?:;\"')")]
+        own.append([np.float32(v) > cut for v in raw for cut in quality.CUTS] + [len(words) > cut for cut in quality.LENGTH_CUTS])
+    none = [False] * len(own[0])
+    x = np.array([a + b + c + [True] for a, b, c in zip(own, [none, *own[:-1]], [*own[1:], none], strict=True)], float)
+    e = np.clip(x @ model.weights, -30, 30)
+    paths = list(itertools.product((0, 1), repeat=len(lines)))
+    w = np.array([np.exp(sum(e[i] * p[i] for i in range(len(p))) + sum(model.step[p[i], p[i + 1]] for i in range(len(p) - 1))) for p in paths])
+    good = 1 - (w[:, None] * np.array(paths)).sum(0) / w.sum()
+    size = np.array([max(len(line), 1) for line in lines])
+    q = np.clip((good * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.a * np.log(q / (1 - q)) + model.b)))
+
+
+def test_quality_score_by_a_plain_reading():
+    r = np.random.default_rng(5)
+    model = quality.LineField(r.standard_normal(quality.N_FEATURES) * 0.4, r.standard_normal((2, 2)), 1.3, -0.2)
+    pick = random.Random(5)
+    parts = ["The", "cat", "sat", "sat", "||", "$$", "12", "Ünder", "漢字", "no!", "(x)", "\t", "a", "internationalisations", "end.", "\u00a0"]
+    texts = ["", "\n\n", "one", "same old line here\nsame old line here\nline same here old", " lead\nTail "]
+    texts += ["\n".join(" ".join(pick.choice(parts) for _ in range(pick.randint(0, 9))) for _ in range(pick.randint(1, 6))) for _ in range(60)]
+    got = model.score(texts)
+    assert np.allclose(got, [_plain_quality(model, t) for t in texts], atol=1e-6)
+    assert np.allclose(got, [model.score([t])[0] for t in texts])
+
+
+def _plain_toxicity(net, text):
+    """The highest logit over the windows, a word at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(w):
+        buckets = []
+        for n in toxicity.GRAMS:
+            for i in range(len(w) + 3 - n):
+                h = n
+                for c in f"^{w}$"[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                buckets.append(h % toxicity.BUCKETS)
+        chars = p["char"][buckets].sum(0) / np.sqrt(max(1, len(buckets)))
+        return np.concatenate([p["word"][net.words.get(w, 0)], chars])
+
+    def states(xs, way):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            gx, hu = x @ p["w" + way] + p["b" + way], h @ p["u" + way]
+            z, r = sigmoid(gx[:n] + hu[:n]), sigmoid(gx[n : 2 * n] + hu[n : 2 * n])
+            h = (1 - z) * np.tanh(gx[2 * n :] + r * hu[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    words, best, start = toxicity.WORD.findall(text.lower()), -np.inf, 0
+    while True:
+        xs = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = np.array([np.tanh(s @ p["wa"] + p["ba"]) @ p["va"] for s in both])
+        w = np.exp(e - e.max(initial=0)) if both else e
+        pool = sum((a * s for a, s in zip(w / w.sum(), both, strict=True)), np.zeros(2 * toxicity.HIDDEN)) if both else np.zeros(2 * toxicity.HIDDEN)
+        best = max(best, pool @ p["wo"] + p["bo"][0])
+        if start + toxicity.WINDOW >= len(words):
+            return best
+        start += toxicity.STRIDE
+
+
+def test_toxicity_score_by_a_plain_reading():
+    net = toxicity.Network(["red", "blue7", "the"], 11)
+    net.p = {k: v * 3 if k in ("word", "char") else v * 1.5 for k, v in net.p.items()}
+    net.a, net.b = 1.7, -0.4
+    texts = ["", " ... ", "Red", "the BLUE7 Éa 漢", prose(31, 47), prose(32, 48), prose(33, 49), prose(34, 80), prose(35, 81), prose(36, 200)]
+    want = [_plain_toxicity(net, t) for t in texts]
+    assert np.ptp(want) > 0.05 and np.allclose(net.logits(texts), want, atol=1e-4)
+    assert np.allclose(net.score(texts), 1 / (1 + np.exp(-(1.7 * np.array(want) - 0.4))), atol=1e-4)
+
+
+def test_training_sample_of_repeated_ids(spark):
+    rows = [(1, "b", "en", "s", 1), (1, "a", "en", "s", 1), (2, "c", "en", "s", 1), (3, None, "en", "s", 1), (None, "d", "en", "s", 1)] + [(1, "b", "en", "s", 1)] * 50
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    texts, y = quality.training_sample(spark.createDataFrame(rows, DOC), labels, "quality", F.lit(True), 10, 100)
+    assert (texts, y.tolist()) == (["a", "c"], [1, 0])
+
+
 def test_toxicity_held_out(spark, docs, empty):
     df, labels = _labelled(spark)
     model = toxicity.toxicity_model(df, labels, toxicity.remainder(5) != 0)
