@@ -716,3 +716,73 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             got = stage(spark, frame, folder)
             assert got.count() <= frame.count(), name
             assert name == corpus.STAGES[-1][0] or got.columns == list(stages.COLUMNS)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    df, labels = _labelled(spark)
+    passage = prose(177, 40)
+    changed = passage.replace(passage.split()[20], "other", 1)
+    rows = [[r.doc_id, r.text + ("\n Subscribe now" if r.doc_id % 3 == 1 else ""), "en", None if r.doc_id % 13 == 12 else f"s{r.doc_id % 13}", 1] for r in df.collect()]
+    clean = [r for r in rows if r[0] % 4 and r[0] % 3 != 1]
+    rows += [[1000 + k, r[1], "en", f"s{k % 13}", 1] for k, r in enumerate(clean[:20])]
+    rows += [[1100 + k, r[1].rsplit(" ", 1)[0] + " other.", "en", f"s{k % 13}", 1] for k, r in enumerate(clean[10:30])]
+    rows += [[1200 + k, f"{clean[40 + k][1]}\n{x.capitalize()}.\n{prose(900 + k, 12).capitalize()}.", "en", "s1", 1] for k, x in enumerate((passage, changed, prose(178, 40)))]
+    rows += [[1300, None, None, None, None], [1301, "", "en", "s0", 0], [1302, "Subscribe now", "en", "s5", 13]]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus.run(spark, str(tmp_path)).collect()}
+
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    train = sorted((i, t) for i, t, *_ in rows if i in marks)
+    model = quality.fit([t for _, t in train], np.array([marks[i] for i, _ in train]))
+    kept = [r for r in rows if model.score([r[1] or ""])[0] >= quality.THRESHOLD]
+    sites, first = {}, {}
+    for i, text, _, source, _ in kept:
+        for k, line in enumerate((text or "").split("\n")):
+            if line.strip():
+                sites.setdefault(line.strip(), set()).add(source)
+                first[line.strip()] = min(first.get(line.strip(), (i, k)), (i, k))
+    texts = {}
+    for i, text, _, source, _ in kept:
+        lines = (text or "").split("\n")
+        stay = [x for k, x in enumerate(lines) if len(sites.get(x.strip(), ())) < line_dedup.MIN_SITES or first[x.strip()] == (i, k)]
+        if len(stay) == len(lines) or "\n".join(stay).strip(" "):
+            texts[i] = (text if len(stay) == len(lines) else "\n".join(stay), source)
+    assert any("Subscribe" in (r[1] or "") and "Subscribe" not in (texts[r[0]][0] or "") for r in kept if r[0] in texts)
+    shingles = {}
+    for i, (text, _) in texts.items():
+        w = (text or "").lower().split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in texts}
+    links = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if shingles[a] and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])]
+    for _ in links:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    grams = lambda t: {tuple(t.lower().split()[k : k + 8]) for k in range(len(t.split()) - 7)}
+    left = {i: x for i, x in texts.items() if label[i] == i and not grams(x[0] or "") & grams(passage)}
+    assert len(links) >= 30 and {1200, 1201} <= set(texts) and not {1200, 1201} & set(left) and 1202 in left
+    size = {i: len((t or "").split()) for i, (t, _) in left.items()}
+    per = {s: sum(size[i] for i in left if left[i][1] == s) for s in {s for _, s in left.values()}}
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}
+    full: set = set()
+    while True:
+        level = (1.5 * sum(per.values()) - sum(2 * per[s] for s in full)) / sum(weight[s] for s in per if s not in full)
+        more = {s for s in per if s not in full and level * weight[s] > 2 * per[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 2.0 * per[s] if s in full else level * weight[s] for s in per}
+    assert set(got) == set(left) and full
+    for s in order:
+        before = 0
+        for i in sorted((i for i in left if left[i][1] == s), key=lambda i: hashlib.md5(f"mix|{i}".encode()).hexdigest()):
+            goal = int(target[s] + 1e-9)
+            taken = sum(min(max(goal - k * per[s] - before, 0), size[i]) for k in (0, 1))
+            before += size[i]
+            assert (got[i].size, got[i].source_size, got[i].taken) == (size[i], per[s], taken) and abs(got[i].target - target[s]) < 1e-6
