@@ -80,8 +80,9 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tu
     at which its second pass begins (null if none). The result is range-sorted by position.
     """
     dealt = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("dealt", dealt)
-    n, = sized.agg(F.count("*")).first()
+    # Texts are read once: what follows needs their sizes only, in a table of some tens of bytes a row.
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), dealt.alias("dealt")), "sizes")
+    n = sized.count()
     buckets = 1 << min(16, max(0, math.ceil(math.log2(max(1, n)) / 2)))
     bucket = F.floor(F.conv(F.substring("dealt", 1, 4), 16, 10).cast("long") / F.lit(65536 // buckets)).cast("int")
     sized = sized.withColumn("bucket", bucket)
