@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, resampling, secrets, token_counts, toxicity, warc
+from corpusloom.llm import collocations, decontam, embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, resampling, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_collocations": collocations.op11_collocations,
     "op13_resampling": resampling.op13_resampling,
 }
 
@@ -28,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": ngram_jaccard.JACCARD_SQL,
     "op7_warc": warc.WARC_SQL,
     "op8_embedding_dedup": embedding_dedup.EMBEDDING_SQL,
+    "op11_collocations": collocations.COLLOCATIONS_SQL,
     "op13_resampling": resampling.RESAMPLING_SQL,
 }

@@ -70,6 +70,11 @@ def crc32(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.nd
     return out
 
 
+def _cut(max_n: int) -> np.ndarray | None:
+    """Long texts are cut between words where no feature spans the cut."""
+    return ~_IN_WORD if max_n == 1 else None
+
+
 def features(data: np.ndarray, at: np.ndarray, max_n: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of the features of a piece, in blocks."""
     starts, ends = runs(_IN_WORD[data], at)
@@ -94,7 +99,7 @@ def bucket_counts(texts: DataFrame, max_n: int = MAX_N, buckets: int = BUCKETS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, data, at in pieces(batch.column(0)):
+            for _, data, at in pieces(batch.column(0), _cut(max_n)):
                 for _, bucket in features(data, at, max_n, buckets):
                     total += np.bincount(bucket, minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
@@ -121,7 +126,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, max_n: int = MAX_N) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             words, count, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            for first, data, at in pieces(batch.column("text")):
+            for first, data, at in pieces(batch.column("text"), _cut(max_n)):
                 here = slice(first, first + len(at) - 1)
                 starts, _ = runs(_IN_WORD[data], at) if max_n > 1 else (None, None)
                 for text, bucket in features(data, at, max_n, len(gain)):
