@@ -36,8 +36,8 @@ from corpusloom.llm.textbytes import UPPER_TO_LOWER, pieces, runs
 from corpusloom.session import table
 
 MAX_N, MIN_COUNT, TOP, COVERED, SCALE = 3, 10, 2000, 50, 1_000_000
-#: Suffixes that are added up at once in a map task, and words whose texts it remembers as sent.
-CHUNK, SENT = 1 << 20, 1 << 20
+#: Suffixes that are added up at once in a map task, and rows sent at once; words whose texts a task remembers as sent.
+CHUNK, SENT_AT_ONCE, SENT = 3 << 20, 1 << 16, 1 << 20
 #: Buckets of prefixes, and the share (1 / HOT) of all suffixes from which a bucket is split.
 BUCKETS, HOT = 1 << 16, 512
 #: A language's candidates are first ranked in so many parts.
@@ -163,17 +163,27 @@ def shuffled_suffixes(docs: DataFrame, hot: np.ndarray, max_n: int, seed: int) -
             h = np.where(split, mix(h + words[k].view(np.uint64)), h)
         return h.view(np.int64)
 
-    def add_up(held: list[np.ndarray]) -> pa.RecordBatch:
+    def add_up(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Equal suffixes as one row each, by their first words, so that the shuffle's blocks compress well."""
         words = np.concatenate(held, axis=1)
-        whole = np.zeros(words.shape[1], np.uint64)
+        held.clear()
+        rest = np.zeros(words.shape[1], np.uint64)
+        for row in words[1:]:
+            rest = mix(rest + row.view(np.uint64) * np.uint64(_BASE))
+        order = np.argsort((words[0].view(np.uint64) >> np.uint64(32) << np.uint64(32)) | rest >> np.uint64(32))
+        del rest
+        for k, row in enumerate(words):
+            words[k] = row[order]
+        new = np.ones(words.shape[1], bool)
+        new[1:] = False
         for row in words:
-            whole = mix(whole + row.view(np.uint64) * np.uint64(_BASE))
-        words = words[:, np.argsort(whole)]
-        begins = np.flatnonzero(np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)]))
+            new[1:] |= row[1:] != row[:-1]
+        begins = np.flatnonzero(new)
         n = np.diff(np.append(begins, words.shape[1]))
-        words = np.ascontiguousarray(words[:, begins])
-        blank = pa.nulls(len(n), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(dealt(words)), *map(pa.array, words), pa.array(n), blank, blank], schema=kinds)
+        for a in range(0, len(begins), SENT_AT_ONCE):
+            part = words[:, begins[a : a + SENT_AT_ONCE]]
+            blank = pa.nulls(part.shape[1], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(dealt(part)), *map(pa.array, part), pa.array(n[a : a + SENT_AT_ONCE]), blank, blank], schema=kinds)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(SENT, np.int64)
@@ -191,10 +201,10 @@ def shuffled_suffixes(docs: DataFrame, hot: np.ndarray, max_n: int, seed: int) -
                 held.append(words)
                 count += words.shape[1]
                 if count >= CHUNK:
-                    yield add_up(held)
-                    held, count = [], 0
+                    yield from add_up(held)
+                    count = 0
         if held:
-            yield add_up(held)
+            yield from add_up(held)
 
     return docs.mapInArrow(emit, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in kinds))
 
