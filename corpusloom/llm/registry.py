@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import collocations, decontam, embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, resampling, secrets, token_counts, toxicity, warc
+from corpusloom.llm import collocations, decontam, embedding_dedup, line_dedup, mixing, ngram_jaccard, quality, repeats, resampling, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_collocations": collocations.op11_collocations,
+    "op12_repeats": repeats.op12_repeats,
     "op13_resampling": resampling.op13_resampling,
 }
 
