@@ -9,11 +9,13 @@ import operator
 import re
 from collections import Counter
 from collections.abc import Callable
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions import symbolic
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bound
 from corpusloom.operators.aggregates import gram_hashes, hashed_words
@@ -89,11 +91,11 @@ def vectorised(f: Callable[[str | None, str | None], float]) -> Callable[[Column
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
-def arithmetic(expression: str) -> float:
-    """Value of numbers with + - * / and brackets; ValueError for anything else."""
-    def value(node: ast.AST) -> float:
+def arithmetic(expression: str) -> Fraction:
+    """Exact value of numbers with + - * / and brackets; ValueError for anything else."""
+    def value(node: ast.AST) -> Fraction:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return node.value
+            return Fraction(repr(node.value)) if math.isfinite(node.value) else value(ast.Name())
         if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
             return _OPS[type(node.op)](value(node.left), value(node.right))
         if isinstance(node, ast.UnaryOp) and type(node.op) in _OPS:
@@ -102,7 +104,7 @@ def arithmetic(expression: str) -> float:
 
     try:
         return value(ast.parse(expression.strip(), mode="eval").body)
-    except (SyntaxError, ZeroDivisionError, RecursionError, MemoryError) as e:
+    except (SyntaxError, ZeroDivisionError, RecursionError, MemoryError, OverflowError) as e:
         raise ValueError(expression) from e
 
 
@@ -116,8 +118,8 @@ def countdown(completion: str | None, task: str | None) -> float:
         given = json.loads(task or "")
         if sorted(map(int, re.findall(r"\d+", equation))) != sorted(given["nums"]):
             return 0.0
-        return float(abs(arithmetic(equation) - given["target"]) < 1e-5)
-    except (ValueError, TypeError, KeyError):
+        return float(abs(arithmetic(equation) - Fraction(given["target"])) < Fraction(1, 100_000))
+    except (ValueError, TypeError, KeyError, OverflowError, RecursionError):
         return 0.0
 
 
@@ -130,14 +132,9 @@ def _plain(x: str) -> str:
 
 
 def math_equal(a: str, b: str) -> bool:
-    """Equal as plain strings or as numbers; symbolic equality is out of reach without a solver."""
-    a, b = _plain(a), _plain(b)
-    if a == b:
-        return a != ""
-    try:
-        return abs(arithmetic(a) - arithmetic(b)) <= 1e-9 * max(1.0, abs(arithmetic(b)))
-    except ValueError:
-        return False
+    """Equal as plain strings (without percent signs and other dress) or as expressions (functions/symbolic.py)."""
+    x, y = _plain(a), _plain(b)
+    return x == y != "" or symbolic.equal(a, b)
 
 
 def last_boxed(text: str) -> str | None:
@@ -168,41 +165,42 @@ def math_accuracy(completion: str | None, solution: str | None) -> float:
     return float(bool(numbers) and last_boxed(completion or "") is None and math_equal(numbers[-1], s))
 
 
+def _tool_calls(text: str | None) -> list[tuple[str, dict]]:
+    """(name, parameters) of the lines in <tool_call> blocks that are JSON objects with a name."""
+    out = []
+    for block in re.findall(r"<tool_call>(.*?)</tool_call>", text or "", re.S):
+        for line in block.strip().splitlines():
+            try:
+                got = json.loads(line)
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(got, dict) and "name" in got:
+                given = got.get("parameters", got.get("arguments"))
+                out.append((str(got["name"]), given if isinstance(given, dict) else {} if given is None else {"": given}))
+    return out
+
+
 def tool_match(completion: str | None, solution: str | None) -> float:
     """Overlap of tool calls in [0, 1]: names as multisets, then each wanted call with its best unused match by
-    parameter names and values."""
-    def calls(t: str | None) -> list[dict]:
-        out = []
-        for block in re.findall(r"<tool_call>(.*?)</tool_call>", t or "", re.S):
-            for line in block.strip().splitlines():
-                try:
-                    got = json.loads(line)
-                except ValueError:
-                    continue
-                if isinstance(got, dict) and "name" in got:
-                    out.append(got)
-        return out
-
-    have, want = calls(completion), calls(solution)
+    parameter names and values. Parameters that are no object (a list, a text) count as one value without a name."""
+    have, want = _tool_calls(completion), _tool_calls(solution)
     if not want or not have:
         return float(have == want)
-    names = [Counter(str(c["name"]) for c in x) for x in (have, want)]
+    names = [Counter(name for name, _ in x) for x in (have, want)]
     score, most = sum((names[0] & names[1]).values()) / sum((names[0] | names[1]).values()), 1.0
     free = list(have)
-    for w in want:
-        wp = w.get("parameters", w.get("arguments")) or {}
-        most += 1 + len(wp)
+    for name, wanted in want:
+        most += 1 + len(wanted)
 
-        def gain(h: dict, wp: dict = wp) -> float:
-            hp = h.get("parameters", h.get("arguments")) or {}
-            keys = len(set(hp) | set(wp))
-            return (len(set(hp) & set(wp)) / keys if keys else 1.0) + sum(hp.get(k, object()) == v for k, v in wp.items())
+        def gain(call: tuple[str, dict], wanted: dict = wanted) -> float:
+            given = call[1]
+            keys = len(set(given) | set(wanted))
+            return (len(set(given) & set(wanted)) / keys if keys else 1.0) + sum(given.get(k, object()) == v for k, v in wanted.items())
 
-        same = [h for h in free if h["name"] == w["name"]]
+        same = [k for k, call in enumerate(free) if call[0] == name]
         if same:
-            best = max(same, key=gain)
-            score += gain(best)
-            free.remove(best)
+            best = max(same, key=lambda k: gain(free[k]))
+            score += gain(free.pop(best))
     return score / most
 
 

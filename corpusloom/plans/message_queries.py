@@ -372,16 +372,19 @@ def _(s, d):
     return table(s, d, "events").select("event_id", R.vectorised(R.math_accuracy)(c, w).alias("reward"))
 
 
-@query("rwd08_math", """WITH n AS (SELECT event_id, event_id % 5 AS f, user_id % 30 + 1 AS a, event_id % 30 + 1 AS b FROM events)
- SELECT event_id, (CASE f WHEN 0 THEN a * 2 = b * 2 WHEN 1 THEN a * b = b * b WHEN 2 THEN a = b WHEN 3 THEN a = b ELSE a = b + 1 END)::INT::DOUBLE AS reward FROM n""")
+@query("rwd08_math", """WITH n AS (SELECT event_id, event_id % 9 AS f, user_id % 30 + 1 AS a, event_id % 30 + 1 AS b FROM events)
+ SELECT event_id, (CASE f WHEN 0 THEN a * 2 = b * 2 WHEN 1 THEN a * b = b * b WHEN 4 THEN a = b + 1 ELSE a = b END)::INT::DOUBLE AS reward FROM n""")
 def _(s, d):
-    """Boxed answers: fractions against whole numbers, the last box of several, dollars, \\text, and a sum."""
-    f, e, u = F.col("event_id") % 5, F.col("event_id") % 30 + 1, F.col("user_id") % 30 + 1
+    """Boxed answers: fractions against whole numbers, the last box of several, dollars, \\text, a sum, an equation, a square
+    against its expansion, a quotient of polynomials and a root."""
+    f, e, u = F.col("event_id") % 9, F.col("event_id") % 30 + 1, F.col("user_id") % 30 + 1
     a, b = u.cast("string"), e.cast("string")
     frac = lambda x, y: F.concat(F.lit("\\frac{"), x.cast("string"), F.lit("}{"), y.cast("string"), F.lit("}"))
     box = lambda x: F.concat(F.lit("so $\\boxed{"), x, F.lit("}$."))
-    c = F.when(f == 0, box(frac(u * 2, F.lit(2)))).when(f == 1, F.concat(box(F.lit("99999")), box(frac(u * e, e)))).when(f == 2, box(F.concat(F.lit("\\text{"), a, F.lit("}")))).when(f == 3, box(F.concat(a, F.lit("\\%")))).otherwise(box(a))
-    w = F.when(f == 4, F.concat(b, F.lit(" + 1"))).otherwise(F.concat(F.lit("$"), b, F.lit("$")))
+    c = F.when(f == 0, box(frac(u * 2, F.lit(2)))).when(f == 1, F.concat(box(F.lit("99999")), box(frac(u * e, e)))).when(f == 2, box(F.concat(F.lit("\\text{"), a, F.lit("}")))).when(f == 3, box(F.concat(a, F.lit("\\%")))).when(f == 4, box(a))
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    c = c.when(f == 5, box(joined("x = ", a))).when(f == 6, box(joined("(x+", a, ")^2"))).when(f == 7, box(joined("\\frac{y^2-", (u * u).cast("string"), "}{y+", a, "}"))).otherwise(box(joined("\\sqrt{", (u * u).cast("string"), "}")))
+    w = F.when(f == 4, F.concat(b, F.lit(" + 1"))).when(f == 6, joined("x^2 + ", (e * 2).cast("string"), "x + ", (e * e).cast("string"))).when(f == 7, joined("y - ", b)).otherwise(F.concat(F.lit("$"), b, F.lit("$")))
     return table(s, d, "events").select("event_id", R.vectorised(R.math_accuracy)(c, w).alias("reward"))
 
 
