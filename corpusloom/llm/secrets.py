@@ -41,7 +41,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of [0-9a-f]+ with 24+ cha
 ASSIGN_LEAST = 6
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client[_-]?id|key[_-]?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?<![A-Za-z0-9.-])(?:[a-z][a-z0-9+.-]{1,12}://[A-Za-z0-9.-]+(?::\d{1,5})?|[a-z0-9](?:[a-z0-9-]{0,62}\.[a-z0-9]){1,4}[a-z0-9-]{0,62}:\d{2,5})")
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9.-])(?:[a-z][a-z0-9+.-]{1,12}://[A-Za-z0-9.-]+(?::\d{1,5})?|[a-z0-9][a-z0-9.-]*+:\d{2,5})")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: Code points between parts that may belong together, for callers that want less than the scope.
@@ -99,6 +99,14 @@ def interval_join(left: Parts, right: Parts, reach: int | None = None) -> np.nda
     return (known[at] == scope) & (after | before)
 
 
+def _is_host(found: str) -> bool:
+    """A match with a scheme, or labels of letters, digits and hyphens before a port: two or more, up to 63 characters each."""
+    if "://" in found:
+        return True
+    labels = found.rpartition(":")[0].split(".")
+    return len(labels) > 1 and all(x and x[0] != "-" and len(x) < 64 for x in labels)
+
+
 def weak_spans(text: str, base: list[Span]) -> tuple[list[Span], list[Span], list[Span]]:
     """Candidates (identifiers, secrets, endpoints) of a text; identifiers and secrets only outside strong spans."""
     taken = sorted((a, b) for _, a, b in base)
@@ -112,7 +120,7 @@ def weak_spans(text: str, base: list[Span]) -> tuple[list[Span], list[Span], lis
     if not identifiers and not any(k == "access" for k, _, _ in base):
         return [], [], []  # nothing that a secret or an endpoint could go with
     secrets = [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if free(m) and _mixed(m.group())]
-    return identifiers, secrets, [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    return identifiers, secrets, [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text) if _is_host(m.group())]
 
 
 def linked(texts: list[str], bases: list[list[Span]], reach: int | None = None) -> list[list[Span]]:
