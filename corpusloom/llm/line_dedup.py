@@ -5,14 +5,14 @@ is not blank) is boilerplate if it stands on at least `min_sites` distinct sites
 map tasks and after the shuffle, so a line that a third of all documents hold costs a sketch per task.
 Sketches are within `band` of the truth; lines whose estimate is that near to the threshold get exact
 distinct counts (a two-step distinct aggregation). The first occurrence of a boilerplate line, by doc_id
-and position, stays; all others are removed.
+and position, stays; all others are removed. Among different texts of one doc_id, a hash of the text decides.
 
 Line hashes have 128 bits. The table of boilerplate lines is broadcast if its counted rows are within
 the limit, else joined by shuffle, where AQE splits a hot line. Documents are joined to their flags by id.
 
 Cases: null and empty texts have no lines that count and stay as they are; a null source is a site of its
-own; a null doc_id never is the first occurrence unless no other is there; repeated rows are treated
-alike (the flags go by doc_id and text hash); empty tables give empty results; other columns are
+own; a null doc_id never is the first occurrence unless no other is there; rows that repeat
+doc_id and text are one document and treated alike (the flags go by doc_id and text hash); empty tables give empty results; other columns are
 kept by the operator, except that n_lines and n_removed are its own.
 """
 
@@ -41,10 +41,15 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return rows.select("_id", "_th", "_site", "_pos", *_key(bare), F.length(bare).alias("_n"))
 
 
+def _occurrence() -> Column:
+    """Where a line stands, in the order of occurrences."""
+    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("text"), F.col("_pos").alias("pos"))
+
+
 def boilerplate(lines: DataFrame, min_sites: int, min_chars: int) -> DataFrame:
     """(_h1, _h2, first: the occurrence that stays) of the lines on at least min_sites sites."""
     long = lines.where(F.col("_n") >= min_chars)
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_pos").alias("pos"))).alias("first")
+    first = F.min(_occurrence()).alias("first")
     spread = long.groupBy("_h1", "_h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("sites"), first)
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
     spread = materialise(spread.where(F.col("sites") >= low), "line-spread")
@@ -58,7 +63,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     """docs with boilerplate lines removed from text, and n_lines and n_removed (0 lines for a null text)."""
     lines = _lines(docs, site)
     found = materialise(boilerplate(lines, min_sites, min_chars), "boilerplate")
-    here = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_pos").alias("pos"))
+    here = _occurrence()
     marked = lines.select("_id", "_th", "_pos", F.when(F.col("_n") >= min_chars, F.col("_h1")).alias("_h1"), "_h2")
     marked = marked.join(broadcast_if_small(found), ["_h1", "_h2"], "left").select("_id", "_th", "_pos", (F.col("first").isNotNull() & (F.col("first") != here)).alias("_gone"))
     # One flag a line; of rows that repeat an id and text, the flags are equal, so distinct ones suffice.
