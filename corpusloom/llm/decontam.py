@@ -17,7 +17,7 @@ every document is read whole against every block, so there is no shuffle of docu
 a third of them hold is no hot key. A document's rows depend on it alone.
 
 Cases: null and empty texts and items match nothing; repeated rows each give rows; items that repeat a
-text are each reported; empty tables give empty results; other columns are ignored.
+text are each reported; a null item_id is kept (ids are longs, or texts that hold one); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusloom.llm.common import materialise
 from corpusloom.session import table
 
 WORD = re.compile(r"\w+")
@@ -154,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     """One row per document (a doc_id of any type) and benchmark item that it overlaps: tokens matched, identity, and where."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    tokens = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    tokens = items.agg(F.sum(F.size(F.split("text", r"(?U)\W+")))).first()[0] or 0
     n_blocks = max(1, math.ceil(tokens / block_tokens))
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType
@@ -162,7 +163,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
 
     def one(k: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(Block(sorted((r["item_id"], r["text"]) for r in rows)))
+        rows = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        held = spark.sparkContext.broadcast(Block(rows))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = held.value
@@ -209,7 +211,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
                 kinds = [key, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], _FIELDS)
 
-        return texts.mapInArrow(probe, f"doc_id {kind.simpleString()}, {SCHEMA}")
+        found = texts.mapInArrow(probe, f"doc_id {kind.simpleString()}, {SCHEMA}")
+        if n_blocks == 1:
+            return found
+        found = materialise(found, "overlaps")  # so that one block at a time is broadcast
+        held.destroy()
+        return found
 
     out = one(0)
     for k in range(1, n_blocks):
