@@ -28,10 +28,25 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of five-word shingles linked from 0.8 on, the smallest doc_id stays; a null doc_id stays."""
-    found = ngram_jaccard.jaccard_components(docs, width=5, num=80, den=100)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of five-word shingles linked from 0.8 on, the smallest doc_id stays; a null doc_id stays.
+
+    Where an id has several texts, each text is judged by itself: of a component of texts, the first by the smallest
+    doc_id that holds it (and a hash) stays, in the rows of that doc_id."""
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b")
+    if not several.limit(1).count():
+        found = ngram_jaccard.jaccard_components(docs, width=5, num=80, den=100)
+        gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    texts = keyed.where("doc_id IS NOT NULL").groupBy("_text").agg(F.min("doc_id").alias("least"))
+    # Ascending numbers in the order of a global sort stand for the texts.
+    texts = materialise(texts.orderBy("least", "_text").select("_text", "least", F.monotonically_increasing_id().alias("number")), "texts")
+    one = keyed.join(broadcast_if_small(texts), "_text").dropDuplicates(["_text"]).select(F.col("number").alias("doc_id"), "text")
+    found = ngram_jaccard.jaccard_components(one, width=5, num=80, den=100).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("number"), (F.col("doc_id") == F.col("component_id")).alias("stays"))
+    judged = materialise(texts.join(found, "number").select("_text", F.col("least").alias("_least"), F.col("stays").alias("_stays")), "judged")
+    kept = keyed.join(broadcast_if_small(judged), "_text", "left")
+    return kept.where(F.col("_stays").isNull() | F.col("doc_id").isNull() | (F.col("_stays") & (F.col("doc_id") == F.col("_least")))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
