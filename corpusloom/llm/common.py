@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         if key not in _roots:
             _roots[key] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         found = _roots[key]
+    if "://" not in found:  # a bare path means the default file system, which readers beside Spark would not know
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = re.sub(r"^file:/(?!/)", "file:///", store.makeQualified(path).toString())
     return found.rstrip("/")
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -74,11 +75,16 @@ def encode_record(page_id: int | None, url: str | None, html: bytes, digest: str
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a qualified path and the path in it; Hadoop's name of S3 is s3a."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 class ArchiveWriter:
     """One archive: the dictionary's frame, then a frame for each record."""
 
     def __init__(self, path: str, dictionary: bytes, level: int = 3) -> None:
-        store, at = fs.FileSystem.from_uri(path)
+        store, at = file_system(path)
         store.create_dir(at.rpartition("/")[0], recursive=True)
         self.path, self.out, self.records, self.bytes = path, store.open_output_stream(at), 0, 0
         self.packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
@@ -100,7 +106,7 @@ class ArchiveWriter:
 
 def frames(path: str, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The decoded frames of an archive, after its dictionary."""
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = file_system(path)
     with store.open_input_stream(at) as f:
         data = f.read(8)
         unpacker = zstandard.ZstdDecompressor()
