@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import bound
+from corpusloom.operators.ordered import with_tie_ranks
 
 
 def clean(x: Column) -> Column:
@@ -38,15 +39,9 @@ def token_accuracy(tokens: DataFrame, sequence: str, position: str, predicted: s
     return per.agg((F.sum("h") / F.sum("n")).alias("token_acc"), F.avg((F.col("h") == F.col("n")).cast("double")).alias("seq_acc"))
 
 
-def average_rank(x: Column, by: list[str] | None = None) -> Column:
-    """Ranks with ties at their mean."""
-    w = W.partitionBy(*(by or [])).orderBy(x)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy(*(by or []), x)) - 1) / 2
-
-
 def pair_correlations(scored: DataFrame, label: str, scores: list[str]) -> DataFrame:
     """pearson_<s> and spearman_<s> of the label against each score; tie-averaged ranks."""
-    ranked = scored.select(label, *scores, average_rank(F.col(label)).alias("_r"), *[average_rank(F.col(s)).alias(f"_r_{s}") for s in scores])
+    ranked = with_tie_ranks(scored.select(label, *scores), {label: "_r"} | {s: f"_r_{s}" for s in scores})
     return ranked.agg(*[F.corr(label, s).alias(f"pearson_{s}") for s in scores], *[F.corr("_r", f"_r_{s}").alias(f"spearman_{s}") for s in scores])
 
 

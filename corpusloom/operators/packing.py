@@ -11,9 +11,10 @@ import bisect
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import running
+
 SHARD_ROWS = 100_000
 
 
@@ -60,9 +61,9 @@ def concatenated(packed: DataFrame, rows: DataFrame, key: str, ids: str) -> Data
 
 def sequential_fill(df: DataFrame, key: str, length: str, volume: int, order: Column, by: Column) -> DataFrame:
     """(key, shard, sample, start, taken): rows laid end to end in order with one free slot between them and cut into
-    samples of `volume`; a row that crosses an edge is cut there and its rest goes. `by` bounds the ordered runs."""
-    w = W.partitionBy("shard").orderBy("_o", key).rowsBetween(W.unboundedPreceding, -1)
-    rows = df.withColumn("shard", by).withColumn("_o", order)
-    at = rows.withColumn("_at", F.coalesce(F.sum(F.col(length) + 1).over(w), F.lit(0)))
+    samples of `volume`; a row that crosses an edge is cut there and its rest goes. `by` bounds the ordered runs, each of
+    which is laid out by many tasks (ordered.running)."""
+    rows = df.select(key, length, by.alias("shard"), order.alias("_order"))
+    at = running(rows, F.col(length) + 1, [F.col("_order"), F.col(key)], "_at", ["shard"])
     room = volume - F.col("_at") % volume
     return at.select(key, "shard", F.floor(F.col("_at") / volume).alias("sample"), (F.col("_at") % volume).alias("start"), F.least(F.col(length), room).alias("taken"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ordered
+
 
 def hashed(seed: object, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -186,17 +188,20 @@ def smallest_per_group(df: DataFrame, group: str, value: str, key: str, k: int)
 def exact_quantile(df: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
     """(by..., name): the quantile by linear interpolation, exact, null for groups without values.
 
-    An approximate quantile just below and one just above bracket it; only what lies between them (some
-    thousandths of the rows) is counted by value and ordered, so no task holds all distinct values.
+    Without groups the value is selected in rounds over all tasks (ordered.select). Within groups an approximate
+    quantile just below and one just above bracket it; only what lies between them (some thousandths of the rows)
+    is counted by value and ordered, so no task holds all distinct values.
     """
+    if not by:
+        return df.sparkSession.createDataFrame([(ordered.quantile(df, value, share),)], f"{name} double")
     rows = df.select(*by, F.col(value).alias("_x")).where("_x IS NOT NULL")
     edge = lambda q, end: end("_x") if not 0.002 < q < 0.998 else F.percentile_approx("_x", F.lit(q), F.lit(10_000))
     ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), edge(share - 0.001, F.min).alias("_low"), edge(share + 0.001, F.max).alias("_high"))
-    near = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))  # without groups the ends are one row
+    near = rows.join(ends, by)
     below = F.count_if(F.col("_x") < F.col("_low")).alias("_below")
     base = near.groupBy(*by, "_n").agg(below)
     steps = near.where(F.col("_x").between(F.col("_low"), F.col("_high"))).groupBy(*by, "_x").agg(F.count("*").alias("_c"))
-    steps = steps.join(base, by) if by else steps.crossJoin(F.broadcast(base))
+    steps = steps.join(base, by)
     end = F.col("_below") + F.sum("_c").over(W.partitionBy(*by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
     at = F.lit(share) * (F.col("_n") - 1)
     holds = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_x")))
