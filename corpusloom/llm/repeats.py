@@ -6,16 +6,15 @@ repeated windows go. Windows never span documents and are judged on the input.
 Sharding: each window has an anchor, the least of the hashes of its GRAM-byte strings (the first of equal ones). Equal windows have
 equal anchors at the same place, so they meet in the shard of the anchor's hash. A run of windows that share an anchor is a
 body (about 170 bytes at most). A first pass counts anchors; those that occur once, most of them, hold no repeated window. Equal bodies are
-combined before anything else: all but the earliest of them consist of repeated windows. What is left to compare, an
-anchor's different bodies, goes to the shards, each once, in order of doc_id and position. A shard sorts the suffixes of its bodies by
-induction (llm/induced.py) in external memory, and reads equal windows off the common prefixes: all but the first in
+combined before anything else, first within each batch that is read, then by one sorted shuffle: all but the earliest of them consist of
+repeated windows. What is left to compare, an anchor's different bodies, goes to the shards in order of doc_id and position. A shard sorts the
+suffixes of its bodies by induction (llm/induced.py) in external memory, and reads equal windows off the common prefixes: all but the first in
 the text of the shard are repeated.
 
-Scale: which anchors are worth sending is looked up in a bitmap of BITS bits, whatever the corpus; it only
-thins rows out, since all counts are taken exactly afterwards, so where it fills up more rows are sent. An anchor with more than HOT_BODIES
-different bodies is no shard's own: its bodies are dealt by windows, and equal windows are combined by partial aggregation. A
-shard holds its bodies' numbers in memory, their bytes on disk. Equal bodies of a third of all documents are added up
-in the map tasks; AQE splits the join that hands their firsts back.
+Scale: what is worth sending is looked up in bitmaps of BITS bits, whatever the corpus; they only thin rows out: a body that is sent
+without need changes no result, so where they fill up more rows are sent. Of a body that a third of all documents hold, each batch of rows
+sends one. An anchor with more than HOT_BODIES different bodies is no shard's own: its bodies are dealt by windows, and equal windows are
+combined by partial aggregation. A shard holds its bodies' numbers in memory, their bytes on disk.
 
 Cases: null and empty texts and texts under LENGTH bytes keep all their bytes; a null doc_id comes after all others; of
 rows that share a doc_id, the order goes by a hash of the text, and rows that repeat both are one document and get the same
@@ -28,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm.collocations import mix, powers
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import broadcast_if_small, materialise
 from corpusloom.llm.induced import Growing, store, suffix_order
 from corpusloom.llm.textbytes import PIECE_BYTES, pieces
 from corpusloom.session import table
@@ -112,38 +112,137 @@ def _hit(bits: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
 
 
-def found_bodies(docs: DataFrame, length: int, gram: int, bits: np.ndarray | None, what: str) -> DataFrame:
-    """Bodies of rows (doc_id, doc, text). what: `keys` only, those whose key has a bit (`hits`), or those whose tag has one, with their bytes (`texts`)."""
-    held = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+def _spans(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of spans of each text as runs."""
+    order = np.lexsort((start, text))
+    text, start, end = text[order], start[order], end[order]
+    reach = np.maximum.accumulate((text.astype(np.int64) << 40) + end)
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:].astype(np.int64) << 40) + start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], start[first], reach[last] & ((1 << 40) - 1)
+
+
+def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key): the anchors' hashes of all bodies of rows (doc_id, doc, text)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in blocks(batch.column(0), length):
+                yield pa.RecordBatch.from_arrays([pa.array(bodies_of(data, at, length, gram)[1])], ["key"])
+
+    return docs.select("text").mapInArrow(emit, "key long")
+
+
+def occurrences(docs: DataFrame, length: int, gram: int, bits: np.ndarray) -> DataFrame:
+    """Bodies whose key has a bit, each once a batch, for its earliest place there. The others are repeated: their
+    windows are put out as runs of bytes (lead -1, windows: the number of bytes), with the document's hash as key."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
+    names = ["key", "digest", "doc_id", "doc", "start", "windows", "lead"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, docs_ = batch.column("doc_id").cast(id_type), batch.column("doc").to_numpy()
+            ids, doc = batch.column("doc_id").cast(id_type), batch.column("doc").to_numpy()
+            found = []
             for first, offset, data, at in blocks(batch.column("text"), length):
                 text, key, digest, start, windows, lead = bodies_of(data, at, length, gram)
-                if what == "keys":
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
-                    continue
-                own = _hit(held.value, key if what == "hits" else key ^ digest ^ docs_[first + text])
+                own = _hit(held.value, key)
+                text, key, digest, start, windows, lead = (x[own] for x in (text, key, digest, start, windows, lead))
+                found.append(np.stack([first + text, key, digest, start - at[text] + offset, windows, lead]))
+            if not found:
+                continue
+            text, key, digest, start, windows, lead = np.concatenate(found, axis=1)
+            if not len(text):
+                continue
+            rank = np.empty(len(doc), np.int64)
+            rank[_id_order(ids, doc)] = np.arange(len(doc))
+            place = start + lead
+            order = np.lexsort((place, rank[text], digest, key))
+            text, key, digest, start, windows, lead, place = (x[order] for x in (text, key, digest, start, windows, lead, place))
+            new = np.ones(len(text), bool)
+            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
+            later = np.flatnonzero((doc[text] != doc[text[first]]) | (place != place[first]))
+            new = np.flatnonzero(new)
+            columns = [key[new], digest[new], None, doc[text[new]], start[new], windows[new], lead[new]]
+            yield _batch(columns, ids.take(pa.array(text[new])), names)
+            row, a, b = _spans(text[later], start[later], start[later] + windows[later] - 1 + length)
+            if len(row):
+                yield _batch([doc[row], np.zeros(len(row), np.int64), None, doc[row], a, b - a, np.full(len(row), -1)], ids.take(pa.array(row)), names)
+
+    return docs.mapInArrow(emit, f"key long, digest long, doc_id {kind.simpleString()}, doc long, start int, windows int, lead int")
+
+
+def _id_order(ids: pa.Array, doc: np.ndarray) -> np.ndarray:
+    """Rows by doc_id, null last, then by the documents' hashes."""
+    table_ = pa.table({"id": ids, "doc": doc})
+    return pc.sort_indices(table_, [("id", "ascending"), ("doc", "ascending")], null_placement="at_end").to_numpy()
+
+
+def _batch(columns: list, ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids if x is None else pa.array(x.astype(np.int32) if n in ("start", "windows", "lead") else x) for x, n in zip(columns, names, strict=True)], names)
+
+
+def settled(rows: DataFrame, length: int) -> DataFrame:
+    """(key, digest, doc_id, doc, start, end) of occurrences: the earliest place of each body, with its key, and all
+    repeated runs of bytes, with a null key. One pass over a sorted shuffle that remembers one body."""
+    kind = rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None  # key, digest, doc and place of the earliest of the open body
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id").cast(id_type)
+            key, digest, doc, start, windows, lead = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "digest", "doc", "start", "windows", "lead"))
+            run = lead < 0
+            place = start + lead
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]) | run[1:] | run[:-1]
+            goes_on = known is not None and not run[0] and known[:2] == (key[0], digest[0])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            first_doc, first_place = doc[first], place[first]
+            if goes_on:
+                first_doc[first == 0], first_place[first == 0] = known[2:]
+                new[0] = False
+            known = None if run[-1] else (key[-1], digest[-1], first_doc[-1], first_place[-1])
+            repeated = run | (~new & ((doc != first_doc) | (place != first_place)))
+            keep = np.flatnonzero(new | repeated)
+            some = repeated[keep]
+            end = np.where(run, start + windows, start + windows - 1 + length)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep], mask=some), pa.array(digest[keep], mask=some), ids.take(pa.array(keep)), pa.array(doc[keep]), pa.array(start[keep]), pa.array(end[keep])], ["key", "digest", "doc_id", "doc", "start", "end"])
+
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc"), F.col("start") + F.col("lead")]
+    return rows.repartition("key", "digest").sortWithinPartitions("key", "digest", *order).mapInArrow(stream, f"key long, digest long, doc_id {kind.simpleString()}, doc long, start long, end long")
+
+
+def bodies_with_bytes(docs: DataFrame, length: int, gram: int, keys: np.ndarray, tags: np.ndarray) -> DataFrame:
+    """(key, doc_id, doc, start, lead, body) of bodies with a bit for their key and one for their place."""
+    held = docs.sparkSession.sparkContext.broadcast((keys, tags))
+    kind = docs.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tags = held.value
+        for batch in batches:
+            ids, doc = batch.column("doc_id").cast(id_type), batch.column("doc").to_numpy()
+            for first, offset, data, at in blocks(batch.column("text"), length):
+                text, key, digest, start, windows, lead = bodies_of(data, at, length, gram)
+                own = _hit(keys, key)
+                own = own[_hit(tags, key[own] ^ digest[own] ^ doc[first + text[own]])]
                 if not len(own):
                     continue
-                text, key, digest, start, windows, lead = (x[own] for x in (text, key, digest, start, windows, lead))
-                local = (start - at[text] + offset).astype(np.int32)
-                columns = [pa.array(key), pa.array(digest), ids.take(pa.array(first + text)), pa.array(docs_[first + text]), pa.array(local), pa.array(windows.astype(np.int32)), pa.array(lead.astype(np.int32))]
-                names = ["key", "digest", "doc_id", "doc", "start", "windows", "lead"]
-                if what == "texts":
-                    sizes = windows + length - 1
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    where = np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])
-                    columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])]))
-                    names.append("body")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    if what == "keys":
-        return docs.mapInArrow(emit, "key long")
-    return docs.mapInArrow(emit, f"key long, digest long, doc_id {kind.simpleString()}, doc long, start int, windows int, lead int" + (", body binary" if what == "texts" else ""))
+                text, key, start, lead, sizes = text[own], key[own], start[own], lead[own], windows[own] + length - 1
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                where = np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])
+                body = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])])
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(first + text)), pa.array(doc[first + text]), pa.array((start - at[text] + offset).astype(np.int32)), pa.array(lead.astype(np.int32)), body], ["key", "doc_id", "doc", "start", "lead", "body"])
+
+    return docs.mapInArrow(emit, f"key long, doc_id {kind.simpleString()}, doc long, start int, lead int, body binary")
 
 
 def sorted_repeats(bodies: DataFrame, length: int) -> DataFrame:
@@ -154,9 +253,16 @@ def sorted_repeats(bodies: DataFrame, length: int) -> DataFrame:
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, begins, doc, local = Growing(np.uint16), Growing(np.int64), Growing(np.int64), Growing(np.int64)
         symbols.append(np.zeros(1))
-        ids = []
+        ids, before = [], (None, None, None)
         for batch in batches:
-            for first, data, at in pieces(batch.column("body")):
+            # Rows of a document that is there several times follow one another.
+            rows = np.stack([batch.column("doc").to_numpy(), batch.column("start").to_numpy(), pc.binary_length(batch.column("body")).to_numpy()])
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            if batch.num_rows:
+                new[0], before = tuple(rows[:, 0].tolist()) != before, tuple(rows[:, -1].tolist())
+            batch = batch.filter(pa.array(new))
+            for _, data, at in pieces(batch.column("body")):
                 n = len(at) - 1
                 out = np.zeros(len(data) + n, np.uint16)
                 out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data.astype(np.uint16) + 1
@@ -222,25 +328,24 @@ def window_repeats(bodies: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bodies: int = HOT_BODIES) -> DataFrame:
     """(doc_id, doc, start, end) of repeated windows, in bytes, for rows (doc_id, doc, text); spans overlap."""
-    many = found_bodies(docs, length, gram, None, "keys").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bits = bitmap(many.select(F.col("key").alias("tag")))
-    hits = materialise(found_bodies(docs, length, gram, bits, "hits"), "hits")
-    place = (F.col("start") + F.col("lead")).cast("long")
-    firsts = hits.groupBy("key", "digest").agg(F.min(F.struct(_order(place).alias("at"), "start")).alias("first"), F.count("*").alias("n"))
-    firsts = materialise(firsts.select("key", "digest", F.col("first.at").alias("first"), F.col("first.start").alias("first_start"), "n"), "bodies")
-    copies = hits.join(firsts.where("n > 1").select("key", "digest", "first"), ["key", "digest"]).where(F.col("first") != _order(place))
-    copies = copies.select("doc_id", "doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") - 1 + length).cast("long").alias("end"))
-    kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differ = materialise(firsts.join(kinds, "key").select("key", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.doc").alias("first_doc"), "first_start", "kinds"), "differing")
-    bits = bitmap(differ.select(F.expr("key ^ digest ^ first_doc").alias("tag")))
-    texts = found_bodies(docs, length, gram, bits, "texts").join(differ, ["key", "digest"])
-    texts = texts.where((F.col("doc") == F.col("first_doc")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start")))
-    texts = materialise(texts.dropDuplicates(["key", "digest"]).select("key", "doc_id", "doc", "start", "lead", "body", "kinds"), "texts")
-    spans = copies
-    ordered = texts.where(F.col("kinds") <= hot_bodies).repartition("key").sortWithinPartitions(F.col("doc_id").isNull(), "doc_id", "doc", F.col("start") + F.col("lead"))
-    spans = spans.union(sorted_repeats(ordered.select("doc_id", "doc", "start", "body"), length))
-    hot = texts.where(F.col("kinds") > hot_bodies)
-    return spans.union(window_repeats(hot, length)) if hot.limit(1).count() else spans
+    many = anchors(docs, length, gram).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = settled(occurrences(docs, length, gram, bitmap(many.select(F.col("key").alias("tag")))), length)
+    found = materialise(found, "settled")
+    firsts = found.where("key IS NOT NULL")
+    kinds = materialise(firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    keys = bitmap(kinds.select(F.col("key").alias("tag")))
+    tags = bitmap(firsts.select(F.expr("key ^ digest ^ doc").alias("tag")))
+    texts = bodies_with_bytes(docs, length, gram, keys, tags)
+    hot = kinds.where(F.col("kinds") > hot_bodies).select("key")
+    n_hot = hot.count()
+    if n_hot:
+        hot = broadcast_if_small(hot, n_hot)
+        windows = window_repeats(texts.join(hot, "key"), length)
+        texts = texts.join(hot, "key", "left_anti")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc"), F.col("start") + F.col("lead")]
+    ordered = texts.repartition("key").sortWithinPartitions(*order).select("doc_id", "doc", "start", "body")
+    spans = found.where("key IS NULL").select("doc_id", "doc", "start", "end").union(sorted_repeats(ordered, length))
+    return spans.union(windows) if n_hot else spans
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bodies: int = HOT_BODIES) -> DataFrame:
