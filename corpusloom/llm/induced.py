@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Most rows of a batch; bytes of an array that stays in memory.
-BATCH, IN_MEMORY = 1 << 17, 1 << 23
+BATCH, IN_MEMORY = 1 << 17, 1 << 25
 #: Least and most tuples that a queue holds in memory.
 HELD = (1 << 14, 1 << 20)
 #: Strings of names that end the recursion: so many symbols at most, none longer than that. They are sorted in memory.

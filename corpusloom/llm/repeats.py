@@ -42,6 +42,8 @@ LENGTH, GRAM = 100, 32
 #: log2 of the bitmap's bits (16 MB) and of its slices.
 BITS, SLICES = 27, 8
 HOT_BODIES = 10_000
+#: Bytes of a shard, about; a shard that is larger than memory is sorted on disk, a small one mostly in memory.
+SHARD_BYTES = 4 << 20
 _CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
 
 
@@ -169,9 +171,10 @@ def occurrences(docs: DataFrame, length: int, gram: int, bits: np.ndarray) -> Da
             new = np.flatnonzero(new)
             columns = [key[new], digest[new], None, doc[text[new]], start[new], windows[new], lead[new]]
             yield _batch(columns, ids.take(pa.array(text[new])), names)
+            if not len(later):
+                continue
             row, a, b = _spans(text[later], start[later], start[later] + windows[later] - 1 + length)
-            if len(row):
-                yield _batch([doc[row], np.zeros(len(row), np.int64), None, doc[row], a, b - a, np.full(len(row), -1)], ids.take(pa.array(row)), names)
+            yield _batch([doc[row], np.zeros(len(row), np.int64), None, doc[row], a, b - a, np.full(len(row), -1)], ids.take(pa.array(row)), names)
 
     return docs.mapInArrow(emit, f"key long, digest long, doc_id {kind.simpleString()}, doc long, start int, windows int, lead int")
 
@@ -233,7 +236,7 @@ def bodies_with_bytes(docs: DataFrame, length: int, gram: int, keys: np.ndarray,
             for first, offset, data, at in blocks(batch.column("text"), length):
                 text, key, digest, start, windows, lead = bodies_of(data, at, length, gram)
                 own = _hit(keys, key)
-                own = own[_hit(tags, key[own] ^ digest[own] ^ doc[first + text[own]])]
+                own = own[_hit(tags, key[own] ^ digest[own] ^ doc[first + text[own]] ^ (start - at[text] + offset)[own] << 37)]
                 if not len(own):
                     continue
                 text, key, start, lead, sizes = text[own], key[own], start[own], lead[own], windows[own] + length - 1
@@ -334,16 +337,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     firsts = found.where("key IS NOT NULL")
     kinds = materialise(firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     keys = bitmap(kinds.select(F.col("key").alias("tag")))
-    tags = bitmap(firsts.select(F.expr("key ^ digest ^ doc").alias("tag")))
+    tags = bitmap(firsts.select(F.expr("key ^ digest ^ doc ^ shiftleft(start, 37)").alias("tag")))
     texts = bodies_with_bytes(docs, length, gram, keys, tags)
     hot = kinds.where(F.col("kinds") > hot_bodies).select("key")
-    n_hot = hot.count()
+    n_hot, n_bodies = kinds.agg(F.count_if(F.col("kinds") > hot_bodies), F.sum("kinds")).first()
+    shards = max(1, -(-(n_bodies or 0) * 2 * length // SHARD_BYTES))
     if n_hot:
         hot = broadcast_if_small(hot, n_hot)
         windows = window_repeats(texts.join(hot, "key"), length)
         texts = texts.join(hot, "key", "left_anti")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc"), F.col("start") + F.col("lead")]
-    ordered = texts.repartition("key").sortWithinPartitions(*order).select("doc_id", "doc", "start", "body")
+    ordered = texts.repartition(shards, "key").sortWithinPartitions(*order).select("doc_id", "doc", "start", "body")
     spans = found.where("key IS NULL").select("doc_id", "doc", "start", "end").union(sorted_repeats(ordered, length))
     return spans.union(windows) if n_hot else spans
 
