@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import packing
+from corpusloom.operators.ordered import running
 from corpusloom.plans.registry import query, r6
 from corpusloom.session import scratch_dir, table
 from corpusloom.sources import files
@@ -222,12 +227,63 @@ def _(s, d):
     return s.read.parquet(f"{base}/out/rows").select("event_id")
 
 
-@query("str04_buffer_shuffle", "SELECT event_id FROM events")
+@contextmanager
+def _started(out: DataFrame, base: str) -> Iterator[StreamingQuery]:
+    """A running query that writes each micro-batch to a folder of its own, from the checkpoint in `base` on."""
+    sink = out.writeStream.outputMode("append").option("checkpointLocation", base + "/check").trigger(processingTime="100 milliseconds")
+    query = sink.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{base}/out/batch={k}")).start()
+    try:
+        yield query
+    finally:
+        query.stop()
+
+
+_BUFFER = 64
+
+
+def _buffer_sql() -> str:
+    """Each lane as a fold over its rows: a full buffer lets a random row go for the one that comes; what is left goes last."""
+    slot = f"(('0x' || substr(md5('42|' || x.lane || '|' || (a.came)), 1, 8))::BIGINT % {_BUFFER} + 1)"
+    full = f"len(a.buf) >= {_BUFFER}"
+    buf = f"CASE WHEN {full} THEN list_concat(a.buf[:{slot} - 1], [x.id], a.buf[{slot} + 1:]) ELSE list_append(a.buf, x.id) END"
+    out = f"CASE WHEN {full} THEN list_append(a.out, a.buf[{slot}]) ELSE a.out END"
+    zero = "{'lane': 0::BIGINT, 'id': 0::BIGINT, 'came': 0::BIGINT, 'buf': []::BIGINT[], 'out': []::BIGINT[]}"
+    return f"""WITH g AS (SELECT event_id % 4 AS lane, list({{'lane': (event_id % 4)::BIGINT, 'id': event_id, 'came': 0::BIGINT, 'buf': []::BIGINT[], 'out': []::BIGINT[]}} ORDER BY event_id) AS items FROM events GROUP BY 1),
+ f AS (SELECT lane, list_reduce(items, lambda a, x: {{'lane': x.lane, 'id': 0::BIGINT, 'came': a.came + 1, 'buf': {buf}, 'out': {out}}}, {zero}) AS r FROM g),
+ l AS (SELECT lane, r.out AS gone, [x.id FOR x IN list_sort([{{'h': md5('42|' || lane || '|slot|' || (i - 1)), 'id': r.buf[i]}} FOR i IN range(1, len(r.buf) + 1)])] AS rest FROM f)
+ SELECT lane::BIGINT AS lane, unnest(range(len(gone) + len(rest)))::BIGINT AS place, unnest(list_concat(gone, rest)) AS event_id FROM l"""
+
+
+@query("str04_buffer_shuffle", _buffer_sql())
 def _(s, d):
+    """Four lanes with a buffer each, over files that come while the query runs, and a second run that goes on from its checkpoint
+    and flushes; the order in which rows leave."""
     base = scratch_dir(s, "shuffle")
-    src = streams.file_stream(s, _event_files(s, d), _EVENT, "parquet", 2).select("event_id")
-    streams.run_available(src, lambda b, k: streams.buffer_shuffle(b, "event_id").write.mode("overwrite").parquet(f"{base}/out/batch={k}"), f"{base}/check")
-    return s.read.parquet(f"{base}/out").select("event_id")
+    rows = table(s, d, "events").select((F.col("event_id") % 4).alias("lane"), F.col("event_id").alias("key"), F.col("event_type").alias("row"))
+    cuts = rows.agg(F.percentile_approx("key", [0.3, 0.7, 1.0])).first()[0]
+
+    def arrive(low: int | None, high: int) -> int:
+        part = rows.where((F.col("key") <= high) & (F.lit(True) if low is None else F.col("key") > low))
+        part.coalesce(1).write.mode("append").parquet(base + "/in")  # one file, so that a batch holds all of it
+        return part.count()
+
+    def start(idle: int | None):  # noqa: ANN202
+        src = streams.file_stream(s, base + "/in", "lane bigint, key bigint, row string", "parquet", 1000)
+        return _started(streams.buffer_shuffle(src, _BUFFER, 42, idle), base)
+
+    def run() -> DataFrame:
+        rows.limit(0).write.parquet(base + "/in")
+        with start(None) as query:
+            first = arrive(None, cuts[0])
+            streams.run_until(query, lambda n, _: n >= first)
+            second = arrive(cuts[0], cuts[1])
+            streams.run_until(query, lambda n, _: n >= first + second)
+        last = arrive(cuts[1], cuts[2])
+        with start(500) as query:
+            streams.run_until(query, lambda n, left: n >= last and not left)
+        return s.read.parquet(base + "/out").select("lane", "place", F.col("key").alias("event_id"))
+
+    return _with_rocksdb(s, run)
 
 
 @query("str07_incremental_means", "SELECT event_type, round(sum(value * (user_id % 7 + 1)) / sum(user_id % 7 + 1), 6) AS mean, sum(user_id % 7 + 1)::BIGINT AS count FROM events GROUP BY event_type")
@@ -263,25 +319,65 @@ def _with_rocksdb(s: SparkSession, run):
             s.conf.set(key, before)
 
 
-@query("pck03_streaming_packing", "SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS total, true AS within FROM documents")
-@query("str05_stateful_packing", "SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS total, true AS within FROM documents")
+def _stream_packs_sql(step: str) -> str:
+    """Packs of two shards as a recursion over steps: what a step brings is packed with the last bin of the step before."""
+    best = "list_position(a.rooms, list_min([r FOR r IN a.rooms IF r >= x.size]))"
+    put = f"CASE WHEN {best} IS NULL THEN list_append(a.rooms, 8192 - x.size) ELSE [CASE WHEN i = {best} THEN a.rooms[i] - x.size ELSE a.rooms[i] END FOR i IN range(1, len(a.rooms) + 1)] END"
+    took = f"list_append(a.bins, coalesce({best}, len(a.rooms) + 1)::BIGINT)"
+    zero = "{'rooms': []::BIGINT[], 'bins': []::BIGINT[], 'size': 0::BIGINT}"
+    bins = f"list_reduce([{{'rooms': []::BIGINT[], 'bins': []::BIGINT[], 'size': -i.neg}} FOR i IN items], lambda a, x: {{'rooms': {put}, 'bins': {took}, 'size': 0::BIGINT}}, {zero}).bins"
+    return f"""WITH RECURSIVE r AS (SELECT doc_id % 2 AS shard, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS index FROM documents),
+ g AS (SELECT shard, {step} AS k, list({{'neg': -n_chars, 'id': doc_id}}) AS items FROM r GROUP BY 1, 2),
+ s AS (SELECT shard, k, items, {bins} AS bins, 0::BIGINT AS done FROM (SELECT shard, k, list_sort(items) AS items FROM g WHERE k = 0)
+  UNION ALL SELECT shard, k, items, {bins} AS bins, done FROM (SELECT s.shard, g.k, s.done + list_max(s.bins) - 1 AS done,
+    list_sort(list_concat(g.items, [s.items[i] FOR i IN range(1, len(s.items) + 1) IF s.bins[i] = list_max(s.bins)])) AS items FROM s JOIN g ON g.shard = s.shard AND g.k = s.k + 1)),
+ u AS (SELECT shard, done, list_max(bins) AS top, k = max(k) OVER (PARTITION BY shard) AS last, unnest(items).id AS doc_id, unnest(bins) AS bin FROM s)
+ SELECT shard, doc_id, done + bin - 1 AS pack_id FROM u WHERE last OR bin < top"""
+
+
+@query("pck03_streaming_packing", _stream_packs_sql("index // 128"))
 def _(s, d):
-    """Packing with the last bin carried between batches; an end mark flushes it."""
+    """Packs of 128 rows at a time in the order of the index, though files bring the rows out of order; a second run of the
+    query, from its checkpoint, brings what was missing, and its timer flushes what is left."""
     base = scratch_dir(s, "packs")
     rows = docs(s, d).select((F.col("doc_id") % 2).alias("shard"), F.col("doc_id").alias("key"), F.col("n_chars").alias("length"))
-    rows.repartitionByRange(3, "key").write.parquet(base + "/in")
-    ends = rows.select("shard").distinct().select("shard", F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("length"))
+    rows = running(rows, F.lit(1), [F.col("key")], "index", ["shard"])
+    late = F.col("index") % 5 == 3
+    rows.where(~late).repartition(4, F.xxhash64("key")).write.parquet(base + "/in")
+
+    def start(files_: int, idle: int | None):  # noqa: ANN202
+        src = streams.file_stream(s, base + "/in", "shard bigint, key bigint, length bigint, index bigint", "parquet", files_)
+        return _started(streams.interval_packs(src, 8192, 128, idle), base)
+
+    def run() -> DataFrame:
+        first, last = rows.where(~late).count(), rows.where(late).count()
+        with start(1, None) as query:
+            streams.run_until(query, lambda n, _: n >= first)
+        rows.where(late).write.mode("append").parquet(base + "/in")
+        with start(1000, 500) as query:
+            streams.run_until(query, lambda n, left: n >= last and not left)
+        return s.read.parquet(base + "/out").select("shard", F.col("key").alias("doc_id"), "pack_id")
+
+    return _with_rocksdb(s, run)
+
+
+@query("str05_stateful_packing", _stream_packs_sql("doc_id % 3"))
+def _(s, d):
+    """Packing in three runs of a query, each going on from the checkpoint with the last bin of the one before; the third flushes."""
+    base = scratch_dir(s, "resumed")
+    rows = docs(s, d).select((F.col("doc_id") % 2).alias("shard"), F.col("doc_id").alias("key"), F.col("n_chars").alias("length"))
 
     def run() -> DataFrame:
-        src = streams.file_stream(s, base + "/in", "shard bigint, key bigint, length bigint", "parquet", 1)
-        write = lambda b, k: b.write.mode("append").parquet(base + "/out")
-        streams.run_available(streams.stream_packs(src, 8192), write, base + "/check")
-        ends.coalesce(1).write.mode("append").parquet(base + "/in")
-        streams.run_available(streams.stream_packs(src, 8192), write, base + "/check")
-        return s.read.parquet(base + "/out")
-
-    p = _with_rocksdb(s, run).groupBy("shard", "pack_id").agg(F.sum("length").alias("t"), F.count("*").alias("n"))
-    return p.agg(F.sum("n").alias("n_rows"), F.sum("t").alias("total"), F.every((F.col("t") <= 8192) | (F.col("n") == 1)).alias("within"))
+        for k in range(3):
+            part = rows.where(F.col("key") % 3 == k)
+            part.write.mode("append").parquet(base + "/in")
+            n = part.count()
+            src = streams.file_stream(s, base + "/in", "shard bigint, key bigint, length bigint", "parquet", 1000)
+            with _started(streams.stream_packs(src, 8192, 500 if k == 2 else None), base) as query:
+                streams.run_until(query, lambda came, left, want=n, last=k == 2: came >= want and not (last and left))
+        return s.read.parquet(base + "/out").select("shard", F.col("key").alias("doc_id"), "pack_id")
+
+    return _with_rocksdb(s, run)
 
 
 @query("str06_streaming_sessions", "SELECT user_id AS key, event_id AS pos, (sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM events")

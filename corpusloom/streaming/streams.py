@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,26 +44,107 @@ def take_skip(df: DataFrame, order: str, skip: int, take: int, out: str) -> Call
     return write
 
 
-def buffer_shuffle(batch: DataFrame, key: str, seed: object = 42) -> DataFrame:
-    """The micro-batch is the buffer."""
-    return batch.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
+def run_until(query: StreamingQuery, done: Callable[[int, int], bool], limit: float = 120.0) -> None:
+    """Waits until done(rows read in, rows of state left), both of the query's progress so far; TimeoutError beyond `limit` seconds."""
+    end, seen, rows = time.monotonic() + limit, -1, 0
+    while time.monotonic() < end:
+        if query.exception() is not None:
+            raise query.exception()
+        for p in query.recentProgress:
+            if p.batchId > seen:
+                seen, rows = p.batchId, rows + p.numInputRows
+        last = query.lastProgress
+        if last is not None and done(rows, sum(o.numRowsTotal for o in last.stateOperators)):
+            return
+        time.sleep(0.1)
+    raise TimeoutError(f"after {limit} seconds {rows} rows were read")
 
 
-class Packer(StatefulProcessor):
-    """Packs a shard's rows; the last bin of each batch is carried until an end mark (length < 0) comes."""
+def draw(seed: object, lane: object, n: int, size: int) -> int:
+    """A number below size, the same on every run."""
+    return int(hashlib.md5(f"{seed}|{lane}|{n}".encode()).hexdigest()[:8], 16) % size
 
-    def __init__(self, volume: int) -> None:
+
+class Lane(StatefulProcessor):
+    """A lane of a stream that may never end: what is held when no row has come for `idle` milliseconds is flushed by a timer.
+
+    idle None: no timer; what is held waits for a later run of the query."""
+
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def wait(self, now: object) -> None:
+        """Puts the timer off."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if self.idle is not None:
+            self.handle.registerTimer(now.getCurrentProcessingTimeInMs() + self.idle)
+
+    def close(self) -> None:
+        pass
+
+
+class ShuffleBuffer(Lane):
+    """A buffer of fixed capacity in the state store, which outlives micro-batches: once it is full, each row that comes in takes
+    the place of a random one, which goes out. The timer empties the buffer, in random order."""
+
+    def __init__(self, capacity: int, seed: object, idle: int | None) -> None:
+        super().__init__(idle)
+        self.capacity, self.seed = capacity, seed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.slots = handle.getMapState("slots", "slot long", "key long, row string")
+        self.counts = handle.getValueState("counts", "came long, gone long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        came, gone = self.counts.get() if self.counts.exists() else (0, 0)
+        pdf, out = pd.concat(list(rows)).sort_values("key"), []
+        for k, row in zip(pdf["key"].tolist(), pdf["row"].tolist(), strict=True):
+            slot = came - gone  # slots fill in order
+            if slot >= self.capacity:
+                slot = draw(self.seed, key[0], came, self.capacity)
+                out.append((key[0], gone, *self.slots.getValue((slot,))))
+                gone += 1
+            self.slots.updateValue((slot,), (k, row))
+            came += 1
+        self.counts.update((came, gone))
+        self.wait(timerValues)
+        yield pd.DataFrame(out, columns=["lane", "place", "key", "row"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if not self.counts.exists():
+            return
+        _, gone = self.counts.get()
+        left = sorted(((hashlib.md5(f"{self.seed}|{key[0]}|slot|{slot[0]}".encode()).hexdigest(), value) for slot, value in self.slots.iterator()), key=lambda x: x[0])
+        self.slots.clear()
+        self.counts.clear()
+        yield pd.DataFrame([(key[0], gone + i, *value) for i, (_, value) in enumerate(left)], columns=["lane", "place", "key", "row"])
+
+
+def buffer_shuffle(rows: DataFrame, capacity: int, seed: object = 42, idle: int | None = 1000) -> DataFrame:
+    """rows (lane, key, row) to (lane, place, key, row): each lane in the order in which its buffer lets rows go. A flushed
+    lane starts anew. Needs the RocksDB state store."""
+    return rows.groupBy("lane").transformWithStateInPandas(ShuffleBuffer(capacity, seed, idle), "lane long, place long, key long, row string", "Append", "ProcessingTime")
+
+
+class Packer(Lane):
+    """Packs a shard's rows, each micro-batch with the last bin of the one before; the timer lets the last bin go."""
+
+    def __init__(self, volume: int, idle: int | None) -> None:
+        super().__init__(idle)
         self.volume = volume
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.rest = handle.getListState("rest", "key long, length long")
         self.done = handle.getValueState("done", "n long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        items, last = [(r[0], r[1]) for r in self.rest.get()] if self.rest.exists() else [], False
-        for pdf in rows:
-            last |= bool((pdf["length"] < 0).any())
-            items += [(int(k), int(n)) for k, n in zip(pdf["key"], pdf["length"], strict=True) if n >= 0]
+    def packed(self, shard: int, items: list[tuple[int, int]], last: bool) -> list[tuple]:
+        """Rows of the packs that are final; the last one is kept as the rest unless all are."""
         bins = best_fit(items, self.volume)
         keep = [] if last or not bins else bins.pop()
         n = self.done.get()[0] if self.done.exists() else 0
@@ -70,15 +153,73 @@ class Packer(StatefulProcessor):
             self.rest.put(keep)
         else:
             self.rest.clear()
-        yield pd.DataFrame([(key[0], n + b, i, k, size) for b, x in enumerate(bins) for i, (k, size) in enumerate(x)], columns=["shard", "pack_id", "pos", "key", "length"])
+        return [(shard, n + b, i, k, size) for b, x in enumerate(bins) for i, (k, size) in enumerate(x)]
 
-    def close(self) -> None:
-        pass
+    def held(self) -> list[tuple[int, int]]:
+        return [(r[0], r[1]) for r in self.rest.get()] if self.rest.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        items = self.held() + [(int(k), int(n)) for pdf in rows for k, n in zip(pdf["key"], pdf["length"], strict=True)]
+        self.wait(timerValues)
+        yield pd.DataFrame(self.packed(key[0], items, False), columns=["shard", "pack_id", "pos", "key", "length"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        out = self.packed(key[0], self.held(), True)
+        self.done.clear()  # a later row starts a new run of packs
+        yield pd.DataFrame(out, columns=["shard", "pack_id", "pos", "key", "length"])
 
-def stream_packs(rows: DataFrame, volume: int) -> DataFrame:
-    """rows (shard, key, length) to packs; needs the RocksDB state store."""
-    return rows.groupBy("shard").transformWithStateInPandas(Packer(volume), "shard long, pack_id long, pos long, key long, length long", "Append", "None")
+
+class IntervalPacker(Packer):
+    """Packs a shard's rows in the order of their index, `interval` rows at a time, whatever the micro-batches: rows that come early
+    wait in the state for those before them. The timer packs all that is left, over gaps in the index."""
+
+    def __init__(self, volume: int, interval: int, idle: int | None) -> None:
+        super().__init__(volume, idle)
+        self.interval = interval
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.early = handle.getMapState("early", "index long", "key long, length long")
+        self.next = handle.getValueState("next", "index long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for i, k, n in zip(pdf["index"].tolist(), pdf["key"].tolist(), pdf["length"].tolist(), strict=True):
+                self.early.updateValue((i,), (k, n))
+        at, out = self.next.get()[0] if self.next.exists() else 0, []
+        # Interval by interval, as soon as all its rows are there.
+        while all(self.early.containsKey((at + i,)) for i in range(self.interval)):
+            items = [tuple(self.early.getValue((at + i,))) for i in range(self.interval)]
+            for i in range(self.interval):
+                self.early.removeKey((at + i,))
+            out += self.packed(key[0], self.held() + items, False)
+            at += self.interval
+        self.next.update((at,))
+        self.wait(timerValues)
+        yield pd.DataFrame(out, columns=["shard", "pack_id", "pos", "key", "length"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        left, out = [tuple(v) for _, v in sorted((tuple(k), tuple(v)) for k, v in self.early.iterator())], []
+        while len(left) >= self.interval:
+            out += self.packed(key[0], self.held() + left[: self.interval], False)
+            left = left[self.interval :]
+        out += self.packed(key[0], self.held() + left, True)
+        for state in (self.early, self.next, self.done):
+            state.clear()
+        yield pd.DataFrame(out, columns=["shard", "pack_id", "pos", "key", "length"])
+
+
+_PACKS = "shard long, pack_id long, pos long, key long, length long"
+
+
+def stream_packs(rows: DataFrame, volume: int, idle: int | None = 1000) -> DataFrame:
+    """rows (shard, key, length) to packs, micro-batch by micro-batch; needs the RocksDB state store."""
+    return rows.groupBy("shard").transformWithStateInPandas(Packer(volume, idle), _PACKS, "Append", "ProcessingTime")
+
+
+def interval_packs(rows: DataFrame, volume: int, interval: int = 128, idle: int | None = 1000) -> DataFrame:
+    """rows (shard, index, key, length), index from 0 in each shard, to packs; needs the RocksDB state store."""
+    return rows.groupBy("shard").transformWithStateInPandas(IntervalPacker(volume, interval, idle), _PACKS, "Append", "ProcessingTime")
 
 
 class Sessions(StatefulProcessor):
