@@ -7,13 +7,14 @@ Sharding: each window has an anchor, the least of the hashes of its GRAM-byte st
 equal anchors at the same place, so they meet in the shard of the anchor's hash. A run of windows that share an anchor is a
 body (about 170 bytes at most). A first pass counts anchors; those that occur once, most of them, hold no repeated window. Equal bodies are
 combined before anything else, first within each batch that is read, then by one sorted shuffle: all but the earliest of them consist of
-repeated windows. What is left to compare, an anchor's different bodies, goes to the shards in order of doc_id and position. A shard sorts the
+repeated windows. What is left to compare, an anchor's different bodies that share a core (most bytes of a window; counted like anchors), goes to the shards
+in order of doc_id and position. A shard sorts the
 suffixes of its bodies by induction (llm/induced.py) in external memory, and reads equal windows off the common prefixes: all but the first in
 the text of the shard are repeated.
 
 Scale: what is worth sending is looked up in bitmaps of BITS bits, whatever the corpus; they only thin rows out: a body that is sent
 without need changes no result, so where they fill up more rows are sent. Of a body that a third of all documents hold, each batch of rows
-sends one. An anchor with more than HOT_BODIES different bodies is no shard's own: its bodies are dealt by windows, and equal windows are
+sends one (rarer ones aren't combined there: copies of few rows seldom meet in a batch of a large corpus). An anchor with more than HOT_BODIES different bodies is no shard's own: its bodies are dealt by windows, and equal windows are
 combined by partial aggregation. A shard holds its bodies' numbers in memory, their bytes on disk.
 
 Cases: null and empty texts and texts under LENGTH bytes keep all their bytes; a null doc_id comes after all others; of
@@ -42,8 +43,10 @@ LENGTH, GRAM = 100, 32
 #: log2 of the bitmap's bits (16 MB) and of its slices.
 BITS, SLICES = 27, 8
 HOT_BODIES = 10_000
+#: Leads that share a core; a body that occurs so often in a batch of rows is sent once.
+CORE_STEP, COMBINED = 16, 8
 #: Bytes of a shard, about; a shard that is larger than memory is sorted on disk, a small one mostly in memory.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 _CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
 
 
@@ -59,15 +62,25 @@ def blocks(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
                 yield first, a, part, np.array([0, len(part)])
 
 
-def bodies_of(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+class Slices:
+    """Hashes of slices of bytes, as differences of one running sum."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = powers(len(data))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[: len(data)])])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.down[start]
+
+
+def bodies_of(data: np.ndarray, at: np.ndarray, length: int, gram: int, slices: Slices | None = None) -> tuple[np.ndarray, ...]:
     """(text, key, digest, start, windows, lead) of each run of windows that share an anchor; starts are places in data."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return (none,) * 6
     n, width = len(data), length - gram + 1
-    up, down = powers(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * up[:n])])
-    key = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
+    slices = slices or Slices(data)
+    key = mix((slices.total[gram:] - slices.total[:-gram]) * slices.down[: n - gram + 1])
     value = key & np.uint64(0xFFFFFFFF00000000) | np.arange(n - gram + 1, dtype=np.uint64)
     span = 1
     while span * 2 <= width:
@@ -85,8 +98,20 @@ def bodies_of(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple
     own = start <= room
     start, last = start[own], np.minimum(last[own], room[own])
     lead, windows = anchor[start] - start, last - start + 1
-    digest = mix((total[last + length] - total[start]) * down[start] + windows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + lead.astype(np.uint64))
-    return text[start], key[anchor[start]].view(np.int64), digest.view(np.int64), start, windows, lead
+    digest = mix(slices(start, last + length) + windows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + lead.astype(np.uint64))
+    # Least hashes are small, so they are mixed again for bitmaps and partitions.
+    return text[start], mix(key[anchor[start]] + np.uint64(1)).view(np.int64), digest.view(np.int64), start, windows, lead
+
+
+def cores_of(slices: Slices, key: np.ndarray, start: np.ndarray, windows: np.ndarray, lead: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(least lead, most lead, which bodies, hash): the bytes that all windows with these leads have in common, of the bodies that have
+    such windows. Equal windows have the same lead, and so an equal core."""
+    step = max(1, min(CORE_STEP, length // 4))
+    for low in range(0, length - gram + 1, step):
+        high = low + step - 1
+        own = np.flatnonzero((lead >= low) & (lead - windows < high))
+        anchor = start[own] + lead[own]
+        yield low, high, own, mix(slices(anchor - low, anchor - high + length) + key[own].view(np.uint64) * np.uint64(3) + np.uint64(low * 7919 + 1)).view(np.int64)
 
 
 def bitmap(tags: DataFrame) -> np.ndarray:
@@ -138,8 +163,8 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, length: int, gram: int, bits: np.ndarray) -> DataFrame:
-    """Bodies whose key has a bit, each once a batch, for its earliest place there. The others are repeated: their
-    windows are put out as runs of bytes (lead -1, windows: the number of bytes), with the document's hash as key."""
+    """Bodies whose key has a bit. One that occurs COMBINED times or more in a batch comes once, for its earliest place there. The others
+    of it are repeated: their windows are put out as runs of bytes (lead -1, windows: the number of bytes), with the document's hash as key."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
@@ -167,8 +192,10 @@ def occurrences(docs: DataFrame, length: int, gram: int, bits: np.ndarray) -> Da
             new = np.ones(len(text), bool)
             new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
-            later = np.flatnonzero((doc[text] != doc[text[first]]) | (place != place[first]))
-            new = np.flatnonzero(new)
+            often = np.diff(np.append(np.flatnonzero(new), len(text))) >= COMBINED
+            often = np.repeat(often, np.diff(np.append(np.flatnonzero(new), len(text))))
+            later = np.flatnonzero(often & ((doc[text] != doc[text[first]]) | (place != place[first])))
+            new = np.flatnonzero(new | ~often)
             columns = [key[new], digest[new], None, doc[text[new]], start[new], windows[new], lead[new]]
             yield _batch(columns, ids.take(pa.array(text[new])), names)
             if not len(later):
@@ -223,29 +250,47 @@ def settled(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("key", "digest").sortWithinPartitions("key", "digest", *order).mapInArrow(stream, f"key long, digest long, doc_id {kind.simpleString()}, doc long, start long, end long")
 
 
-def bodies_with_bytes(docs: DataFrame, length: int, gram: int, keys: np.ndarray, tags: np.ndarray) -> DataFrame:
-    """(key, doc_id, doc, start, lead, body) of bodies with a bit for their key and one for their place."""
-    held = docs.sparkSession.sparkContext.broadcast((keys, tags))
+def bodies_with_bytes(docs: DataFrame, length: int, gram: int, keys: np.ndarray, tags: np.ndarray, cores: np.ndarray | None) -> DataFrame:
+    """(key, doc_id, doc, start, lead, body) of bodies with a bit for their key, one for their place and one for a core, without the
+    windows before and behind those with such cores. Without `cores`: (core), the cores of bodies with the first two bits."""
+    held = docs.sparkSession.sparkContext.broadcast((keys, tags, cores))
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, tags = held.value
+        keys, tags, cores = held.value
         for batch in batches:
             ids, doc = batch.column("doc_id").cast(id_type), batch.column("doc").to_numpy()
             for first, offset, data, at in blocks(batch.column("text"), length):
-                text, key, digest, start, windows, lead = bodies_of(data, at, length, gram)
+                if len(data) < length:
+                    continue
+                slices = Slices(data)
+                text, key, digest, start, windows, lead = bodies_of(data, at, length, gram, slices)
                 own = _hit(keys, key)
                 own = own[_hit(tags, key[own] ^ digest[own] ^ doc[first + text[own]] ^ (start - at[text] + offset)[own] << 37)]
                 if not len(own):
                     continue
-                text, key, start, lead, sizes = text[own], key[own], start[own], lead[own], windows[own] + length - 1
+                text, key, start, windows, lead = (x[own] for x in (text, key, start, windows, lead))
+                if cores is None:
+                    for *_, core in cores_of(slices, key, start, windows, lead, length, gram):
+                        yield pa.RecordBatch.from_arrays([pa.array(core)], ["core"])
+                    continue
+                least, most = np.full(len(own), length), np.full(len(own), -1)
+                for low, high, some, core in cores_of(slices, key, start, windows, lead, length, gram):
+                    some = some[_hit(cores, core)]
+                    least[some], most[some] = np.minimum(least[some], low), np.maximum(most[some], high)
+                some = np.flatnonzero(most >= 0)
+                text, key, start, windows, lead, least, most = (x[some] for x in (text, key, start, windows, lead, least, most))
+                anchor, first_lead, last_lead = start + lead, np.minimum(lead, most), np.maximum(lead - windows + 1, least)
+                start, lead, sizes = anchor - first_lead, first_lead, first_lead - last_lead + length
+                if not len(text):
+                    continue
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 where = np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])
-                body = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])])
+                body = pa.BinaryArray.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])])
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(first + text)), pa.array(doc[first + text]), pa.array((start - at[text] + offset).astype(np.int32)), pa.array(lead.astype(np.int32)), body], ["key", "doc_id", "doc", "start", "lead", "body"])
 
-    return docs.mapInArrow(emit, f"key long, doc_id {kind.simpleString()}, doc long, start int, lead int, body binary")
+    return docs.mapInArrow(emit, "core long" if cores is None else f"key long, doc_id {kind.simpleString()}, doc long, start int, lead int, body binary")
 
 
 def sorted_repeats(bodies: DataFrame, length: int) -> DataFrame:
@@ -338,7 +383,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     kinds = materialise(firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     keys = bitmap(kinds.select(F.col("key").alias("tag")))
     tags = bitmap(firsts.select(F.expr("key ^ digest ^ doc ^ shiftleft(start, 37)").alias("tag")))
-    texts = bodies_with_bytes(docs, length, gram, keys, tags)
+    # Of an anchor's bodies only those are compared that share a core with another one.
+    cores = bodies_with_bytes(docs, length, gram, keys, tags, None).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    texts = bodies_with_bytes(docs, length, gram, keys, tags, bitmap(cores.select(F.col("core").alias("tag"))))
     hot = kinds.where(F.col("kinds") > hot_bodies).select("key")
     n_hot, n_bodies = kinds.agg(F.count_if(F.col("kinds") > hot_bodies), F.sum("kinds")).first()
     shards = max(1, -(-(n_bodies or 0) * 2 * length // SHARD_BYTES))
