@@ -162,6 +162,13 @@ def parse_scale_spec(spec: str) -> tuple[str, str | None]:
     return (spec, None) if spec in known else ("default", spec)
 
 
+def scale_spec(spec: Column) -> tuple[Column, Column]:
+    """parse_scale_spec of a column: (strategy, kind)."""
+    both, alone = spec.contains("+"), spec.isin("default", "last_round", "all")
+    strategy = F.when(both, F.substring_index(spec, "+", 1)).when(alone, spec).otherwise("default")
+    return strategy, F.when(both, F.substring(spec, F.locate("+", spec) + 1, F.length(spec))).when(~alone, spec)
+
+
 def path_fields(path: Column) -> dict[str, Column]:
     """What a result path tells: ratio, seed, method, and whether super rows are kept."""
     return {

@@ -87,10 +87,9 @@ def weighted_merge(elements: DataFrame, key: list[str], pos: str, x: str, weight
     return elements.groupBy(*key, pos).agg((F.sum(F.col(x) * F.col(weight)) / (F.sum(weight) + eps)).alias("merged"))
 
 
-def sign_mask(x: Column, by: list[str], method: str = "sum") -> Column:
-    """The agreed sign: of the sum, or of the count of signs."""
-    w = W.partitionBy(*by)
-    return F.sign(F.sum(x).over(w) if method == "sum" else F.sum(F.sign(x)).over(w))
+def agreed_signs(elements: DataFrame, by: list[str], x: str, method: str = "sum", name: str = "sign") -> DataFrame:
+    """(by..., name): the agreed sign of each element, of the sum of its values or of the count of their signs."""
+    return elements.groupBy(*by).agg(F.sign(F.sum(x) if method == "sum" else F.sum(F.sign(F.col(x)))).alias(name))
 
 
 def ties_merge(elements: DataFrame, key: list[str], model: str, pos: str, delta: str, density: float, weight: float = 1.0) -> DataFrame:
@@ -98,7 +97,7 @@ def ties_merge(elements: DataFrame, key: list[str], model: str, pos: str, delta:
     w = W.partitionBy(*key, model)
     rank = F.row_number().over(w.orderBy(F.abs(F.col(delta)).desc(), F.col(pos)))
     kept = elements.withColumn("_d", F.when(rank <= F.ceil(F.count(F.lit(1)).over(w) * density), F.col(delta)).otherwise(0.0))
-    kept = kept.withColumn("_s", sign_mask(F.col("_d"), [*key, pos]))
+    kept = kept.join(agreed_signs(kept, [*key, pos], "_d", name="_s"), [*key, pos])
     agree = (F.sign("_d") == F.col("_s")) & (F.col("_d") != 0)
     return kept.groupBy(*key, pos).agg(F.coalesce(F.avg(F.when(agree, F.col("_d"))), F.lit(0.0)).alias("m")).select(*key, pos, (F.col("m") * weight).alias("merged"))
 
@@ -112,8 +111,7 @@ def sce_merge(elements: DataFrame, key: list[str], model: str, pos: str, delta:
     energy = rows.groupBy(*key, model).agg(F.sum(F.col(delta) * F.col(delta)).alias("_e"))
     energy = energy.withColumn("_w", F.col("_e") / F.sum("_e").over(W.partitionBy(*key)))
     rows = rows.join(energy.select(*key, model, "_w"), [*key, model])
-    agree = F.sign(F.col(delta)) == sign_mask(F.col(delta), [*key, pos])
-    rows = rows.withColumn("_ok", agree)
+    rows = rows.join(agreed_signs(rows, [*key, pos], delta, name="_s"), [*key, pos]).withColumn("_ok", F.sign(F.col(delta)) == F.col("_s"))
     return rows.groupBy(*key, pos).agg(F.coalesce(F.sum(F.when(F.col("_ok"), F.col(delta) * F.col("_w"))) / F.nullif(F.sum(F.when(F.col("_ok"), F.col("_w"))), F.lit(0.0)), F.lit(0.0)).alias("merged"))
 
 

@@ -200,14 +200,19 @@ def label_generation(df: DataFrame, labels: list[str], task: str, pair: bool = F
 
 
 def hashed_choice(options: list[str] | Column, seed: object, *keys: str) -> Column:
-    """One option per row, by hash: the same on every run."""
+    """One option per row, by the order of md5(seed|keys): the same on every engine."""
     array = options if isinstance(options, Column) else F.array(*[F.lit(o) for o in options])
-    return F.get(array, F.pmod(F.xxhash64(F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), F.greatest(F.size(array), F.lit(1)).cast("long")).cast("int"))
+    return F.get(array, (hashed_number(seed, *keys) % F.greatest(F.size(array), F.lit(1))).cast("int"))
+
+
+def hashed_number(seed: object, *keys: str) -> Column:
+    """A number below 2^32 per row."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
 
 
 def grounding_prompt(df: DataFrame, key: str, prompts: dict[str, list[tuple[str, str]]], share: float = 0.8, seed: object = 42) -> DataFrame:
     """query and response of a grounding task: language en with `share`, prompt uniform, both by hash."""
-    u = F.pmod(F.xxhash64(F.lit(f"{seed}-lang"), F.col(key).cast("string")), F.lit(10_000)) / 10_000
+    u = hashed_number(f"{seed}-lang", key) % 10_000 / 10_000
     pairs = {lang: hashed_choice(F.array(*[F.struct(F.lit(q).alias("query"), F.lit(r).alias("response")) for q, r in p]), seed, key) for lang, p in prompts.items()}
     return df.withColumn("_p", F.when(u < share, pairs["en"]).otherwise(pairs["zh"])).withColumns({"query": F.col("_p.query"), "response": F.col("_p.response")}).drop("_p")
 

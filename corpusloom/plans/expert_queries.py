@@ -152,8 +152,8 @@ def _(s, d):
 
 @query("mrg03_sign_mask", f"WITH {_EL} SELECT DISTINCT layer, pos::INT AS pos, sign(sum(x) OVER (PARTITION BY layer, pos))::INT AS by_sum, sign(sum(sign(x)) OVER (PARTITION BY layer, pos))::INT AS by_count FROM x")
 def _(s, d):
-    x = F.col("x")
-    return elements(s, d).select("layer", "pos", X.sign_mask(x, ["layer", "pos"]).cast("int").alias("by_sum"), X.sign_mask(x, ["layer", "pos"], "count").cast("int").alias("by_count")).distinct()
+    by_sum, by_count = (X.agreed_signs(elements(s, d), ["layer", "pos"], "x", m, f"by_{m}") for m in ("sum", "count"))
+    return by_sum.join(by_count, ["layer", "pos"]).select("layer", "pos", F.col("by_sum").cast("int").alias("by_sum"), F.col("by_count").cast("int").alias("by_count"))
 
 
 @query("mrg04_sce_merge", f"""WITH {_EL}, q AS (SELECT layer, pos, var_pop(x) AS v FROM x GROUP BY ALL), c AS (SELECT layer, pos FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY v DESC, pos) AS k, count(*) OVER (PARTITION BY layer) AS n FROM q) WHERE k <= ceil(n * 0.5)),

@@ -93,10 +93,15 @@ def _(s, d):
     return rows(s, d).select("doc_id", F.explode(x).alias("x")).select("doc_id", "x.text", "x.weight")
 
 
-@query("txt17_scale_spec", "SELECT * FROM (VALUES ('last_round+react', 'last_round', 'react'), ('all', 'all', NULL), ('react', 'default', 'react')) t(spec, strategy, kind)")
+@query("txt17_scale_spec", """WITH p AS (SELECT event_id, ['last_round+', 'all+', 'default+', '', 'all', 'last_round'][event_id % 6 + 1] || CASE WHEN event_id % 6 < 4 THEN event_type ELSE '' END AS spec FROM events)
+ SELECT event_id, CASE WHEN contains(spec, '+') THEN split_part(spec, '+', 1) WHEN spec IN ('default', 'last_round', 'all') THEN spec ELSE 'default' END AS strategy,
+  CASE WHEN contains(spec, '+') THEN split_part(spec, '+', 2) WHEN spec IN ('default', 'last_round', 'all') THEN NULL ELSE spec END AS kind FROM p""")
 def _(s, d):
-    specs = ("last_round+react", "all", "react")
-    return s.createDataFrame([(x, *T.parse_scale_spec(x)) for x in specs], "spec string, strategy string, kind string")
+    """Specifications of both parts, of a type alone and of a strategy alone."""
+    k = F.col("event_id") % 6
+    spec = F.concat(F.get(F.array(*map(F.lit, ("last_round+", "all+", "default+", "", "all", "last_round"))), k.cast("int")), F.when(k < 4, F.col("event_type")).otherwise(""))
+    strategy, kind = T.scale_spec(spec)
+    return table(s, d, "events").select("event_id", strategy.alias("strategy"), kind.alias("kind"))
 
 
 @query("txt21_json_or_literal", f"WITH {_D} SELECT doc_id, lang AS a FROM d")
@@ -162,11 +167,12 @@ def _(s, d):
     return x.select(x.objects["ref"][0].alias("ref"), x.objects["bbox"][0][0].alias("x"))
 
 
-@query("map47_ocrvqa", f"WITH {_D} SELECT true AS paired FROM d")
+@query("map47_ocrvqa", f"WITH {_D}, h AS (SELECT *, ('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT % 3 + 1 AS k FROM d) SELECT ['lang?', 'source?', 'size?'][k] AS question, [lang, source, n_chars::VARCHAR][k] AS answer, count(*) AS n FROM h GROUP BY ALL")
 def _(s, d):
     """The picked question keeps its own answer."""
-    x = P.ocrvqa(rows(s, d).select("doc_id", F.array("lang", "source").alias("questions"), F.array("lang", "source").alias("answers")), "doc_id")
-    return x.select((x.messages[0]["content"] == x.messages[1]["content"]).alias("paired"))
+    q, a = F.array(F.lit("lang?"), F.lit("source?"), F.lit("size?")), F.array("lang", "source", F.col("n_chars").cast("string"))
+    x = P.ocrvqa(rows(s, d).select("doc_id", q.alias("questions"), a.alias("answers")), "doc_id")
+    return x.select(x.messages[0]["content"].alias("question"), x.messages[1]["content"].alias("answer")).groupBy("question", "answer").agg(F.count("*").alias("n"))
 
 
 @query("udx01_row_function", f"WITH {_D} SELECT doc_id, i::BIGINT AS part FROM d, (SELECT unnest([0, 1]) AS i) WHERE doc_id % 3 > 0")
@@ -176,9 +182,14 @@ def _(s, d):
     return plugins.map_rows(rows(s, d).select("doc_id"), f, "doc_id long, part long")
 
 
-@query("udx03_reward_registry", f"WITH {_D} SELECT doc_id, 0.0::DOUBLE AS format FROM d")
+@query("udx03_reward_registry", f"""WITH {_D}, c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think>' || t || '</think> <answer>' || lang || '</answer>' WHEN 1 THEN '<think>' || t || '</think>' WHEN 2 THEN '<think>' || t || '</think><answer>' || lang || '</answer>' || source ELSE t END AS c FROM d)
+ SELECT doc_id, regexp_full_match(c, '<think>.*?</think>\\s*<answer>.*?</answer>', 's')::INT::DOUBLE AS format FROM c""")
 def _(s, d):
-    return rows(s, d).select("doc_id", plugins.REWARDS["format"](F.col("t")).alias("format"))
+    """A reward by name, over completions that meet the format, lack the answer, go on behind it or are plain text."""
+    k, think = F.col("doc_id") % 4, F.concat(F.lit("<think>"), "t", F.lit("</think>"))
+    answer = F.concat(F.lit("<answer>"), "lang", F.lit("</answer>"))
+    c = F.when(k == 0, F.concat(think, F.lit(" "), answer)).when(k == 1, think).when(k == 2, F.concat(think, answer, F.col("source"))).otherwise(F.col("t"))
+    return rows(s, d).select("doc_id", plugins.REWARDS["format"](c).alias("format"))
 
 
 @query("udx06_metric_registry", "SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY event_type")

@@ -158,13 +158,18 @@ def _(s, d):
     return packing.pack(rows, "doc_id", F.col("lengths"), 8192, shards=4).select("shard", "doc_id", "pack_id")
 
 
-@query("pck04_pack_concat", r"SELECT sum(len(regexp_extract_all(text, '[^ \t\n\r\x0b\f]+')))::BIGINT AS n_ids, 0::BIGINT AS first_positions FROM documents")
+_TOKENS = r"regexp_extract_all(text, '[^ \t\n\r\x0b\f]+')"
+
+
+@query("pck04_pack_concat", f"""WITH k AS ({_packs_sql(f"len({_TOKENS})", "4")}), j AS (SELECT k.shard, k.pack_id, d.doc_id, {_TOKENS} AS w FROM k JOIN documents d USING (doc_id))
+ SELECT shard, pack_id, md5(string_agg(array_to_string(w, ' '), ' ' ORDER BY len(w) DESC, doc_id) FILTER (len(w) > 0)) AS ids, sum(len(w))::BIGINT AS n_ids, sum(len(w) * (len(w) - 1) // 2)::BIGINT AS positions FROM j GROUP BY ALL""")
 def _(s, d):
     from corpusloom.functions.text import words
 
     rows = table(s, d, "documents").select("doc_id", "n_chars", words(F.col("text")).alias("ids"))
-    p = packing.concatenated(packing.pack(rows, "doc_id", F.size("ids"), 1024, shards=4), rows, "doc_id", "ids")
-    return p.agg(F.sum(F.size("ids")).alias("n_ids"), F.max(F.get("positions", 0)).cast("long").alias("first_positions"))
+    p = packing.concatenated(packing.pack(rows, "doc_id", F.size("ids"), 8192, shards=4), rows, "doc_id", "ids")
+    ids = F.when(F.size("ids") > 0, F.md5(F.array_join("ids", " "))).alias("ids")
+    return p.select("shard", "pack_id", ids, F.size("ids").cast("long").alias("n_ids"), F.aggregate("positions", F.lit(0).cast("long"), lambda t, x: t + x).alias("positions"))
 
 
 @query("pck05_sequential_fill", "WITH a AS (SELECT doc_id, n_chars, lang, coalesce(sum(n_chars + 1) OVER (PARTITION BY lang ORDER BY md5('1|' || doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM documents) SELECT doc_id, lang AS shard, p // 4096 AS sample, p % 4096 AS start, least(n_chars, 4096 - p % 4096) AS taken FROM a")

@@ -193,11 +193,17 @@ def _(s, d):
     return x.select("doc_id", x.images[0]["path"].alias("path"), F.size("videos").cast("long").alias("n_videos"))
 
 
-@query("prj14_grounding_mix")
+def _hash_sql(text: str) -> str:
+    """A number below 2^32 by md5."""
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+
+
+@query("prj14_grounding_mix", f"""WITH h AS (SELECT doc_id, {_hash_sql("'42-lang|' || doc_id")} % 10000 AS u, {_hash_sql("'42|' || doc_id")} AS h FROM documents)
+ SELECT doc_id, CASE WHEN u < 8000 THEN ['find it', 'where?'][h % 2 + 1] ELSE ['在哪', '哪里', '指出'][h % 3 + 1] END AS query, CASE WHEN u < 8000 THEN ['here', 'there'][h % 2 + 1] ELSE ['这里', '那里', '此处'][h % 3 + 1] END AS response FROM h""")
 def _(s, d):
     """Languages mixed 0.8 to 0.2 by hash, and a prompt of each."""
-    x = N.grounding_prompt(rows(s, d), "doc_id", {"en": [("find it", "here"), ("where?", "there")], "zh": [("在哪", "这里")]})
-    return x.groupBy("query").agg(F.count("*").alias("n"))
+    prompts = {"en": [("find it", "here"), ("where?", "there")], "zh": [("在哪", "这里"), ("哪里", "那里"), ("指出", "此处")]}
+    return N.grounding_prompt(table(s, d, "documents").select("doc_id"), "doc_id", prompts).select("doc_id", "query", "response")
 
 
 @query("prj17_standard_inputs", f"WITH {_D} SELECT source AS system, md5('user:' || t || '|tool:' || lang) AS m, '{{\"note\":\"' || lang || '\"}}' AS extra FROM d".replace("{{", "{").replace("}}", "}"))

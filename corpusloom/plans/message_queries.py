@@ -182,12 +182,21 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("length"))
 
 
-@query("txt11_react_calls", "SELECT conv_id, turn, 'lookup' AS name, text AS arguments FROM conversations WHERE role = 'assistant' AND text NOT LIKE '%Action:%' AND text = trim(text)")
+_REACT = r"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN e'Thought: hm\nAction:  lookup \nAction Input: ' || text || e'\nObservation: none' WHEN 1 THEN e'Action: a\nAction Input:  \t' || text || e' \n\nAction: b\nAction Input: ' || role
+   WHEN 2 THEN e'Action: one\nAction Input: {}\nObservation: Action Input: no\nThought: again\nAction: two\nAction Input: ' || text ELSE text || e'\nAction: without input' END AS r FROM conversations),
+ p AS (SELECT conv_id, turn, unnest(string_split_regex(r, 'Action:\s*')[2:]) AS p FROM t WHERE r LIKE '%Action:%')
+ SELECT conv_id, turn, regexp_replace(split_part(p, e'\nAction Input:', 1), '^\s+|\s+$', '', 'g') AS name, regexp_replace(regexp_replace(split_part(p, e'\nAction Input:', 2), '(?s)\nObservation:.*', ''), '^\s+|\s+$', '', 'g') AS arguments
+ FROM p WHERE contains(p, e'\nAction Input:')"""
+
+
+@query("txt11_react_calls", _REACT)
 def _(s, d):
-    """Tool calls parsed back from a rendered turn."""
-    t = table(s, d, "conversations").where("role = 'assistant' AND text NOT LIKE '%Action:%' AND text = trim(text)")
-    calls = T.tool_calls(F.concat(F.lit("Thought: hm\nAction: lookup\nAction Input: "), "text", F.lit("\nObservation: none")), "react")
-    return t.select("conv_id", "turn", F.explode(calls).alias("c")).select("conv_id", "turn", "c.name", "c.arguments")
+    """Tool calls parsed back from whole turns: blanks around names and inputs, two calls, observations between, a call without input."""
+    k, text = F.col("turn") % 4, F.col("text")
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    r = F.when(k == 0, joined("Thought: hm\nAction:  lookup \nAction Input: ", text, "\nObservation: none")).when(k == 1, joined("Action: a\nAction Input:  \t", text, " \n\nAction: b\nAction Input: ", F.col("role")))
+    r = r.when(k == 2, joined("Action: one\nAction Input: {}\nObservation: Action Input: no\nThought: again\nAction: two\nAction Input: ", text)).otherwise(joined(text, "\nAction: without input"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.explode(T.tool_calls(r, "react")).alias("c")).select("conv_id", "turn", "c.name", "c.arguments")
 
 
 @query("txt12_hermes_calls", "SELECT event_id, 'f' || user_id AS name, '{\"v\":' || (event_id % 10) || '}' AS arguments FROM events")

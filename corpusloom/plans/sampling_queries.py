@@ -42,11 +42,12 @@ def _(s, d):
     return smp.with_rank(docs(s, d), [smp.hashed(42, "doc_id"), F.col("doc_id")], "place").select("doc_id", "place")
 
 
-@query("smp05_interleave", """WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'de')),
- m AS (SELECT *, k / CASE lang WHEN 'en' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS o, n / CASE lang WHEN 'en' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS e FROM a) SELECT doc_id, lang, round(o, 6) AS mix_order FROM m WHERE o <= (SELECT min(e) FROM m) + 1e-9""")
+@query("smp05_interleave", """WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+ b AS (SELECT *, CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.25::DOUBLE WHEN 'fr' THEN 0.15::DOUBLE ELSE 0.1::DOUBLE END AS p FROM a), m AS (SELECT *, k / p AS o, n / p AS e FROM b) SELECT doc_id, lang, round(o, 6) AS mix_order FROM m WHERE o <= (SELECT min(e) FROM m) + 1e-9""")
 def _(s, d):
     df = docs(s, d).select("doc_id", "lang")
-    return smp.interleave([df.where("lang = 'en'"), df.where("lang = 'de'")], [0.7, 0.3], "doc_id").select("doc_id", "lang", r6("mix_order", "mix_order"))
+    parts = [df.where(F.col("lang") == x) for x in ("en", "de", "fr", "es")]
+    return smp.interleave(parts, [0.5, 0.25, 0.15, 0.1], "doc_id").select("doc_id", "lang", r6("mix_order", "mix_order"))
 
 
 @query("smp06_concat", "SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark")

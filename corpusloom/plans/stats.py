@@ -267,12 +267,13 @@ def _dists(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", agg.softmax(F.slice(e, 1, 32)).alias("p"), agg.softmax(F.slice(e, 33, 32)).alias("q"))
 
 
-_ENT = f"WITH {_DIST} SELECT vec_id, round(-list_sum([x * ln(x) FOR x IN p]), 6) AS entropy FROM s"
+_ENT = "WITH e AS (SELECT vec_id, [exp(x) FOR x IN embedding::DOUBLE[]] AS e FROM embeddings), p AS (SELECT vec_id, [x / list_sum(e) FOR x IN e] AS p FROM e) SELECT vec_id, round(-list_sum([x * ln(x) FOR x IN p]), 6) AS entropy FROM p"
 
 
 @query("agg24_softmax_entropy", _ENT)
 def _(s, d):
-    return _dists(s, d).select("vec_id", r6(agg.entropy(F.col("p")), "entropy"))
+    e = agg.softmax(F.col("embedding").cast("array<double>"))
+    return table(s, d, "embeddings").select("vec_id", r6(agg.entropy(e), "entropy"))
 
 
 @query("agg38_logits_entropy", "WITH z AS (SELECT vec_id, [8 * x FOR x IN embedding::DOUBLE[]] AS z FROM embeddings), p AS (SELECT vec_id, z, ln(list_sum([exp(x) FOR x IN z])) AS lse FROM z) SELECT vec_id, round(list_sum([exp(x - lse) * (lse - x) FOR x IN z]), 6) AS entropy FROM p")
