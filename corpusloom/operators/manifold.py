@@ -29,6 +29,11 @@ def _plus(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a + b)
 
 
+def _over(x: Column | float, y: Column) -> Column:
+    """x / y, null where y is 0."""
+    return F.try_divide(x if isinstance(x, Column) else F.lit(x), y)
+
+
 def _vector_sum(x: Column, weight: Column, size: int) -> Column:
     return F.array(*[F.sum(F.get(x, i) * weight) for i in range(size)])
 
@@ -59,10 +64,10 @@ def karcher_mean(df: DataFrame, key: str, order: str, vector: str, weight: Colum
     if not size:
         return df.sparkSession.createDataFrame([], f"{key} {dict(rows.dtypes)['g']}, merged array<double>, rounds int, residual double")
     scales = rows.groupBy("g").agg(F.sum(F.col("w") * F.col("n")).alias("scale"), F.count("*").alias("many"), F.min_by("v", "o").alias("only"))
-    some = rows.where(F.col("n") > tol).withColumn("u", _scaled(F.col("v"), 1 / F.col("n")))
+    some = rows.where(F.col("n") > tol).withColumn("u", _scaled(F.col("v"), _over(1.0, F.col("n"))))
     state = some.groupBy("g").agg(_vector_sum(F.col("u"), F.col("w"), size).alias("m"), F.sum("w").alias("all"), F.min_by("u", "o").alias("first"))
-    state = state.withColumn("m", _scaled(F.col("m"), 1 / F.col("all"))).withColumn("l", _norm(F.col("m")))
-    mean = F.when(F.col("l") < tol, F.col("first")).otherwise(_scaled(F.col("m"), 1 / F.col("l")))
+    state = state.withColumn("m", _scaled(F.col("m"), _over(1.0, F.col("all")))).withColumn("l", _norm(F.col("m")))
+    mean = F.when(F.col("l") < tol, F.col("first")).otherwise(_scaled(F.col("m"), _over(1.0, F.col("l"))))
     state = _written(state.select("g", "all", mean.alias("mean"), F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("residual"), F.lit(False).alias("done")), "means")
     for _ in range(max_rounds):
         open_ = state.where("NOT done").select("g", "all", "mean")
@@ -70,14 +75,14 @@ def karcher_mean(df: DataFrame, key: str, order: str, vector: str, weight: Colum
             break
         dot = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(F.col("u"), F.col("mean"))))
         angled = some.join(open_, "g").withColumn("c", dot).withColumn("t", F.acos("c"))
-        pull = F.when(F.col("t") < tol, 0.0).otherwise(F.col("w") / F.col("all") * F.col("t") / F.sin("t"))
+        pull = F.when(F.col("t") < tol, 0.0).otherwise(_over(F.col("w") * F.col("t"), F.col("all") * F.sin("t")))
         sums = angled.withColumn("p", pull).groupBy("g").agg(_vector_sum(F.col("u"), F.col("p"), size).alias("s"), F.sum(F.col("p") * F.col("c")).alias("b"))
         step = state.join(sums, "g", "left").withColumn("tangent", F.zip_with("s", "mean", lambda s, m: s - F.col("b") * m)).withColumn("length", _norm(F.col("tangent")))
         far = ~F.col("done") & (F.col("length") >= tol)
-        moved = _plus(_scaled(F.col("mean"), F.cos("length")), _scaled(F.col("tangent"), F.sin("length") / F.col("length")))
+        moved = _plus(_scaled(F.col("mean"), F.cos("length")), _scaled(F.col("tangent"), _over(F.sin("length"), F.col("length"))))
         moved = step.withColumn("moved", moved).withColumn("l", _norm(F.col("moved")))
         state = _written(
-            moved.select("g", "all", F.when(far, _scaled(F.col("moved"), 1 / F.col("l"))).otherwise(F.col("mean")).alias("mean"), (F.col("rounds") + far.cast("int")).alias("rounds"), F.coalesce("length", "residual").alias("residual"), (~far).alias("done")),
+            moved.select("g", "all", F.when(far, _scaled(F.col("moved"), _over(1.0, F.col("l")))).otherwise(F.col("mean")).alias("mean"), (F.col("rounds") + far.cast("int")).alias("rounds"), F.coalesce("length", "residual").alias("residual"), (~far).alias("done")),
             "means",
         )
     zero = F.array_repeat(F.lit(0.0), size)
@@ -94,15 +99,15 @@ def multi_slerp(df: DataFrame, key: str, order: str, vector: str, weight: Column
     rows, size = _rows(df, key, order, vector, weight)
     if not size:
         return df.sparkSession.createDataFrame([], f"{key} {dict(rows.dtypes)['g']}, merged array<double>")
-    rows = rows.withColumn("u", _scaled(F.col("v"), 1 / (F.col("n") + eps)))
+    rows = rows.withColumn("u", _scaled(F.col("v"), _over(1.0, F.col("n") + eps)))
     per = rows.groupBy("g").agg(
         F.sum("w").alias("all"), F.count("*").alias("many"), F.min_by("v", "o").alias("only"), _vector_sum(F.col("u"), F.col("w"), size).alias("m"), _vector_sum(F.col("v"), F.col("w"), size).alias("plain"), F.sum(F.col("w") * F.col("n")).alias("length")
     )
-    per = per.withColumn("m", _scaled(F.col("m"), 1 / F.col("all"))).withColumn("l", _norm(F.col("m")))
-    per = _written(per.withColumn("mean", _scaled(F.col("m"), 1 / F.col("l"))).drop("m"), "means")
-    dots = rows.join(per.select("g", "mean", "all"), "g").withColumn("c", _dot(F.col("u"), F.col("mean"))).withColumn("s", F.col("w") / F.col("all"))
+    per = per.withColumn("m", _scaled(F.col("m"), _over(1.0, F.col("all")))).withColumn("l", _norm(F.col("m")))
+    per = _written(per.withColumn("mean", _scaled(F.col("m"), _over(1.0, F.col("l")))).drop("m"), "means")
+    dots = rows.join(per.select("g", "mean", "all"), "g").withColumn("c", _dot(F.col("u"), F.col("mean"))).withColumn("s", _over(F.col("w"), F.col("all")))
     sums = dots.groupBy("g").agg(_vector_sum(F.col("u"), F.col("s"), size).alias("t"), F.sum(F.col("s") * F.col("c")).alias("b"))
     out = per.join(sums, "g").withColumn("t", F.zip_with("t", "mean", lambda t, m: t - F.col("b") * m)).withColumn("angle", _norm(F.col("t")) + eps)
-    back = _plus(_scaled(F.col("mean"), F.cos("angle")), _scaled(F.col("t"), F.sin("angle") / F.col("angle")))
-    merged = F.when(F.col("many") == 1, F.col("only")).when(F.col("l") >= eps, _scaled(back, F.col("length") / F.col("all"))).when(F.col("many") == 2, _scaled(F.col("plain"), 1 / F.col("all")))
+    back = _plus(_scaled(F.col("mean"), F.cos("angle")), _scaled(F.col("t"), _over(F.sin("angle"), F.col("angle"))))
+    merged = F.when(F.col("many") == 1, F.col("only")).when(F.col("l") >= eps, _scaled(back, _over(F.col("length"), F.col("all")))).when(F.col("many") == 2, _scaled(F.col("plain"), _over(1.0, F.col("all"))))
     return out.select(F.col("g").alias(key), merged.alias("merged"))
