@@ -9,12 +9,13 @@ pair. It is computed in blocks, and only in blocks that can hold a pair above th
    size class), two linked sets agree wholly on some part. A node emits a key for each of its parts,
    a hash of all its n-grams there; keys that are shared make candidate blocks. A passage that many
    documents hold does not fill a part by itself, so frequent n-grams are no hot keys and no statistics
-   of n-grams are needed. The least node of a key, found in each task before the shuffle, stands for it. Parts that are empty in a set carry no key unless a set has so many of them
+   of n-grams are needed. The least node of a key, found in each task before the shuffle, stands for it; a window over the keys then finds the least
+   of all tasks, which sorts one row a key and part of the documents (PART keys): a key that every part holds has as many rows as there are parts. Parts that are empty in a set carry no key unless a set has so many of them
    that they alone could be the agreement; then a prefix of them does, which keeps the join complete.
 3. Refinement. Nodes joined by keys form blocks. In blocks of more than CHUNK nodes the nodes of each key's
    head are compared by sketches (n-grams counted in bins, which bound the overlap from above), and the
    block is cut to what can be linked.
-4. Product. A block of more than CHUNK nodes is cut into chunks, and
+4. Product. A block of more than CHUNK nodes, or CHUNK_BYTES of sets, is cut into chunks, and
    each pair of chunks is a task of its own with bounded size. Overlap counts are accumulated over the
    n-grams that at least two nodes hold, pair by pair where few do and by dense panels where many do; pairs
    whose sizes rule them out, and pairs below the overlap that their sizes demand, are discarded. Of the
@@ -47,6 +48,8 @@ from corpusloom.session import table
 
 #: Nodes of a chunk, columns of a panel, nodes of a task made of small blocks, word hashes that a worker keeps.
 CHUNK, PANEL, UNIT, KEPT = 400, 2048, 2000, 250_000
+#: Bytes of the sets of a chunk, and of a task made of small blocks.
+CHUNK_BYTES, UNIT_BYTES = 16 << 20, 32 << 20
 #: Keys that a worker combines at once.
 PART = 1 << 20
 #: Columns of at most so many rows are added pair by pair.
@@ -282,12 +285,16 @@ def forest(nodes: np.ndarray, on: np.ndarray, chunk: np.ndarray) -> list[tuple[i
     return [(int(nodes[i]), int(nodes[label[i]])) for i in tied if label[i] != i]
 
 
-def verified_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the components within candidate blocks (node, component)."""
-    n_nodes = blocks.count()
-    units = max(1, math.ceil(n_nodes / UNIT))
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    cut = materialise(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "chunks"), "blocks")
+def verified_links(docs: DataFrame, blocks: DataFrame, sizes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the components within candidate blocks (node, component); sizes (doc_id, n) of all sets.
+
+    A block is cut into chunks by its nodes and by the bytes of its sets, and small blocks share tasks up to so many bytes:
+    a pair of chunks, or a unit of small blocks, is a task of bounded memory, but for one set that is larger by itself."""
+    sized = materialise(blocks.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node"), "sized-blocks")
+    n_nodes, n_bytes = sized.agg(F.count("*"), 8 * F.sum("n")).first()
+    units = max(1, math.ceil(n_nodes / UNIT), math.ceil((n_bytes or 0) / UNIT_BYTES))
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(8 * F.sum("n") / CHUNK_BYTES)).cast("int").alias("chunks")
+    cut = materialise(blocks.join(sized.groupBy("component").agg(chunks), "component").select(F.col("node").alias("doc_id"), "component", "chunks"), "blocks")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(width)
@@ -400,7 +407,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     if large.limit(1).count():
         rest = blocks.join(large.select("component").distinct(), "component", "left_anti")
         blocks = materialise(rest.unionByName(components(refined(docs, pairs, large, width, num, den))), "refined-blocks")
-    found = materialise(verified_links(docs, blocks, width, num, den), "links")
+    found = materialise(verified_links(docs, blocks, real.select("doc_id", "n"), width, num, den), "links")
     labels = components(found)
     # Copies go with their node, a node with its component.
     groups = twins.join(broadcast_if_small(labels), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
