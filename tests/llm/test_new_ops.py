@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import collocations, induced, repeats, resampling
+from corpusloom.llm import collocations, decontam, induced, line_dedup, ngram_jaccard, quality, repeats, resampling, secrets, stages
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of to and red blue green house tree river stone cloud light dark small large walk run sing song".split()
@@ -248,3 +248,72 @@ def test_crc_of_slices():
     got = resampling.crc32(np.frombuffer(data, np.uint8), starts, sizes)
     assert got.tolist() == [zlib.crc32(data[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
     assert resampling.crc32(np.frombuffer(data, np.uint8), starts, sizes, got).tolist() == [zlib.crc32(data[a : a + n] * 2) for a, n in zip(starts, sizes, strict=True)]
+
+
+def test_tasks_of_few_very_long_sets(spark, monkeypatch):
+    """Blocks cut by bytes: the same components as all pairs."""
+    monkeypatch.setattr(ngram_jaccard, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(ngram_jaccard, "UNIT_BYTES", 1 << 12)
+    r, rows = random.Random(21), []
+    for g in range(4):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([60, 4000]))]
+        for k in range(9):
+            words = list(base)
+            for at in r.sample(range(len(words)), len(words) // 150 * (k % 4)):
+                words[at] = f"x{r.randint(0, 10**6)}"
+            rows.append((100 * g + k, " ".join(words)))
+    rows += [(900 + k, prose(k + 500, 30)) for k in range(6)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.lower().split()]}
+    label = {i: i for i in sets}
+    for _ in range(len(rows)):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_null_item_ids(spark):
+    item = " ".join(f"word{k}" for k in range(30))
+    bench = spark.createDataFrame([(None, item), (3, item), (None, "other words entirely here now"), (2, None)], "item_id long, text string")
+    got = decontam.contamination(spark.createDataFrame([(1, f"so {item} it is")], "doc_id long, text string"), bench, block_tokens=1_000_000).collect()
+    assert sorted(((r.item_id, r.n_matched) for r in got), key=repr) == [(3, 30), (None, 30)]
+    assert stages.decontamination.__doc__
+
+
+def test_blocks_count_words_of_any_script(spark):
+    bench = spark.createDataFrame([(k, "слово дело место время рука глаз день " * 4) for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "слово дело место время рука глаз день " * 4), (2, "нет")], "doc_id long, text string")
+    many = decontam.contamination(docs, bench, block_tokens=30)
+    assert {(r.doc_id, r.item_id) for r in many.collect()} == {(1, k) for k in range(6)}
+
+
+def test_hosts_of_many_labels():
+    host = "a.b.c.d.e.f.g-h.example.com:5432"
+    text = f"user = someone\npassword = hunter22x\nhost {host}\n"
+    spans = secrets.linked_spans(text, secrets.base_spans(text), None)
+    assert ("endpoint", text.index(host), text.index(host) + len(host)) in spans
+    for bad in ("a..b:80", "-a.b:80", "ab:8080", "a.-b:80", "x" * 64 + ".com:443"):
+        odd = f"user = someone\npassword = hunter22x\nhost {bad}\n"
+        assert not any(k == "endpoint" for k, *_ in secrets.linked_spans(odd, secrets.base_spans(odd), None)), bad
+
+
+def test_line_dedup_of_an_id_with_several_texts(spark):
+    rows = [(7, f"boiler line\nown {k}", f"s{k}") for k in range(12)] + [(8, "boiler line\nown 1", "s1")]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r.n_removed for r in out) == 12 and sum("boiler" in r.text for r in out) == 1
+    assert next(r.n_removed for r in out if r.doc_id == 8) == 1
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    a, b, c = prose(901, 80), prose(902, 80), prose(903, 80)
+    rows = [(1, a), (2, a), (2, b), (3, c), (4, b), (None, c), (5, ""), (6, None), (6, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    kept = sorted(((r.doc_id, r.text) for r in stages.near_duplicates(spark, df, "").collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (3, c), (None, c), (5, ""), (6, None)], key=repr)
+
+
+def test_score_takes_a_free_name(docs):
+    """A column that is called as the score stays what it is."""
+    assert "score" in docs.columns and quality.free_name(docs, "score") != "score" and quality.free_name(docs.drop("score"), "score") == "score"
