@@ -50,6 +50,15 @@ def sample(df: DataFrame, n: int, key: str, seed: object = 42, shuffle: bool = T
     return out.unionByName(df.orderBy(*order).limit(rest)) if rest else out
 
 
+def calibration_windows(df: DataFrame, key: str, ids: str, length: int, n: int, seed: object = 42) -> DataFrame:
+    """(key, start, ids): n sequences of `length` tokens, each from a random place of one of the first n rows, in hashed order, that are long enough."""
+    chosen = df.where(F.size(ids) >= length).select(F.col(key), F.size(ids).alias("_n")).orderBy(hashed(seed, key), key).limit(n)
+    number = F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("long")
+    placed = chosen.select(F.col(key).alias("_k"), (number % (F.col("_n") - length + 1)).alias("start"))
+    found = df.join(F.broadcast(placed), F.col(key) == F.col("_k"))  # n rows
+    return found.select(key, "start", F.slice(ids, F.col("start").cast("int") + 1, F.lit(length)).alias(ids))
+
+
 def split_sizes(length: int, ratio: float, n: int | None = None) -> tuple[int, int]:
     """(train, val) rows: val = max(int(min(length, n) * ratio), 1), train the rest of n."""
     n = length if n is None else n

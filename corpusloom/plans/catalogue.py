@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import expert_queries, extra_queries, io_queries, layout_queries, merge_queries, message_queries, registry, sampling_queries, stats  # noqa: F401  the modules enter their queries
+from corpusloom.plans import expert_queries, extra_queries, io_queries, layout_queries, merge_queries, message_queries, registry, sampling_queries, source_queries, stats  # noqa: F401  the modules enter their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
