@@ -19,10 +19,6 @@ def sample_std(x: Column, window: W) -> Column:
     return F.coalesce(F.stddev_samp(x).over(window), F.lit(0.0))
 
 
-def _whole() -> W:
-    return W.partitionBy(F.lit(0))
-
-
 def with_batch_std(df: DataFrame, column: str, name: str) -> DataFrame:
     """The deviation over all rows, aggregated once and joined as a single row."""
     return df.crossJoin(F.broadcast(df.agg(F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias(name))))

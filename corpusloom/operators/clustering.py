@@ -89,7 +89,7 @@ def multi_layer(distances: DataFrame, layer: str, merges: int) -> DataFrame:
         names, m = _square(pdf)
         return pd.DataFrame({layer: pdf[layer].iloc[0], "expert": names, "cluster": linkage_labels(m, len(names) - int(pdf["merges"].iloc[0]))})
 
-    return distances.join(F.broadcast(allocate(heights, layer, merges)), layer).groupBy(layer).applyInPandas(run, f"{layer} long, expert int, cluster long")
+    return distances.join(allocate(heights, layer, merges), layer).groupBy(layer).applyInPandas(run, f"{layer} long, expert int, cluster long")
 
 
 def lloyd(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -143,7 +143,7 @@ def multi_layer_kmeans(vectors: DataFrame, layer: str, expert: str, vector: str,
         pdf, x = _ordered(pdf, expert, vector)
         return pd.DataFrame({layer: pdf[layer], expert: pdf[expert], "cluster": lloyd(x, max(1, len(x) - int(pdf["merges"].iloc[0])))[0]})
 
-    return vectors.join(F.broadcast(plan), layer).groupBy(layer).applyInPandas(run, f"{layer} long, {expert} int, cluster long")
+    return vectors.join(plan, layer).groupBy(layer).applyInPandas(run, f"{layer} long, {expert} int, cluster long")
 
 
 def cluster_experts(vectors: DataFrame, layer: str, expert: str, vector: str, weight: str, n_clusters: int, metric: str = "cosine", linkage: str = "average", isolated: list[tuple[int, int]] | None = None) -> DataFrame:

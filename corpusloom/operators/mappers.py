@@ -374,6 +374,7 @@ def routed_images(df: DataFrame, routes: tuple = LLAVA_ROUTES, roots: dict[str,
     return N.conversations(_exists(rows, files, "path").withColumn("images", F.array("path")).drop("path", column if column != "images" else "_"))
 
 
+#: The prompts, and the one of speech transcription.
 PIXELPROSE_PROMPTS = ["Give the description of this image.", "Describe this picture", "What is the proper title of this image?"]
 
 
@@ -383,13 +384,16 @@ def pixelprose(df: DataFrame, seed: object = 42) -> DataFrame:
     return qa(df.withColumn("images", F.col("url")), N.hashed_choice(PIXELPROSE_PROMPTS, seed, "url"), caption, None, "images")
 
 
+TRANSCRIBE = "语音转文本"
+
+
 @mapper
 def aishell(df: DataFrame) -> DataFrame:
-    return qa(df, F.lit("语音转文本"), F.replace(F.col("`Text:LABEL`"), F.lit(" "), F.lit("")), None, "audios")
+    return qa(df, F.lit(TRANSCRIBE), F.replace(F.col("`Text:LABEL`"), F.lit(" "), F.lit("")), None, "audios")
 
 
 def _egoschema(df: DataFrame, videos: DataFrame, root: str) -> DataFrame:
-    rows = df.join(F.broadcast(videos.select("video_idx").distinct()), "video_idx", "left_semi")  # a listing of one folder
+    rows = df.join(videos.select("video_idx").distinct(), "video_idx", "left_semi")  # Spark broadcasts a listing that is small enough
     return rows.withColumn("query", F.concat("query", F.lit("\n"), F.array_join("option", "\n"))).withColumn("videos", F.array(F.concat(F.lit(root + "/"), "video_idx", F.lit(".mp4"))))
 
 
@@ -480,7 +484,7 @@ def textcaps_rerank(df: DataFrame, key: str, negatives: int = 7, seed: object =
     lists = pool.withColumn("slot", F.pmod(F.xxhash64("s"), F.lit(min(slots, max(1, pool.count() // (4 * (negatives + most) + 1)))))).withColumn("k", place).where(F.col("k") <= negatives + most)
     n = lists.agg(F.max("slot")).first()[0]
     lists = lists.groupBy("slot").agg(F.collect_list("s").alias("pool"))
-    rows = df.withColumn("slot", F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit((n or 0) + 1))).join(F.broadcast(lists), "slot")  # at most `slots` short lists
+    rows = df.withColumn("slot", F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit((n or 0) + 1))).join(lists, "slot")
     chosen = F.slice(F.array_sort(F.array_except("pool", "response"), lambda a, b: F.when(F.xxhash64(a) < F.xxhash64(b), -1).otherwise(1)), 1, negatives)
     wrap = lambda x: F.array(M.message("user", x))
     return rows.select(key, F.array(M.message("user", F.lit("<image>"))).alias("messages"), F.array(wrap(F.get("response", 0))).alias("positive_messages"), F.transform(chosen, wrap).alias("negative_messages"))

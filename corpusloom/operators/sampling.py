@@ -37,8 +37,8 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: i
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(W.partitionBy("_b").orderBy(*cols)) - 1
-    # At most a few thousand buckets, so the offsets are broadcast.
-    return keyed.join(F.broadcast(offsets), "_b").withColumn(name, (place + F.col("_before")).cast("long")).drop("_b", "_before", *cols)
+    # The window has dealt the rows by bucket, so the join moves only the offsets; Spark broadcasts them if they are few.
+    return keyed.withColumn("_place", place).join(offsets, "_b").withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_b", "_before", "_place", *cols)
 
 
 def sample(df: DataFrame, n: int, key: str, seed: object = 42, shuffle: bool = True) -> DataFrame:
