@@ -130,6 +130,25 @@ def count_misses(misses: DataFrame, name: str, version: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest); null texts are empty."""
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
+
+
+def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """Cache rows of a tokenizer."""
+    return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+
+
+def append_misses(named: DataFrame, name: str, version: str, cache: str) -> None:
+    """Encodes the distinct texts whose digests the cache does not hold, and appends their counts."""
+    spark = named.sparkSession
+    spark.createDataFrame(pd.DataFrame({"tokenizer": [], "digest": [], "n_tokens": []}), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    distinct = named.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(stored_counts(spark, cache, version).select("digest"), "digest", "left_anti")
+    count_misses(misses, name, version).write.mode("append").parquet(cache)
+
+
 def token_counts(docs: DataFrame, name: str = PIECES, cache: str | None = None, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, digest) of every document; new counts are appended to the Parquet table at `cache`.
 
@@ -139,13 +158,9 @@ def token_counts(docs: DataFrame, name: str = PIECES, cache: str | None = None,
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path(name))
     cache = cache or scratch_path(spark, "token-cache")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
-    spark.createDataFrame(pd.DataFrame({"tokenizer": [], "digest": [], "n_tokens": []}), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest")
-    distinct = named.groupBy("digest").agg(F.first("text").alias("text"))
-    count_misses(distinct.join(stored, "digest", "left_anti"), name, version).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    named = named_texts(docs)
+    append_misses(named, name, version, cache)
+    counts = stored_counts(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = materialise(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     many = rows.groupBy("digest").count().where(F.col("count") >= max(HOT, math.ceil(HOT_SHARE * rows.count())))
     hot = materialise(counts.join(many, "digest").select(F.col("digest").alias("hot"), F.col("n_tokens").alias("hot_tokens")), "hot-counts")
@@ -157,5 +172,11 @@ def token_counts(docs: DataFrame, name: str = PIECES, cache: str | None = None,
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every whole document by the 32k piece model."""
-    return token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    """Token counts of every whole document by the 32k piece model.
+
+    As in a corpus that grew since the last run, the cache holds something when the documents are counted: a first run has put in the
+    texts whose digests are in the lower half of their range. The second run finds those and encodes the others only."""
+    docs = table(spark, sf_dir, "documents")
+    cache = scratch_path(spark, "token-cache")
+    append_misses(named_texts(docs).where(F.hex("digest") < "8"), PIECES, tokenizer_digest(tokenizer_path(PIECES)), cache)
+    return token_counts(docs, cache=cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
