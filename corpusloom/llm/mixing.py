@@ -74,12 +74,12 @@ def _due(words: Column) -> Column:
 def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, budget: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """One row per document with its size, its source's target, words taken and training positions.
 
-    A source's documents are dealt in the order of md5(seed|doc_id), again and again until its target
+    A source's documents are dealt in the order of md5(seed|doc_id) (a hash of the text where the id is null), again and again until its target
     is met; the last document of the last pass gives a part. taken: words given over all passes.
     position: the share of training at which the document is first read (null if never), repeat_position:
     at which its second pass begins (null if none). The result is range-sorted by position.
     """
-    dealt = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    dealt = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string")))))
     # Texts are read once: what follows needs their sizes only, in a table of some tens of bytes a row.
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), dealt.alias("dealt")), "sizes")
     n = sized.count()
