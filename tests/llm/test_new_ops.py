@@ -317,3 +317,17 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
 def test_score_takes_a_free_name(docs):
     """A column that is called as the score stays what it is."""
     assert "score" in docs.columns and quality.free_name(docs, "score") != "score" and quality.free_name(docs.drop("score"), "score") == "score"
+
+
+def test_second_run_encodes_only_misses(docs, tmp_path):
+    from corpusloom.llm import token_counts as tc
+
+    cache, version = str(tmp_path / "cache"), tc.tokenizer_digest(tc.tokenizer_path(tc.PIECES))
+    tc.append_misses(tc.named_texts(docs).where(F.hex("digest") < "8"), tc.PIECES, version, cache)
+    first = {bytes(r.digest) for r in tc.stored_counts(docs.sparkSession, cache, version).collect()}
+    got = tc.token_counts(docs, cache=cache).collect()
+    after = [bytes(r.digest) for r in tc.stored_counts(docs.sparkSession, cache, version).collect()]
+    assert len(after) == len(set(after)) == len({bytes(r.digest) for r in got}) and first and first < set(after) and all(x[0] < 128 for x in first)
+    counter = tc.counter(tc.tokenizer_path(tc.PIECES))
+    texts = {hashlib.sha256((r.text or "").encode()).digest(): r.text or "" for r in docs.select("text").collect()}
+    assert all(r.n_tokens == counter.count(texts[bytes(r.digest)]) for r in got)
