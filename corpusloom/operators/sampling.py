@@ -17,8 +17,8 @@ def hashed(seed: object, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int = 256) -> DataFrame:
-    """df with the 0-based global rank by `order`.
+def with_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int = 256, uniform: bool = False) -> DataFrame:
+    """df with the 0-based global rank by `order`. uniform: it begins with a hash, so its keys have no common beginning.
 
     Rows fall in buckets that follow the order (three characters of a string key after what all keys begin
     with, quantile cuts of a number); a rank is the bucket's offset plus the row's place in its bucket, so no
@@ -27,7 +27,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: i
     cols = {f"_o{i}": c for i, c in enumerate(order)}
     keyed = df.withColumns(cols)
     if dict(keyed.dtypes)["_o0"] == "string":
-        low, high = keyed.agg(F.min("_o0"), F.max("_o0")).first()
+        low, high = ("", "") if uniform else keyed.agg(F.min("_o0"), F.max("_o0")).first()
         same = len(os.path.commonprefix([low or "", high or ""]))
         bucket = F.coalesce(F.substring("_o0", same + 1, 3), F.lit(""))
     else:
@@ -77,7 +77,7 @@ def split_sizes(length: int, ratio: float, n: int | None = None) -> tuple[int, i
 def train_val_split(df: DataFrame, ratio: float, key: str, n: int | None = None, seed: object = 42) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows, with exact counts; training rows are drawn again from what validation leaves."""
     train, val = split_sizes(df.count(), ratio, n)
-    ranked = with_rank(df, [hashed(seed, key), F.col(key)], "_rank")
+    ranked = with_rank(df, [hashed(seed, key), F.col(key)], "_rank", uniform=True)
     rest = ranked.where(F.col("_rank") >= val).drop("_rank")
     return sample(rest, train, key, seed) if train else df.limit(0), ranked.where(F.col("_rank") < val).drop("_rank")
 
@@ -103,7 +103,7 @@ def interleave(frames: list[DataFrame], probabilities: list[float], key: str, se
     cut = min(ends) if stop == "first_exhausted" else max(ends)
     out = None
     for i, (f, p, c) in enumerate(zip(frames, probabilities, counts, strict=True)):
-        ranked = with_rank(f, [hashed(seed, key), F.col(key)], "_rank")
+        ranked = with_rank(f, [hashed(seed, key), F.col(key)], "_rank", uniform=True)
         if stop != "first_exhausted" and c:
             tiles = int(-(-cut * p // c))
             ranked = ranked.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(max(tiles, 1) - 1)))).withColumn("_rank", F.col("_rank") + F.col("_t") * c).drop("_t")
@@ -139,7 +139,7 @@ def with_shard(df: DataFrame, key: str, world: int, drop_last: bool = True) -> D
 
 def length_grouped(df: DataFrame, key: str, length: str, batch: int, seed: object = 42) -> DataFrame:
     """df with `place`: hashed order cut into mega-batches, each sorted by length, longest first."""
-    ranked = with_rank(df, [hashed(seed, key), F.col(key)], "_r").withColumn("mega", F.floor(F.col("_r") / batch))
+    ranked = with_rank(df, [hashed(seed, key), F.col(key)], "_r", uniform=True).withColumn("mega", F.floor(F.col("_r") / batch))
     w = W.partitionBy("mega").orderBy(F.col(length).desc(), F.col(key))
     return ranked.withColumn("place", F.col("mega") * batch + F.row_number().over(w) - 1).drop("_r")
 

@@ -39,7 +39,7 @@ def _(s, d):
 
 @query("smp04_shuffle", f"WITH {_R} SELECT doc_id, h AS place FROM r")
 def _(s, d):
-    return smp.with_rank(docs(s, d), [smp.hashed(42, "doc_id"), F.col("doc_id")], "place").select("doc_id", "place")
+    return smp.with_rank(docs(s, d), [smp.hashed(42, "doc_id"), F.col("doc_id")], "place", uniform=True).select("doc_id", "place")
 
 
 @query("smp05_interleave", """WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),
