@@ -44,7 +44,7 @@ def take_skip(df: DataFrame, order: str, skip: int, take: int, out: str) -> Call
     return write
 
 
-def run_until(query: StreamingQuery, done: Callable[[int, int], bool], limit: float = 120.0) -> None:
+def run_until(query: StreamingQuery, done: Callable[[int, int], bool], limit: float = 600.0) -> None:
     """Waits until done(rows read in, rows of state left), both of the query's progress so far; TimeoutError beyond `limit` seconds."""
     end, seen, rows = time.monotonic() + limit, -1, 0
     while time.monotonic() < end:
