@@ -81,9 +81,16 @@ def quantile_mask(df: DataFrame, column: str, share: float, by: str | None = Non
     return joined.withColumn("keep", F.coalesce(F.col("_x") >= F.col("_cut"), F.lit(False))).drop("_x", "_cut")
 
 
-def off_policy_keep(tokens: DataFrame, sequence: str, old: str, new: str, advantage: str, delta: float) -> DataFrame:
-    """(sequence, mean_log_ratio, keep): dropped if the mean of old - new exceeds delta and the advantage is negative."""
-    per = tokens.groupBy(sequence).agg(F.avg(F.col(old) - F.col(new)).alias("mean_log_ratio"), F.first(advantage).alias("_a"))
+def off_policy_keep(tokens: DataFrame, sequence: str, old: str, new: str, advantage: str, delta: float, order: str | None = None) -> DataFrame:
+    """(sequence, mean_log_ratio, keep): dropped if the mean of old - new exceeds delta and the advantage is negative.
+
+    With `order` a sequence's terms are added in that order, so that means next to delta don't hang on the partitioning."""
+    mean = F.avg(F.col(old) - F.col(new))
+    if order is not None:
+        w = W.partitionBy(sequence).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        tokens = tokens.withColumn("_m", mean.over(w))
+        mean = F.first("_m")
+    per = tokens.groupBy(sequence).agg(mean.alias("mean_log_ratio"), F.first(advantage).alias("_a"))
     return per.select(sequence, "mean_log_ratio", (~((F.col("mean_log_ratio") > delta) & (F.col("_a") < 0))).alias("keep"))
 
 

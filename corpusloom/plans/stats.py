@@ -3,6 +3,8 @@ value the reward, event_type the channel, event_id the order of rows; log-probab
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Log-probabilities by sequence: new, old and an advantage of the sequence."""
+    """Log-probabilities by sequence: new, old and an advantage of the sequence. Steps of 0.05 are decimals, as in the SQL: as
+    doubles, three of them are 0.15000000000000002."""
     new = -F.col("value") / 100
-    return events(spark, d).select("event_id", F.col("user_id").alias("seq"), new.alias("new"), (new + (F.col("event_id") % 7 - 3) * 0.05).alias("old"), (F.col("user_id") % 5 - 2).cast("double").alias("a"))
+    step = (F.col("event_id") % 7 - 3) * F.lit(Decimal("0.05"))
+    return events(spark, d).select("event_id", F.col("user_id").alias("seq"), new.alias("new"), (new + step.cast("double")).alias("old"), (F.col("user_id") % 5 - 2).cast("double").alias("a"))
 
 
 _TOK = "t AS (SELECT event_id, user_id AS seq, -value / 100 AS new, -value / 100 + (event_id % 7 - 3) * 0.05 AS old, (user_id % 5 - 2)::DOUBLE AS a FROM events)"
@@ -139,7 +143,7 @@ def _(s, d):
 
 @query("flt12_off_policy_mask", f"WITH {_TOK} SELECT seq, round(avg(old - new), 6) AS mean_log_ratio, NOT (avg(old - new) > 0.01 AND any_value(a) < 0) AS keep FROM t GROUP BY seq")
 def _(s, d):
-    return adv.off_policy_keep(tokens(s, d), "seq", "old", "new", "a", 0.01).select("seq", r6("mean_log_ratio", "mean_log_ratio"), "keep")
+    return adv.off_policy_keep(tokens(s, d), "seq", "old", "new", "a", 0.01, "event_id").select("seq", r6("mean_log_ratio", "mean_log_ratio"), "keep")
 
 
 @query("agg01_mean_metric", "SELECT event_type, round(coalesce(avg(value), 0), 6) AS value FROM events GROUP BY event_type")

@@ -394,3 +394,23 @@ def test_plugins_load_and_register(spark, tmp_path):
     assert m.select(plugins.TEMPLATES["bars"](F.col("m")).alias("t"), plugins.LOSS_SCALES["none"](F.col("m")).alias("s"), plugins.LOSS_SCALES["default"](F.col("m")).alias("d")).first() == ("a|b", [0.0, 0.0], [0.0, 1.0])
     with pytest.raises(ValueError):
         plugins.register(plugins.REWARDS, "format", len)
+
+
+def test_off_policy_means_next_to_a_tie_are_those_of_the_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from corpusloom.plans import catalogue
+
+    r = random.Random(4)
+    rows = [(k, k % 40, round(r.expovariate(1 / 60), 2)) for k in range(40 * 64)]  # means of 64 terms end in 5 at the seventh place
+    rows += [(k, 40 + k % 30, round(r.expovariate(1 / 60), 2)) for k in range(len(rows), len(rows) + 30 * 65)]  # and of 65 may be 0.01
+    files = [spark.createDataFrame(rows[i::5], "event_id long, user_id long, value double").coalesce(1) for i in range(5)]
+    for x in files:
+        x.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(x) for x in catalogue.queries()["flt12_off_policy_mask"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
+    assert got == sorted(c.execute(catalogue.oracle_sql()["flt12_off_policy_mask"]).fetchall())
