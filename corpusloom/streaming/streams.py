@@ -87,6 +87,10 @@ class Lane(StatefulProcessor):
         pass
 
 
+#: Rows of a lane that are handed on at once.
+OUT_ROWS = 100_000
+
+
 class ShuffleBuffer(Lane):
     """A buffer of fixed capacity in the state store, which outlives micro-batches: once it is full, each row that comes in takes
     the place of a random one, which goes out. The timer empties the buffer, in random order."""
@@ -102,18 +106,26 @@ class ShuffleBuffer(Lane):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         came, gone = self.counts.get() if self.counts.exists() else (0, 0)
-        pdf, out = pd.concat(list(rows)).sort_values("key"), []
-        for k, row in zip(pdf["key"].tolist(), pdf["row"].tolist(), strict=True):
-            slot = came - gone  # slots fill in order
-            if slot >= self.capacity:
-                slot = draw(self.seed, key[0], came, self.capacity)
-                out.append((key[0], gone, *self.slots.getValue((slot,))))
-                gone += 1
-            self.slots.updateValue((slot,), (k, row))
-            came += 1
+        # The slots are read once and written once a micro-batch: a call to the state for each row costs far more than the row.
+        held = {slot[0]: tuple(value) for slot, value in self.slots.iterator()} if came else {}
+        changed, pdf = set(), pd.concat([x[["key", "row"]] for x in rows]).sort_values("key")
+        for at in range(0, len(pdf), OUT_ROWS):
+            first, out, part = gone, [], pdf.iloc[at : at + OUT_ROWS]
+            for k, row in zip(part["key"].tolist(), part["row"].tolist(), strict=True):
+                slot = came - gone  # slots fill in order
+                if slot >= self.capacity:
+                    slot = draw(self.seed, key[0], came, self.capacity)
+                    out.append(held[slot])
+                    gone += 1
+                held[slot] = (k, row)
+                changed.add(slot)
+                came += 1
+            if out:
+                yield pd.DataFrame([(key[0], first + i, *x) for i, x in enumerate(out)], columns=["lane", "place", "key", "row"])
+        for slot in changed:
+            self.slots.updateValue((slot,), held[slot])
         self.counts.update((came, gone))
         self.wait(timerValues)
-        yield pd.DataFrame(out, columns=["lane", "place", "key", "row"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         if not self.counts.exists():

@@ -414,3 +414,53 @@ def test_off_policy_means_next_to_a_tie_are_those_of_the_sql(spark, tmp_path):
     c.execute("SET threads = 1")
     c.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
     assert got == sorted(c.execute(catalogue.oracle_sql()["flt12_off_policy_mask"]).fetchall())
+
+
+def test_shuffle_buffer_calls_the_state_by_slot_not_by_row():
+    import hashlib
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from corpusloom.streaming import streams
+
+    class State(dict):
+        """A map state, or a value state under None; counts its calls."""
+
+        calls = 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def exists(self):
+            return bool(self)
+
+    slots, counts = State(), State()
+    counts.get, counts.update = lambda: dict.get(counts, None), lambda v: counts.__setitem__(None, v)
+    handle = SimpleNamespace(getMapState=lambda *_: slots, getValueState=lambda *_: counts, listTimers=lambda: [])
+    lane = streams.ShuffleBuffer(8, 42, None)
+    lane.init(handle)
+    keys, held, want = [k * 7 % 30_011 for k in range(30_011)], [], []
+    parts = (keys[:3], keys[3:9], keys[9:20_000], keys[20_000:])
+    got = []
+    for part in parts:
+        pdf = pd.DataFrame({"lane": 1, "key": part, "row": [f"r{k}" for k in part]})
+        for x in lane.handleInputRows((1,), iter([pdf[::2], pdf[1::2]]), None):
+            got += x[["lane", "place", "key", "row"]].values.tolist()
+        for k in sorted(part):
+            if len(held) == 8:
+                slot = int(hashlib.md5(f"42|1|{len(want) + 8}".encode()).hexdigest()[:8], 16) % 8
+                want.append([1, len(want), held[slot], f"r{held[slot]}"])
+                held[slot] = k
+            else:
+                held.append(k)
+    assert got == want and [slots[i,] for i in range(8)] == [(k, f"r{k}") for k in held]
+    assert slots.calls <= 8 * len(parts)
