@@ -34,8 +34,8 @@ def _(s, d):
 @query("agg08_rouge_l_bleu_4")
 def _(s, d):
     """Each whole document against its words from the fifth on."""
-    a, b = F.col("a"), F.col("b")
-    return _halves(s, d).agg(r6(F.avg(O.rouge_l(a, b)) * 100, "rouge_l"), r6(F.avg(O.bleu4(a, b)) * 100, "bleu_4"))
+    x = _halves(s, d).select(O.scores(F.col("a"), F.col("b")).alias("x"))
+    return x.agg(r6(F.avg("x.rouge_l") * 100, "rouge_l"), r6(F.avg("x.bleu_4") * 100, "bleu_4"))
 
 
 @query("txt03_round_assembly", "WITH c AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, count(*) FILTER (role = 'user') AS rounds, bool_or(turn = last AND role = 'user') AS open FROM c GROUP BY conv_id")

@@ -464,3 +464,35 @@ def test_shuffle_buffer_calls_the_state_by_slot_not_by_row():
                 held.append(k)
     assert got == want and [slots[i,] for i in range(8)] == [(k, f"r{k}") for k in held]
     assert slots.calls <= 8 * len(parts)
+
+
+def test_overlap_of_long_texts_with_common_ends():
+    import time
+
+    from corpusloom.functions import overlap
+
+    a = [f"w{k * k % 9973}" for k in range(400_000)]
+    start = time.monotonic()
+    assert overlap.lcs(a, a[4:]) == len(a) - 4 and overlap.lcs(["x", *a[1:200_000], "y", "z", *a[200_002:]], a) == len(a) - 3
+    assert overlap.lcs(["a\0", "b"], ["a", "b"]) == 1 and overlap.lcs(["a"] * 3, ["a"] * 2) == 2 and overlap.lcs([], ["a"]) == 0
+    assert time.monotonic() - start < 8
+
+
+def test_overlap_scores_of_parts_are_those_of_rows(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from corpusloom.functions import overlap
+
+    r = random.Random(6)
+    text = lambda: [r.choice(["a", "b", "c", "d\0", "d", ""]) for _ in range(r.choice([0, 1, 2, 3, 5, 9, 40]))]
+    rows = [(text(), text()) for _ in range(300)]
+    want = [(overlap.rouge_l_score(a, b), overlap.bleu4_score(a, b)) for a, b in rows]
+    for words in (1, 7, 100, 1 << 16):
+        monkeypatch.setattr(overlap, "COUNT_WORDS", words)
+        parts = list(overlap._numbered(pa.array([x for x, _ in rows]), pa.array([x for _, x in rows])))
+        assert [x for p in parts for x in zip(overlap._rouge_l_scores(*p), overlap._bleu4_scores(*p), strict=True)] == want
+    df = spark.createDataFrame([*rows, (None, ["a"]), (["a"], None)], "a array<string>, b array<string>").repartition(1)
+    got = df.select(overlap.scores(F.col("a"), F.col("b")).alias("x"), overlap.bleu4(F.col("a"), F.col("b")).alias("y")).collect()
+    assert sorted((tuple(x.x) for x in got), key=str) == sorted([*want, (None, None), (None, None)], key=str) and all(x.y == x.x.bleu_4 for x in got)
