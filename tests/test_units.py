@@ -416,7 +416,8 @@ def test_off_policy_means_next_to_a_tie_are_those_of_the_sql(spark, tmp_path):
     assert got == sorted(c.execute(catalogue.oracle_sql()["flt12_off_policy_mask"]).fetchall())
 
 
-def test_shuffle_buffer_calls_the_state_by_slot_not_by_row():
+@pytest.mark.parametrize("out_rows", [100_000, 1000])
+def test_shuffle_buffer_calls_the_state_by_slot_not_by_row(monkeypatch, out_rows):
     import hashlib
     from types import SimpleNamespace
 
@@ -424,6 +425,8 @@ def test_shuffle_buffer_calls_the_state_by_slot_not_by_row():
 
     from corpusloom.streaming import streams
 
+    monkeypatch.setattr(streams, "OUT_ROWS", out_rows)
+
     class State(dict):
         """A map state, or a value state under None; counts its calls."""
 
